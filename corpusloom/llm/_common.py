@@ -63,3 +63,23 @@ def text_or_empty(name: str) -> Column:
 def word_count(text: Column) -> Column:
     """Words as runs of anything but ASCII white space; null counts as none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+#: Bits of a prefilter: at most this many, so at most 8 MB, however large the tables.
+FILTER_BITS = 1 << 26
+_PER_MAP = 32_768
+
+
+def possibly(df: DataFrame, members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Split ``df`` into rows whose key may be among those of ``members``, and rows whose key is not.
+
+    One bit per key, by hash, in bitmaps of a bounded total size that every task gets. It keeps
+    rows that can't match, and their texts, out of the shuffle of the join that follows.
+    """
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    bucket, place = F.floor(slot / _PER_MAP).cast("int"), (slot % _PER_MAP).cast("int")
+    maps = members.select(bucket.alias("loom_bucket"), place.cast("long").alias("place")).groupBy("loom_bucket").agg(F.bitmap_construct_agg("place").alias("loom_bits"))
+    marked = df.withColumns({"loom_bucket": bucket, "loom_place": place}).join(F.broadcast(materialise(maps, "filter")), "loom_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(loom_bits, loom_place div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce((byte.bitwiseAND(F.expr("shiftleft(1, loom_place % 8)")) != 0), F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, text_or_empty
+from ._common import column_type, materialise, possibly, text_or_empty
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -138,7 +138,8 @@ def _differing(docs: DataFrame, groups: DataFrame, per_copy: int) -> DataFrame:
     one task; only rows of such groups are chunked.
     """
     spread = F.ceil(F.col("n") / per_copy).cast("int")
-    texts = docs.join(groups, _ROW).select("uid", "rep", "n", "text")
+    maybe, _ = possibly(docs, groups, _ROW)
+    texts = maybe.join(groups.hint("merge"), _ROW).select("uid", "rep", "n", "text")
     cut = texts.mapInArrow(_chunks, "uid long, rep long, n long, no long, chunk binary")
     members = cut.where("uid <> rep").select("uid", "rep", "no", "chunk", F.pmod(F.xxhash64("uid"), spread).cast("int").alias("copy"))
     reps = cut.where("uid = rep").select("rep", "no", F.col("chunk").alias("other"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("copy"))
@@ -162,7 +163,7 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("uid"))).alias("top")
     groups = prints.groupBy(*key).agg(top, F.count(F.lit(1)).alias("n"))
     many = materialise(groups.where("n > 1").select(*key, "top", "n"), "equal-prints")
-    members = materialise(prints.join(many, key).select("uid", *_ROW, F.col("top.uid").alias("rep"), "n"), "members")
+    members = materialise(prints.join(many.hint("merge"), key).select("uid", *_ROW, F.col("top.uid").alias("rep"), "n"), "members")
     different = materialise(_differing(docs, members, per_copy), "different")
     collided = prints.join(different, "uid", "left_semi").select(*key).distinct()
     if collided.isEmpty():
@@ -176,7 +177,7 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not _differing(docs, again, per_copy).isEmpty():
             raise ValueError("texts that differ share their length, fingerprint and SHA-256")
     final = own.groupBy(*key, "tie").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = own.join(final, [*key, "tie"], "left")
+    joined = own.join(final.hint("merge"), [*key, "tie"], "left")
     return joined.select(
         F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("n").isNull() | (F.col("top.uid") == F.col("uid"))).alias("kept"),

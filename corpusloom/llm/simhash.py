@@ -211,7 +211,7 @@ def links(nodes: DataFrame, radius: int, width: int, lanes: int = LANES) -> Data
     """
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("k", "v"))
     counts = keyed.groupBy("k", "v").count().where("count > 1")
-    dealt = keyed.join(counts, ["k", "v"]).withColumn("tiles", F.ceil(F.col("count") / lanes).cast("int"))
+    dealt = keyed.join(counts.hint("merge"), ["k", "v"]).withColumn("tiles", F.ceil(F.col("count") / lanes).cast("int"))
     member = F.collect_list(F.struct("node", "fp")).alias("members")
     tiled = materialise(dealt.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).groupBy("k", "v", "tiles", "tile").agg(member), "tiles")
     alone = tiled.where("tiles = 1").select("members")
@@ -277,4 +277,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # nodes without a link are their own component
     known = materialise(member.join(least, "root").select("fp", "least"), "linked")
     alone = nodes.select("fp", F.col("low")).join(known, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return found.select("id", "fp").join(alone, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return found.select("id", "fp").join(alone.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
