@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, language_id, mixing, packing, simhash
-from corpusloom.llm._common import materialise, table
+from corpusloom.llm._common import materialise, possibly, table
 from corpusloom.llm.queries import PACK_TOKENIZER
 
 #: Near copies in the pipeline: five-word shingles that overlap by 0.8 or more. Such texts differ in
@@ -27,7 +27,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``dropped`` (loom_row)."""
-    return docs.join(materialise(dropped, "dropped"), "loom_row", "left_anti").drop("loom_row")
+    gone = materialise(dropped, "dropped")
+    maybe, stays = possibly(docs, gone, ["loom_row"])
+    return stays.unionByName(maybe.join(gone.hint("merge"), "loom_row", "left_anti")).drop("loom_row")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = _numbered(docs)
     taken = mixing.mix(rows, "loom_row").where("copies > 0").select("loom_row", "copies")
-    joined = rows.join(taken, "loom_row")
+    joined = rows.join(taken.hint("merge"), "loom_row")
     return joined.withColumn("loom_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
