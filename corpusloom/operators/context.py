@@ -17,10 +17,11 @@ KEEP = 0.6
 def sentence_relevance(rows: DataFrame, query: str = "query", content: str = "content", ratio: float = KEEP, similarity: Callable[[str, str], Column] = bag_cosine) -> DataFrame:
     """(query_id, rank, pos, sentence, sim, best, kept) for each sentence of each ranked chunk.
 
-    A sentence is kept if it comes to ``ratio`` of the chunk's best; chunks without any are dropped.
+    ``similarity`` is an expression over two columns of tokens. A sentence is kept if it comes to ``ratio`` of the chunk's best; chunks without any are dropped.
     """
     split = rows.select("query_id", "rank", query, F.posexplode(sentences(F.col(content))).alias("pos", "sentence"))
-    scored = split.withColumn("sim", F.round(similarity(query, "sentence"), 9))
+    told = split.withColumns({"query_tokens": tokenize(F.col(query)), "sentence_tokens": tokenize(F.col("sentence"))})
+    scored = told.withColumn("sim", F.round(similarity("query_tokens", "sentence_tokens"), 9))
     best = F.max("sim").over(Window.partitionBy("query_id", "rank"))
     scored = scored.withColumn("best", best)
     return scored.select("query_id", "rank", "pos", "sentence", "sim", "best", (F.col("sim") >= F.col("best") * ratio).alias("kept"))

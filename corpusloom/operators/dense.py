@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, strip_u, tokenize
+from ..functions.text import cosine, strip_u
 from .lexical import top_k
 
 #: Queries that are broadcast at once; more go in several rounds.
@@ -71,8 +71,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int
 
 
 def bag_cosine(a: str, b: str):
-    """Cosine of token counts of two text columns, as an expression; 0 if either has no token."""
-    x, y = tokenize(F.col(a)), tokenize(F.col(b))
+    """Cosine of the counts in two columns of tokens, as an expression; 0 if either has none."""
+    x, y = F.col(a), F.col(b)
     count = lambda xs, t: F.size(F.filter(xs, lambda v: v == t))
     dot = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, t: acc + count(x, t) * count(y, t))
     norm = lambda xs: F.sqrt(F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda acc, t: acc + count(xs, t) * count(xs, t)))

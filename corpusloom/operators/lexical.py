@@ -29,7 +29,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: list[str], text: st
     asked = queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = asked.join(term_stats(chunks, text), "term")
     # only tokens that a query asks for leave the scan
-    tokens = chunks.select(*keys, F.size(tokenize(F.col(text))).alias("dl"), F.explode(tokenize(F.col(text))).alias("term"))
+    split = chunks.select(*keys, tokenize(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tokens = split.select(*keys, "dl", F.explode("tokens").alias("term"))
     tf = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = F.broadcast(corpus_stats(chunks, text).select("avgdl"))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
