@@ -24,7 +24,8 @@ SAMPLE_PER_LANGUAGE = 2_000
 #: Contexts of three bytes that get a node: the most frequent ones over all languages.
 DEEP_CONTEXTS = 4_096
 UNKNOWN = "und"
-_SLICE = 1 << 21
+#: Characters priced at once, and rows taken from a batch.
+_SLICE, _ROWS = 1 << 19, 512
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Model:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each byte with the three before it, by language; start pads count as byte 0."""
     held: dict[str, dict[int, int]] = {}
-    for batch in batches:
+    for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         texts = batch.column("text").to_pylist()
         for lang in set(langs):
@@ -158,7 +159,7 @@ def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             known = np.array(batch.column("letters").to_pylist(), dtype=bool)
             texts = batch.column("text").to_pylist()
             lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))

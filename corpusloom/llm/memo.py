@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces a worker remembers. Later ones are encoded just as exactly, for their batch only.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 600_000
 #: Pieces that the library gets in one call.
 _JOINED = 1000
 #: Marks that never share a token with a letter before them, in either tokenizer.

@@ -26,6 +26,8 @@ SHINGLE = 3
 RADIUS = 2
 #: Lanes of a block; keys with more members are cut into tiles of about this size.
 LANES = 512
+#: Texts that a task holds as Python strings at once.
+_ROWS = 512
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -69,7 +71,7 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
 
 def _prints(shingle: int, words: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             fp, keys = [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, shingle)
