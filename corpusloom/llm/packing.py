@@ -186,36 +186,35 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capac
 def assign(parts: DataFrame, capacity: int = CAPACITY, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Give each row of ``parts`` (id, piece, length, ids_crc32, ...) a sequence and its offset there.
 
-    The driver sees counts by length and group only. Rows of one length are spread over groups, so
-    that a length that a third of all pieces share is numbered by many tasks.
+    The driver sees one count per length. Rows of one length are spread over groups, so that a
+    length that a third of all pieces share is numbered by many tasks; how many pieces come before
+    a group is a table of its own, joined on the keys that the numbering is dealt by anyway.
     """
     spark = parts.sparkSession
     total = parts.count()
     groups = max(32, -(-total // rows_per_group))
     dealt = parts.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    by_group = dealt.groupBy("length", "grp").count().toArrow().to_pydict()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for n, g, c in sorted(zip(by_group["length"], by_group["grp"], by_group["count"])):
-        before[n, g] = counts.get(n, 0)
-        counts[n] = before[n, g] + c
-    known = spark.sparkContext.broadcast((Slots(plan(counts, capacity)), before))
+    earlier = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
+    bases = materialise(sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "group-bases")
+    counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    known = spark.sparkContext.broadcast(Slots(plan(counts, capacity)))
     rank = F.row_number().over(Window.partitionBy("length", "grp").orderBy("id", "piece", "ids_crc32")) - 1
     placed = _schema_with(parts, "sequence_id long, offset long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, offsets = known.value
+        slots = known.value
         for batch in batches:
-            n, g, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "grp", "rank"))
+            n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, at = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
             for length in np.unique(n):
                 own = n == length
-                base = np.array([offsets[int(length), int(x)] for x in g[own]], dtype=np.int64)
-                sequence[own], at[own] = slots.place(int(length), r[own] + base)
-            keep = batch.drop_columns(["grp", "rank"])
+                sequence[own], at[own] = slots.place(int(length), r[own])
+            keep = batch.drop_columns(["rank"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sequence), pa.array(at)], [*keep.schema.names, "sequence_id", "offset"])
 
-    return dealt.withColumn("rank", rank.cast("long")).select(*parts.columns, "grp", "rank").mapInArrow(run, placed)
+    numbered = dealt.join(bases.select("length", "grp", "base").hint("merge"), ["length", "grp"]).withColumn("rank", (F.col("base") + rank).cast("long"))
+    return numbered.select(*parts.columns, "rank").mapInArrow(run, placed)
 
 
 def _schema_with(df: DataFrame, more: str) -> str:
