@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, possibly, text_or_empty
+from ._common import column_type, materialise, possibly, small_batches, text_or_empty
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -156,6 +156,7 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null); of rows that share the largest id, one is kept. An empty table gives an empty result.
     Other columns, whatever their names, play no part.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     docs = docs.withColumns({"row1": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(1), "text", "id")})
     prints = materialise(fingerprints(docs, huge_bytes).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")

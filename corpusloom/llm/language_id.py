@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, text_or_empty
+from ._common import column_type, small_batches, text_or_empty
 
 #: About so many labelled rows of each language are fitted on, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2_000
@@ -25,7 +25,7 @@ SAMPLE_PER_LANGUAGE = 2_000
 DEEP_CONTEXTS = 4_096
 UNKNOWN = "und"
 #: Characters priced at once, and rows taken from a batch.
-_SLICE, _ROWS = 1 << 19, 512
+_SLICE, _ROWS = 1 << 17, 512
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_p
     Rows without text or language are left out. The driver gets the counts of four-byte strings
     in that sample, which its size bounds, and never a text.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -188,6 +189,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     The columns of ``df`` must not be called ``lang_pred``, ``score``, ``letters`` or ``text``,
     but for the text itself. Rows are judged one by one, so repeated ones come out alike.
     """
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text_col]
     ready = df.select(*rest, has_letter(F.col(text_col)).alias("letters"), text_or_empty(text_col).alias("text"))
     schema = ", ".join([*(f"`{c}` {column_type(df, c)}" for c in rest), "lang_pred string, score double"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import memo
-from ._common import column_type, materialise, text_or_empty
+from ._common import column_type, materialise, small_batches, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -179,6 +179,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of the capacity; the first may be shorter."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return docs.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"id {column_type(df, id_col)}, piece int, start long, length long, ids_crc32 long")
 

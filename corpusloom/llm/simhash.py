@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, text_or_empty
+from ._common import column_type, materialise, small_batches, text_or_empty
 
 SHINGLE = 3
 RADIUS = 2
@@ -267,6 +267,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is never a component's id unless it has no other. An empty table gives an empty result. Other
     columns, whatever their names, play no part.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = materialise(prints(docs, shingle, bits, minima), "prints")
     keys = F.col("minima") if minima else pigeonhole_keys(F.col("fp"), radius, parts)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import memo
-from ._common import column_type, materialise, text_or_empty
+from ._common import column_type, materialise, small_batches, text_or_empty
 
 LIMIT = 2048
 CHUNK_CHARS = 65_536
@@ -120,6 +120,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     two named columns are read; others, whatever their names, play no part. A tokenizer without
     the boundary property counts every text, huge ones too, in one call of the library.
     """
+    small_batches(df.sparkSession)
     kind = column_type(df, id_col)
     docs = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
