@@ -16,8 +16,8 @@ from corpusloom.llm._common import materialise, possibly, table
 from corpusloom.llm.queries import PACK_TOKENIZER
 
 #: Near copies in the pipeline: five-word shingles that overlap by 0.8 or more. Such texts differ in
-#: about 78 of 512 fingerprint bits, with a spread of 8; the radius lets nearly all of them through.
-NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, NEAR_MINIMA = 5, 512, 92, 6
+#: about 78 of 512 fingerprint bits, with a spread of 8; the radius only chooses what is compared exactly.
+NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, NEAR_MINIMA, NEAR_SIMILARITY = 5, 512, 112, 6, 0.8
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -48,10 +48,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays."""
+    """Of each component of texts whose shingles overlap by 0.8 or more the row with the smallest doc_id stays."""
     rows = _numbered(docs)
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "loom_row")
-    found = simhash.near_duplicates(rows.select(row.alias("row"), "text"), "row", "text", NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, minima=NEAR_MINIMA)
+    found = simhash.near_duplicates(rows.select(row.alias("row"), "text"), "row", "text", NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, minima=NEAR_MINIMA, similarity=NEAR_SIMILARITY)
     return _without(rows, found.where(F.col("row") != F.col("component_id")).select("row.loom_row"))
 
 

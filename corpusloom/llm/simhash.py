@@ -7,10 +7,14 @@ permuted shingle hashes. Candidates are compared in blocks: bit plane after bit
 carry-save counters that hold one distance per lane, 64 lanes to a machine word, and what is past
 the radius in all lanes is abandoned. A block yields a spanning forest of its links, never all
 pairs. Components come from contraction rounds over those links.
+
+A wide radius only estimates similarity. There the components are candidates, and inside each the
+sets of shingle hashes are compared exactly before components are built for good.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, small_batches, text_or_empty
+from ._common import column_type, materialise, possibly, small_batches, text_or_empty
 
 SHINGLE = 3
 RADIUS = 2
@@ -28,6 +32,10 @@ RADIUS = 2
 LANES = 512
 #: Texts that a task holds as Python strings at once.
 _ROWS = 512
+#: Bytes of shingle hashes that a block of exact comparisons holds, about.
+TILE_BYTES = 4 << 20
+#: 128 bits of a text, by which a second pass over the table finds it again.
+_TEXT = ["text1", "text2"]
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -72,20 +80,27 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
 def _prints(shingle: int, words: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
-            fp, keys = [], []
+            fp, same, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, shingle)
+                if minima:
+                    h = np.unique(h)
                 fp.append(fingerprint(h, words))
+                same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if minima else None)
                 keys.append([int(_mixed(h, 1000 + k).min().view(np.int64)) for k in range(minima)] if len(h) else [0] * minima)
             keep = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [*keep.schema.names, "fp", "minima"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(fp, pa.binary()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [*keep.schema.names, "fp", "same", "minima"])
 
     return run
 
 
 def prints(docs: DataFrame, shingle: int, bits: int, minima: int = 0) -> DataFrame:
-    """``docs`` (id, text) -> (id, fp, minima)."""
-    return docs.mapInArrow(_prints(shingle, bits // 64, minima), f"id {column_type(docs, 'id')}, fp binary, minima array<long>")
+    """``docs`` (id, ..., text) -> (id, ..., fp, same, minima).
+
+    With minima the distinct shingles vote, and ``same`` is a digest of their set; else it is null.
+    """
+    rest = "".join(f"`{c}` {column_type(docs, c)}, " for c in docs.columns if c != "text")
+    return docs.mapInArrow(_prints(shingle, bits // 64, minima), f"{rest}fp binary, same binary, minima array<long>")
 
 
 # --- candidates -------------------------------------------------------------------------------
@@ -252,14 +267,125 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+# --- exact similarity -------------------------------------------------------------------------
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+            sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in batch.column("text").to_pylist()]
+            keep = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sets, pa.binary())], [*keep.schema.names, "hashes"])
+
+    return run
+
+
+def similar_links(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) of Jaccard ``similarity`` or more that join labels.
+
+    Every asking set is compared with all sets that no link or label joins to it yet, so any two
+    that are similar, one of them asking, end up joined. Sets are distinct values, none empty.
+    """
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    label, out = np.array(labels), []
+    mark = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(asks):
+        other = label != label[i]
+        if not other.any():
+            continue
+        own = ids[starts[i]:starts[i] + size[i]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[ids].astype(np.int64), starts)
+        mark[own] = False
+        at = np.flatnonzero(other & (shared / (size + size[i] - shared) >= similarity))
+        joined, first = np.unique(label[at], return_index=True)
+        out += [(int(i), int(j)) for j in at[first]]
+        label[np.isin(label, joined)] = label[i]
+    return out
+
+
+def _confirm(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for x in batch.column("members"):
+                node, label, asks = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "asks"))
+                sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in x.values.field("hashes")]
+                for i, j in similar_links(sets, label, asks, similarity):
+                    a.append(node[i])
+                    b.append(node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, similarity: float, lanes: int = LANES) -> DataFrame:
+    """Links (a, b) that connect all nodes of a candidate component with Jaccard ``similarity`` or more.
+
+    ``docs``: text1, text2, text; ``nodes``: node, text1, text2 of one of its texts; ``candidates``:
+    node, root. A component of up to ``lanes`` nodes is one block, in which every pair is settled.
+    A larger one is cut into tiles. Then one node for each group found stands for it, until that
+    joins no more; nodes outside the largest group that is left are compared with all others of
+    their component. So no similar pair is lost, and copies of one text don't meet all others.
+    """
+    known = materialise(nodes.select("node", *_TEXT).join(candidates, "node").withColumnRenamed("root", "part"), "candidates")
+    maybe, _ = possibly(docs, known, _TEXT)
+    texts = maybe.join(known.hint("merge"), _TEXT).select("node", "part", "text")
+    sets = texts.mapInArrow(_sets(shingle), "node long, part long, hashes binary").groupBy("node").agg(F.first("part").alias("part"), F.first("hashes").alias("hashes"))
+    sets = materialise(sets, "sets")
+    cut = lambda rows: F.ceil(F.greatest(F.count(F.lit(1)) / lanes, F.sum(F.octet_length("hashes")) / TILE_BYTES)).cast("int").alias(rows)
+    tile = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.coalesce(n, F.lit(1))).cast("int")
+    members = F.collect_list(F.struct("node", "label", "asks", "hashes")).alias("members")
+
+    def compare(rows: DataFrame, *key: str) -> DataFrame:
+        blocks = rows.groupBy(*key).agg(members).where(F.size("members") > 1).select("members")
+        return blocks.mapInArrow(_confirm(similarity), "a long, b long")
+
+    def tiled(rows: DataFrame, large: DataFrame, salt: int) -> DataFrame:
+        dealt = rows.join(large, "part", "left").withColumn("tile", tile(salt, F.col("tiles")))
+        return materialise(compare(dealt.withColumns({"label": F.col("node"), "asks": F.lit(True)}), "part", "tile"), "confirmed")
+
+    large = materialise(sets.groupBy("part").agg(cut("tiles")).where("tiles > 1"), "large")
+    found = tiled(sets, large, 0)
+    if large.isEmpty():
+        return found
+    rows = materialise(sets.join(large.select("part"), "part", "left_semi"), "large-sets")
+    left = None
+    while True:
+        labels = rows.select("node", "part").join(components(found), "node", "left").select("node", "part", F.coalesce("root", "node").alias("label"))
+        labels = materialise(labels, "groups")
+        groups = materialise(labels.groupBy("part", "label").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "pivots")
+        apart = materialise(groups.groupBy("part").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1"), "apart")
+        now = groups.join(apart.select("part"), "part", "left_semi").count()
+        if not now or left is not None and now > 0.9 * left:
+            break
+        left = now
+        pivots = rows.join(groups.join(apart.select("part"), "part", "left_semi").select("node"), "node", "left_semi")
+        pivots = materialise(pivots, "pivot-sets")
+        found = materialise(found.unionByName(tiled(pivots, pivots.groupBy("part").agg(cut("tiles")), now)), "confirmed")
+    if not now:
+        return found
+    every = materialise(rows.join(labels.drop("part"), "node").join(apart.select("part", "main"), "part"), "labelled")
+    strays = every.where("label <> main")
+    shape = every.groupBy("part").agg(cut("tiles")).join(strays.groupBy("part").agg(cut("asking")), "part")
+    shape = materialise(shape, "shape")
+    dealt = lambda rows, salt, n, other: rows.join(shape, "part").withColumns({n[0]: tile(salt, F.col(n[1])), other[0]: F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))})
+    ask = dealt(strays, 1, ("s", "asking"), ("u", "tiles")).withColumn("asks", F.lit(True))
+    told = dealt(every, 2, ("u", "tiles"), ("s", "asking")).withColumn("asks", F.lit(False))
+    both = ask.select("part", "s", "u", "node", "label", "asks", "hashes").unionByName(told.select("part", "s", "u", "node", "label", "asks", "hashes"))
+    return materialise(found.unionByName(compare(both, "part", "s", "u")), "confirmed")
+
+
 # --- operator ---------------------------------------------------------------------------------
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS,
-                    parts: int = 5, minima: int = 0) -> DataFrame:
+                    parts: int = 5, minima: int = 0, similarity: float = 0.0, lanes: int = LANES) -> DataFrame:
     """Components of documents whose fingerprints link within ``radius`` bits.
 
     With ``minima`` = 0 fingerprints have 64 bits and no link is lost. Otherwise candidates share
-    one of that many minima of permuted shingle hashes, for radii that no exact key covers.
+    one of that many minima of permuted shingle hashes, for radii that no exact key covers, and
+    documents link only if the sets of their shingle hashes have a Jaccard of ``similarity`` or more.
 
     Returns one row per input row: the id column, ``fingerprint`` (hex), ``component_id`` (the
     smallest id reachable, itself included). Null and empty texts have the zero fingerprint and
@@ -269,15 +395,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    if minima:
+        docs = docs.withColumns({"text1": F.xxhash64("text"), "text2": F.xxhash64(F.lit(1), "text")})
     found = materialise(prints(docs, shingle, bits, minima), "prints")
     keys = F.col("minima") if minima else pigeonhole_keys(F.col("fp"), radius, parts)
-    nodes = found.groupBy("fp").agg(F.min("id").alias("low"), F.min("minima").alias("minima"))
-    nodes = materialise(nodes.select("fp", "low", keys.alias("keys"), F.monotonically_increasing_id().alias("node")), "nodes")
+    # texts of one set of shingles, or of one narrow fingerprint, are one node
+    same = "same" if minima else "fp"
+    text = F.min(F.struct(*_TEXT)).alias("text") if minima else F.lit(None).alias("text")
+    nodes = found.groupBy(*dict.fromkeys([same, "fp"])).agg(F.min("id").alias("low"), F.min("minima").alias("minima"), text)
+    place = [F.col("text")[c].alias(c) for c in _TEXT] if minima else []
+    nodes = materialise(nodes.select(*dict.fromkeys([same, "fp"]), "low", *place, keys.alias("keys"), F.monotonically_increasing_id().alias("node")), "nodes")
     edges = links(nodes, radius, bits // 8)
+    if minima:
+        edges = confirmed(docs.drop("id"), nodes, materialise(components(edges), "near"), shingle, similarity, lanes)
     labels = materialise(components(edges), "components")
-    member = nodes.select("fp", "low", "node").join(labels, "node")
+    member = nodes.select(same, "low", "node").join(labels, "node")
     least = member.groupBy("root").agg(F.min("low").alias("least"))
     # nodes without a link are their own component
-    known = materialise(member.join(least, "root").select("fp", "least"), "linked")
-    alone = nodes.select("fp", F.col("low")).join(known, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return found.select("id", "fp").join(alone.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    known = materialise(member.join(least, "root").select(same, "least"), "linked")
+    alone = nodes.select(same, F.col("low")).join(known, same, "left").select(same, F.coalesce("least", "low").alias("component_id"))
+    return found.select("id", *dict.fromkeys([same, "fp"])).join(alone.hint("merge"), same).select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
