@@ -2,7 +2,8 @@
 
 Pages of one host are merged: nodes with the same path of tags and classes are one style node. A
 style node's importance is the entropy of what its pages show there, relative to the most it could
-be: what every page repeats scores 0, what differs from page to page scores 1. Branches of low
+be: what every page repeats scores 0, what differs from page to page scores 1. Pages of one host
+with the same blocks are one page, and what a page repeats on a path counts once. Branches of low
 importance are removed. Entropy alone can't tell a menu whose entries differ on every page from an
 article, so nodes also count as noise by what they say they are (tag, role, class, id), and a page
 that marks its article keeps exactly that article, without the noise nodes inside it.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import column_type, materialise, small_batches, text_or_empty
 from .url_rules import host_of
 
-#: A style node seen on at least so many pages is removed below this importance.
+#: A style node seen on at least so many different pages is removed below this importance.
 MIN_PAGES, LOW = 5, 0.3
 
 _TOKEN = re.compile(
@@ -138,7 +139,7 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
     return marked, out
 
 
-_BLOCKS = "marked boolean, blocks array<struct<path:string,kind:int,content:bigint,text:string>>"
+_BLOCKS = "marked boolean, page bigint, blocks array<struct<path:string,kind:int,content:bigint,text:string>>"
 _ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("content", pa.int64()), ("text", pa.string())]))
 
 
@@ -146,27 +147,33 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            marks, found = [], []
+            marks, digests, found = [], [], []
             for page in part.column("html").to_pylist():
                 marked, rows = blocks(page)
                 marks.append(marked)
+                digests.append(xxhash.xxh64_intdigest(repr([(p, t) for p, _, t in rows]).encode()) - (1 << 63))
                 # kept: what the page may show; of the rest only that and where it was
                 found.append([{"path": p, "kind": k, "content": xxhash.xxh64_intdigest(t.encode()) - (1 << 63), "text": t if k == (ARTICLE if marked else BODY) else None} for p, k, t in rows])
             keep = part.drop_columns(["html"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(marks), pa.array(found, _ARROW)], [*keep.schema.names, "marked", "blocks"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(marks), pa.array(digests, pa.int64()), pa.array(found, _ARROW)], [*keep.schema.names, "marked", "page", "blocks"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, blocks) -> (host, path, pages, importance) for every style node.
+    """``pages`` (host, page, blocks) -> (host, path, pages, importance) for every style node.
 
-    Counts are summed by host, path and content first, so a host with most of the pages is spread
-    over all tasks until only one row per distinct content is left.
+    Each different page of a host (by ``page``, the digest of its blocks) counts once, and so does
+    a content that it repeats on a path. Copies are dropped and counts are summed by host, path and
+    content first, so a host with most of the pages is spread over all tasks until only one row per
+    distinct content is left.
     """
-    nodes = pages.select("host", F.explode("blocks").alias("b")).select("host", "b.path", "b.content")
+    shown = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))))
+    once = pages.select("host", "page", shown.alias("shown")).groupBy("host", "page").agg(F.first("shown").alias("shown"))
+    nodes = once.select("host", F.explode("shown").alias("b")).select("host", "b.path", "b.content")
     seen = nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    tree = seen.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
-    entropy = F.ln("pages") - F.col("nln") / F.col("pages")
-    return tree.select("host", "path", "pages", F.when(F.col("pages") > 1, entropy / F.ln("pages")).otherwise(1.0).alias("importance"))
+    tree = seen.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
+    per_page = once.select("host", F.explode(F.array_distinct(F.transform("shown", lambda b: b["path"]))).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    entropy = F.ln("all") - F.col("nln") / F.col("all")
+    return tree.join(per_page, ["host", "path"]).select("host", "path", "pages", F.when(F.col("all") > 1, entropy / F.ln("all")).otherwise(1.0).alias("importance"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corpusloom.llm import simhash
+from corpusloom.llm import simhash, site_style
 
 
 def _shingles(text, n=5):
@@ -67,3 +67,14 @@ def test_similar_links_settle_every_pair():
     for i, j in got:
         label[label == label[j]] = label[i]
     assert all(label[i] == label[j] for i in range(80) for j in range(80) if share(sets[i], sets[j]) >= 0.8)
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><ul class='links'><li>Home</ul><p>{}</p>"
+    table = "<body><table><tr>" + "<td>yes</td>" * 12 + "<td>no</td>" * 8 + "</tr></table>"
+    pages = [("http://a/", page.format("same"))] * 5 + [("http://b/", page.format("copy"))] * 80 + [("http://b/", page.format(f"own {i}")) for i in range(20)] + [("http://c/", table)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style.main_text(df).collect()}
+    assert all(got[i] == "Home\n\nsame" for i in range(5))  # one page: nothing to tell a menu by
+    assert all(got[i] == "copy" for i in range(5, 85)) and all(got[85 + i] == f"own {i}" for i in range(20))
+    assert got[105].split() == ["yes"] * 12 + ["no"] * 8
