@@ -40,7 +40,12 @@ _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dial
 _NOISE_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu header masthead footer sidebar "
     "aside breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe share sharing social comment comments "
-    "replies disqus related recommended widget login signup search pagination pager toolbar".split())
+    "replies disqus related recommended widget login signup search pagination pager toolbar "
+    "ad-slot ad-banner ad-container ad-wrapper ad-box adsbygoogle site-header site-footer site-nav site-navigation main-nav main-navigation main-menu nav-bar nav-menu "
+    "page-header page-footer cookie-banner cookie-notice cookie-consent social-links social-share share-buttons share-links sharing-buttons related-posts "
+    "related-articles comment-list comments-area comment-form newsletter-signup search-form login-form widget-area promo-box breadcrumb-nav".split())
+#: Elements that a name never makes noise.
+_NEVER_NAMED = frozenset("html body main article".split())
 _CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "option": "option", "tr": "tr", "td": "td", "th": "th"}
 _MAIN = re.compile(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody)", re.I)
 NOISE, BODY, ARTICLE = 0, 1, 2
@@ -50,22 +55,28 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)}
 
 
-def _noisy(attr: dict[str, str]) -> bool:
-    if attr.get("role", "").lower() in _NOISE_ROLE or "hidden" in attr or attr.get("aria-hidden") == "true":
-        return True
-    for name in (attr.get("class", "") + " " + attr.get("id", "")).lower().split():
-        parts = re.split(r"[-_]+", name)
-        if parts[0] not in ("has", "with", "no", "without") and (parts[-1] in _NOISE_NAME or parts[0] in _NOISE_NAME or name in _NOISE_NAME):
-            return True
-    return False
+def _hides(attr: dict[str, str]) -> bool:
+    return attr.get("role", "").lower() in _NOISE_ROLE or "hidden" in attr or attr.get("aria-hidden") == "true"
+
+
+def _named(attr: dict[str, str]) -> bool:
+    """Whether a whole class or the id is a name of noise; parts of layout names don't count."""
+    return any(name.replace("_", "-") in _NOISE_NAME for name in (attr.get("class", "") + " " + attr.get("id", "")).lower().split())
 
 
 def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
-    """Whether the page marks an article, and its blocks in order: style path, kind, text."""
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int]] = [("", "", BODY)]  # tag, path, kind
+    """Whether the page marks an article, and its blocks in order: style path, kind, text.
+
+    An element that is noise only by name isn't if it holds an article or main, but for an article
+    inside another one (a comment, say), and for teasers beside the page's article.
+    """
+    out: list[tuple[str, tuple[int, tuple[int, ...]], str]] = []
+    # tag, path, kind and the numbers of the elements around that are noise only by name
+    stack: list[tuple[str, str, tuple[int, tuple[int, ...]]]] = [("", "", (BODY, ()))]
     held: list[str] = []
-    marked = False
+    marked, number = False, 0
+    cleared: set[int] = set()  # elements with a name of noise that hold an article
+    maybe: set[int] = set()  # the same, if the page has no other article
 
     def flush() -> None:
         if held:
@@ -124,19 +135,27 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
                         break
         if tag in _VOID:
             continue
-        _, path, kind = stack[-1]
+        _, path, (kind, names) = stack[-1]
         attr = _attributes(attrs) if attrs and not attrs.isspace() else {}
-        if tag in _NOISE_TAG or attr and _noisy(attr):
+        main = tag in ("article", "main") or bool(attr and _MAIN.search(attrs))
+        if tag in _NOISE_TAG or attr and _hides(attr):
             kind = NOISE
-        elif kind == BODY and (tag in ("article", "main") or attr and _MAIN.search(attrs)):
+        elif main and kind != NOISE:
+            if tag == "main" or not any(x[0] == "article" for x in stack):
+                (cleared if kind == ARTICLE else maybe).update(names)
             kind, marked = ARTICLE, True
+        elif attr and kind != NOISE and tag not in _NEVER_NAMED and _named(attr):
+            number += 1
+            names = (*names, number)
         if tag in _BLOCK:
             path = f"{path}/{tag}" + ("." + ".".join(sorted(attr["class"].split())) if attr.get("class") else "")
-        elif kind != stack[-1][2]:
+        elif (kind, names) != stack[-1][2]:
             flush()
-        stack.append((tag, path, kind))
+        stack.append((tag, path, (kind, names)))
     flush()
-    return marked, out
+    if not any(kind == ARTICLE and cleared.issuperset(names) for _, (kind, names), _ in out):
+        cleared |= maybe
+    return marked, [(path, kind if cleared.issuperset(names) else NOISE, text) for path, (kind, names), text in out]
 
 
 _BLOCKS = "marked boolean, page bigint, blocks array<struct<path:string,kind:int,content:bigint,text:string>>"

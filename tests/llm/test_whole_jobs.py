@@ -78,3 +78,20 @@ def test_copies_of_a_page_count_once(spark):
     assert all(got[i] == "Home\n\nsame" for i in range(5))  # one page: nothing to tell a menu by
     assert all(got[i] == "copy" for i in range(5, 85)) and all(got[85 + i] == f"own {i}" for i in range(20))
     assert got[105].split() == ["yes"] * 12 + ["no"] * 8
+
+
+def test_names_of_layouts_lose_no_article():
+    def article(page):
+        marked, found = site_style.blocks(page)
+        return [text for _, kind, text in found if kind == (site_style.ARTICLE if marked else site_style.BODY)]
+
+    for name in ("content-sidebar", "header-fixed", "layout-sidebar", "nav-open", "social-science", "notice-period", "sidebar", "widget"):
+        assert article(f"<body class='{name}'><article><p>Text</article>") == ["Text"]
+        assert article(f"<body><div id='{name}'><div><article><p>Text</article></div></div>") == ["Text"]
+        assert article(f"<main><div class='{name}'><p>Intro<article><p>Text</article></div></main>") == ["Intro", "Text"]
+        assert article(f"<main class='{name}'><p>Text</main>") == ["Text"]
+    assert article("<body><article><p>One<section class='social-science'><p>Two</section></article>") == ["One", "Two"]
+    assert article("<body class='notice-period'><p>Text") == ["Text"]
+    # still noise: whole names, comments as articles inside the article, teasers beside it, tags
+    assert article("<article><p>One<div class='x ad'>ad</div><div class='comments'><article>c</article></div></article><div class='related'><article>t</article></div>") == ["One"]
+    assert article("<article><p>One<aside><article>a</article></aside><div role='navigation'>m</div></article>") == ["One"]
