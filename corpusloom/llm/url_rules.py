@@ -1,7 +1,8 @@
 """URL filters: explicit host and path rules, and association rules mined from labelled URLs.
 
 URLs that an explicit rule judges are the labelled transactions: their tokens and their label.
-Spark's FP-growth mines token combinations that imply a label, pruned by support and confidence.
+Spark's FP-growth mines token combinations that imply a label from all of them, pruned by support and
+confidence; rules of more than MAX_TOKENS tokens aren't used.
 Mined rules are posted under one token each; a URL's tokens look them up there, and a rule
 applies if the URL has all its tokens.
 """
@@ -18,8 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 SITE_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.9, 3
-#: About so many labelled URLs are mined, chosen by a hash of the URL.
-FIT_ROWS = 500_000
 DEFAULT = "allow"
 _LABEL = "label="
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -50,17 +49,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1))), tagged("host:", F.split(host, r"\.")), tagged("path:", F.split(shape, "/")),
         F.array(F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), tagged("key:", keys), F.array(F.concat(F.lit("frag:"), F.regexp_extract(url, r"(?s)#(.*)$", 1))),
     )
-    return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array()), lambda t: ~t.endswith(":") & (F.length(t) <= 80))))
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array()), lambda t: ~t.endswith(":"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``labelled`` (tokens, label) -> (antecedent, label, confidence, support)."""
-    n = labelled.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    some = labelled.where(F.pmod(F.xxhash64("tokens", "label"), F.lit(1_000_000)) < share * 1_000_000) if share < 1 else labelled
-    items = some.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``labelled`` (tokens, label) -> (antecedent, label, confidence, support), from every row."""
+    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
     schema = "antecedent array<string>, label string, confidence double, support double"
-    if n == 0:
+    if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], schema)
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
     label = F.element_at("consequent", 1)

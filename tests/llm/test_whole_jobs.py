@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from corpusloom.llm import simhash, site_style
+from corpusloom.llm import simhash, site_style, url_rules
 
 
 def _shingles(text, n=5):
@@ -95,3 +96,15 @@ def test_names_of_layouts_lose_no_article():
     # still noise: whole names, comments as articles inside the article, teasers beside it, tags
     assert article("<article><p>One<div class='x ad'>ad</div><div class='comments'><article>c</article></div></article><div class='related'><article>t</article></div>") == ["One"]
     assert article("<article><p>One<aside><article>a</article></aside><div role='navigation'>m</div></article>") == ["One"]
+
+
+def test_rules_are_mined_from_all_rows(spark):
+    # one shape holds a third of 600,000 rows; the confidences are those of the whole table
+    n = spark.range(600_000)
+    tokens = F.when(F.col("id") % 3 == 0, F.array(F.lit("path:hot"))).otherwise(F.array(F.concat(F.lit("path:"), F.col("id") % 7), F.lit("x" * 90)))
+    label = F.when(F.col("id") % 50 == 0, "allow").otherwise("block")
+    got = {tuple(r.antecedent): (round(r.support * 600_000), r.confidence) for r in url_rules.mine(n.select(tokens.alias("tokens"), label.alias("label"))).collect() if r.label == "block"}
+    rows = [i for i in range(600_000) if i % 3 == 0]
+    assert got[("path:hot",)] == (sum(i % 50 > 0 for i in rows), sum(i % 50 > 0 for i in rows) / len(rows))
+    long = spark.createDataFrame([("http://a.net/" + "y" * 100,)], "url string").select(url_rules.tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t")).first().t
+    assert "path:" + "y" * 100 in long
