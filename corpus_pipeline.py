@@ -33,9 +33,11 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no language: null, empty or without a letter."""
+    """Drop documents that are null, empty or without a letter; any other passes, in whatever language."""
     rows = _numbered(docs)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
+    if not model.languages:  # no label at all: nothing to predict by
+        return _without(rows, rows.where(~language_id.has_letter(F.col("text"))).select("loom_row"))
     found = language_id.predict(rows.select("loom_row", "text"), model)
     return _without(rows, found.where(F.col("lang_pred") == language_id.UNKNOWN).select("loom_row"))
 

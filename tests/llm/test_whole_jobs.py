@@ -108,3 +108,11 @@ def test_rules_are_mined_from_all_rows(spark):
     assert got[("path:hot",)] == (sum(i % 50 > 0 for i in rows), sum(i % 50 > 0 for i in rows) / len(rows))
     long = spark.createDataFrame([("http://a.net/" + "y" * 100,)], "url string").select(url_rules.tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t")).first().t
     assert "path:" + "y" * 100 in long
+
+
+def test_texts_without_any_label_pass(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "12", None), (3, None, None), (4, "", None)]
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "test")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
