@@ -2,8 +2,10 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), and its result is
 written as Parquet and reread as the next one's docs. All but the last return the columns of
-``documents``. Rows are told apart by their place in the reread table, so null or repeated ids
-and wholly equal rows are handled one by one; an empty table gives empty results.
+``documents``. Rows are told apart by the file and place they are read from, which no split of the
+files and no change of the cluster alters, so null or repeated ids and wholly equal rows are
+handled one by one; an empty table gives empty results. Columns besides those of ``documents``
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, language_id, mixing, packing, simhash
-from corpusloom.llm._common import materialise, possibly, table
+from corpusloom.llm._common import materialise, numbered, possibly, remove, scratch, scratch_path, table
 from corpusloom.llm.queries import PACK_TOKENIZER
 
 #: Near copies in the pipeline: five-word shingles that overlap by 0.8 or more. Such texts differ in
@@ -20,49 +22,44 @@ from corpusloom.llm.queries import PACK_TOKENIZER
 NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, NEAR_MINIMA, NEAR_SIMILARITY = 5, 512, 112, 6, 0.8
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Each row's place in the table: the same in every scan of the same Parquet files."""
-    return docs.withColumn("loom_row", F.monotonically_increasing_id())
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``dropped`` (loom_row)."""
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (row, doc) but for those of ``dropped`` (row)."""
     gone = materialise(dropped, "dropped")
-    maybe, stays = possibly(docs, gone, ["loom_row"])
-    return stays.unionByName(maybe.join(gone.hint("merge"), "loom_row", "left_anti")).drop("loom_row")
+    maybe, stays = possibly(rows, gone, ["row"])
+    return stays.unionByName(maybe.join(gone.hint("merge"), "row", "left_anti")).select("doc.*")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are null, empty or without a letter; any other passes, in whatever language."""
-    rows = _numbered(docs)
+    rows = numbered(docs)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
     if not model.languages:  # no label at all: nothing to predict by
-        return _without(rows, rows.where(~language_id.has_letter(F.col("text"))).select("loom_row"))
-    found = language_id.predict(rows.select("loom_row", "text"), model)
-    return _without(rows, found.where(F.col("lang_pred") == language_id.UNKNOWN).select("loom_row"))
+        return _without(rows, rows.where(~language_id.has_letter(F.col("doc.text"))).select("row"))
+    found = language_id.predict(rows.select("row", "doc.text"), model)
+    return _without(rows, found.where(F.col("lang_pred") == language_id.UNKNOWN).select("row"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z the row with the largest doc_id stays."""
-    rows = _numbered(docs)
-    found = exact_dedup.dedup_groups(rows.select(F.struct("doc_id", "loom_row").alias("row"), "text"), "row")
-    return _without(rows, found.where(~F.col("kept")).select("row.loom_row"))
+    rows = numbered(docs)
+    found = exact_dedup.dedup_groups(rows.select(F.struct("doc.doc_id", "row").alias("id"), "doc.text"), "id")
+    return _without(rows, found.where(~F.col("kept")).select("id.row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose shingles overlap by 0.8 or more the row with the smallest doc_id stays."""
-    rows = _numbered(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "loom_row")
-    found = simhash.near_duplicates(rows.select(row.alias("row"), "text"), "row", "text", NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, minima=NEAR_MINIMA, similarity=NEAR_SIMILARITY)
-    return _without(rows, found.where(F.col("row") != F.col("component_id")).select("row.loom_row"))
+    rows = numbered(docs)
+    place = F.struct(F.col("doc.doc_id").isNull().alias("unknown"), "doc.doc_id", "row")
+    found = simhash.near_duplicates(rows.select(place.alias("id"), "doc.text"), "id", "text", NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, minima=NEAR_MINIMA, similarity=NEAR_SIMILARITY)
+    return _without(rows, found.where(F.col("id") != F.col("component_id")).select("id.row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = _numbered(docs)
-    taken = mixing.mix(rows, "loom_row").where("copies > 0").select("loom_row", "copies")
-    joined = rows.join(taken.hint("merge"), "loom_row")
-    return joined.withColumn("loom_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    rows = numbered(docs)
+    taken = mixing.mix(rows.select("row", "doc.source", "doc.text"), "row").where("copies > 0")
+    times = taken.select("row", F.sequence(F.lit(1), "copies").alias("times"))
+    return rows.join(times.hint("merge"), "row").select("doc", F.explode("times")).select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. A stage's scratch tables go once its result is written, and that once the next one's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if last:
+            remove(spark, [last])
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

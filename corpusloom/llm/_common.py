@@ -6,7 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +39,91 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _own["root"]
 
 
+#: Scratch folders that this process has made and not removed, by the scopes that are open.
+_made: list[list[str]] = [[]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/loom/{name}-{uuid.uuid4().hex}"
+    """A new folder's place under the shared one; it goes with its ``scratch`` scope, or at exit."""
+    path = f"{shared_root(spark)}/loom/{name}-{uuid.uuid4().hex}"
+    if "exit" not in _own:
+        _own["exit"] = "release"
+        atexit.register(release, spark)
+    _made[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders on whatever file system they lie."""
+    jvm = spark.sparkContext._jvm
+    if jvm is None:  # the session has ended
+        return
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch folders. Results that still read them, as those of operators do, end with it."""
+    paths = [p for scope in _made for p in scope]
+    _made[:] = [[]]
+    if spark.sparkContext._jsc is not None:
+        remove(spark, paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end, whether or not it ends well.
+
+    What is to outlast it must have been written elsewhere, or by a ``materialise`` before it.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _made.pop())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage where every executor can read it again, and gives Spark the table's real
     size, so that it can choose between broadcast and shuffle by that.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): the file that a row is read from (its path's hash) with its place there, and the row.
+
+    Neither depends on how Spark splits the files, so every scan gives a row the same number, on
+    whatever cores there are. ``docs`` is a table as read from Parquet files; any other has no such
+    places, and is written down once with numbers.
+    """
+    whole = F.struct("*").alias("doc")
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")).alias("row"), whole)
+    except AnalysisException:
+        once = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))
+        return materialise(docs.select(once.alias("row"), whole), "numbered")
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """Cuts ``batch`` so that each part has at most so many bytes of ``column`` and rows, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = int(np.searchsorted(ends, before + most_bytes, "right"))
+        stop = min(max(stop, at + 1), at + most_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 4 << 20
 

@@ -131,20 +131,25 @@ def fingerprints(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
 
 
 def _differing(docs: DataFrame, groups: DataFrame, per_copy: int) -> DataFrame:
-    """Rows (uid) that differ from their group's representative in some chunk.
+    """Rows (by ``_ROW``) that differ from their group's representative in some chunk.
 
-    ``groups``: uid, row key, rep (uid of the representative), n (members), for groups of two or
-    more. Rows with one key are the same row repeated. A representative's chunks are copied once per ``per_copy`` members, so that no group meets in
-    one task; only rows of such groups are chunked.
+    ``groups``: row key, rep1 and rep2 (the representative's row key), n (members), for groups of
+    two or more, each row key once: rows with one key are the same row repeated, and none of them
+    meets the others. A representative's chunks are copied once per ``per_copy`` members, so that
+    no group meets in one task; only rows of such groups are chunked.
     """
     spread = F.ceil(F.col("n") / per_copy).cast("int")
     maybe, _ = possibly(docs, groups, _ROW)
-    texts = maybe.join(groups.hint("merge"), _ROW).select("uid", "rep", "n", "text")
-    cut = texts.mapInArrow(_chunks, "uid long, rep long, n long, no long, chunk binary")
-    members = cut.where("uid <> rep").select("uid", "rep", "no", "chunk", F.pmod(F.xxhash64("uid"), spread).cast("int").alias("copy"))
-    reps = cut.where("uid = rep").select("rep", "no", F.col("chunk").alias("other"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("copy"))
+    key = [*_ROW, "rep1", "rep2", "n"]
+    texts = maybe.join(groups.hint("merge"), _ROW).select(*key, "text")
+    cut = texts.mapInArrow(_chunks, ", ".join(f"{c} long" for c in key) + ", no long, chunk binary")
+    own = (F.col("row1") == F.col("rep1")) & (F.col("row2") == F.col("rep2"))
+    members = cut.where(~own).select(*_ROW, "rep1", "rep2", "no", "chunk", F.pmod(F.xxhash64(*_ROW), spread).cast("int").alias("copy"))
+    # of a representative that is repeated, any
+    reps = cut.where(own).groupBy("rep1", "rep2", "no", "n").agg(F.first("chunk").alias("other"))
+    reps = reps.select("rep1", "rep2", "no", "other", F.explode(F.sequence(F.lit(0), spread - 1)).alias("copy"))
     # lengths are equal within a group, so each chunk has its counterpart
-    return members.join(reps, ["rep", "no", "copy"]).where("chunk <> other").select("uid").distinct()
+    return members.join(reps, ["rep1", "rep2", "no", "copy"]).where("chunk <> other").select(*_ROW).distinct()
 
 
 def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE_BYTES, per_copy: int = PER_COPY) -> DataFrame:
@@ -161,21 +166,23 @@ def dedup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumns({"row1": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(1), "text", "id")})
     prints = materialise(fingerprints(docs, huge_bytes).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     key = ["bytes", "fp1", "fp2"]
-    top = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("uid"))).alias("top")
-    groups = prints.groupBy(*key).agg(top, F.count(F.lit(1)).alias("n"))
-    many = materialise(groups.where("n > 1").select(*key, "top", "n"), "equal-prints")
-    members = materialise(prints.join(many.hint("merge"), key).select("uid", *_ROW, F.col("top.uid").alias("rep"), "n"), "members")
-    different = materialise(_differing(docs, members, per_copy), "different")
-    collided = prints.join(different, "uid", "left_semi").select(*key).distinct()
+    top = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("uid"), *_ROW)).alias("top")
+
+    def members(rows: DataFrame, by: list[str]) -> DataFrame:
+        many = rows.groupBy(*by).agg(top, F.count(F.lit(1)).alias("n")).where("n > 1")
+        many = materialise(many.select(*by, F.col("top.row1").alias("rep1"), F.col("top.row2").alias("rep2"), "n"), "equal-prints")
+        found = rows.join(many.hint("merge"), by).select(*_ROW, "rep1", "rep2", "n")
+        return materialise(found.groupBy(*_ROW).agg(*(F.first(c).alias(c) for c in ("rep1", "rep2", "n"))), "members")
+
+    different = materialise(_differing(docs, members(prints, key), per_copy), "different")
+    collided = prints.join(different, _ROW, "left_semi").select(*key).distinct()
     if collided.isEmpty():
         own = prints.withColumn("tie", F.lit(""))
     else:
         # a collision: the whole group is told apart by SHA-256 too, and compared again
         mixed = prints.join(collided.withColumn("mixed", F.lit(True)), key, "left")
-        own = materialise(mixed.withColumn("tie", F.when("mixed", F.col("sha")).otherwise("")).drop("mixed"), "retold")
-        again = own.where("tie <> ''").groupBy(*key, "tie").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1")
-        again = own.join(again, [*key, "tie"]).select("uid", *_ROW, F.col("top.uid").alias("rep"), "n")
-        if not _differing(docs, again, per_copy).isEmpty():
+        own = materialise(mixed.withColumn("tie", F.when(F.col("mixed"), F.col("sha")).otherwise("")).drop("mixed"), "retold")
+        if not _differing(docs, members(own.where("tie <> ''"), [*key, "tie"]), per_copy).isEmpty():
             raise ValueError("texts that differ share their length, fingerprint and SHA-256")
     final = own.groupBy(*key, "tie").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = own.join(final.hint("merge"), [*key, "tie"], "left")

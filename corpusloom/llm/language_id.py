@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, small_batches, text_or_empty
+from ._common import column_type, slices, small_batches, text_or_empty
 
 #: About so many labelled rows of each language are fitted on, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2_000
 #: Contexts of three bytes that get a node: the most frequent ones over all languages.
 DEEP_CONTEXTS = 4_096
 UNKNOWN = "und"
-#: Characters priced at once, and rows taken from a batch.
-_SLICE, _ROWS = 1 << 17, 512
+#: Characters priced at once; rows, and bytes of text, taken from a batch.
+_SLICE, _ROWS, _BYTES = 1 << 17, 512, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class Model:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each byte with the three before it, by language; start pads count as byte 0."""
     held: dict[str, dict[int, int]] = {}
-    for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+    for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         texts = batch.column("text").to_pylist()
         for lang in set(langs):
@@ -160,7 +160,7 @@ def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
             known = np.array(batch.column("letters").to_pylist(), dtype=bool)
             texts = batch.column("text").to_pylist()
             lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))

@@ -8,22 +8,25 @@ with white space that the argument doesn't cover go to the library whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces a worker remembers. Later ones are encoded just as exactly, for their batch only.
-MEMO_ENTRIES = 600_000
-#: Pieces that the library gets in one call.
-_JOINED = 1000
+#: Pieces that a worker remembers, at about 180 bytes each; longer ones than LONG aren't remembered.
+MEMO_ENTRIES, LONG = 400_000, 64
+#: Longer texts are encoded by parts of about so many characters, where the tokenizer allows it.
+PART_CHARS = 1 << 18
 #: Marks that never share a token with a letter before them, in either tokenizer.
 _TAIL = ".,;:!?"
 _SPACES = str.maketrans("\t\n\r", "   ")
+_CUT = re.compile(r"\S(?= \S)")
 
 
 @lru_cache(maxsize=4)
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -67,40 +70,44 @@ def starts_words_at_spaces(path: str) -> bool:
     return _plain_specials(spec) and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
 
-def _by_piece(t, pieces: list[str], lead: str) -> list[list[int]]:
-    """The ids of each piece, encoded beside others of which ``lead`` keeps it apart."""
-    out = []
-    for k in range(0, len(pieces), _JOINED):
-        some = pieces[k:k + _JOINED]
-        e = t.encode(lead + lead.join(some), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(p) + len(lead) for p in some[:-1]])
-        at = np.searchsorted(starts, np.array([a for a, _ in e.offsets], dtype=np.int64), "right") - 1
-        cuts = np.searchsorted(at, np.arange(len(some) + 1))
-        ids = e.ids
-        out += [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    return out
+def _each(t, pieces: list[str]) -> list[list[int]]:
+    return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 class _Memo:
+    """Two generations: pieces met again move to the young one; when that is full, the old one goes."""
+
     def __init__(self, path: str):
-        self.t, self.memo = load(path), {}
+        self.t, self.memo, self.old = load(path), {}, {}
 
     def learn(self, words: set[str]) -> dict:
-        """Values of words that the memo lacks; a letter and marks after it are encoded apart."""
+        """Values of words that the young memo lacks; a letter and marks after it are encoded apart."""
+        old, get = self.old.get, self.memo.get
+        new = {w: x for w in words if (x := old(w)) is not None}
         cut = {}
         for w in words:
-            core = w.rstrip(_TAIL)
-            cut[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1].isalpha() else (w, "")
-        get = self.memo.get
-        bare = list({core for core, _ in cut.values() if get(core) is None})
-        new = dict(zip(bare, self.values(bare)))
+            if w not in new:
+                core = w.rstrip(_TAIL)
+                cut[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1].isalpha() else (w, "")
+        bare = []
+        for core in {core for core, _ in cut.values()}:
+            if core not in new and get(core) is None:
+                if (x := old(core)) is not None:
+                    new[core] = x
+                else:
+                    bare.append(core)
+        new.update(zip(bare, self.values(bare)))
         for w, (core, tail) in cut.items():
             if tail:
                 value = new.get(core)
                 new[w] = self.join(get(core) if value is None else value, tail)
-        room = MEMO_ENTRIES - len(self.memo)
-        if room > 0:
-            self.memo.update(new if len(new) <= room else list(new.items())[:room])
+        self.memo.update(new if max(map(len, new)) <= LONG else {w: x for w, x in new.items() if len(w) <= LONG})
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.old, self.memo = self.memo, {}
         return new
 
 
@@ -110,10 +117,9 @@ class Counter(_Memo):
     def __init__(self, path: str):
         super().__init__(path)
         self.by_word, self.marks = drops_white_space(path), {}
-        self.memo[""] = 0
 
     def values(self, words: list[str]) -> list[int]:
-        return [len(x) for x in _by_piece(self.t, words, " ")]
+        return list(map(len, _each(self.t, words)))
 
     def join(self, core: int, tail: str) -> int:
         if tail not in self.marks:
@@ -147,15 +153,15 @@ class Encoder(_Memo):
     def __init__(self, path: str):
         super().__init__(path)
         self.by_word, self.marks = starts_words_at_spaces(path), {}
-        self.newline, self.heads = self.whole("\n"), {}
+        self.newline, self.heads = self.whole("\n"), {}  # heads: first words of lines
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.t.encode(text, add_special_tokens=False).ids)
 
     def values(self, words: list[str]) -> list[bytes]:
         """Ids with the space before them; b"x" marks what must not be cut off from its text."""
         good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        found = dict(zip(good, (np.array(x, dtype="<u4").tobytes() for x in _by_piece(self.t, good, " "))))
+        found = dict(zip(good, map(_bytes, _each(self.t, [" " + w for w in good]))))
         return [found.get(w, b"x") for w in words]
 
     def join(self, core: bytes, tail: str) -> bytes:
@@ -168,8 +174,19 @@ class Encoder(_Memo):
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(t) for t in texts]
-        get, plans, missing = self.memo.get, [], set()
+        out = []
         for text in texts:
+            if len(text) <= PART_CHARS:
+                out.append(None)
+            else:  # part by part, so that memory doesn't grow with the words of a text
+                out.append(b"".join(self._parts([(p, bool(k))])[0] for k, p in enumerate(parts(text))))
+        short = iter(self._parts([(t, False) for t, x in zip(texts, out) if x is None]))
+        return [next(short) if x is None else x for x in out]
+
+    def _parts(self, texts: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of texts, each with a space before it or not."""
+        get, plans, missing = self.memo.get, [], set()
+        for text, _ in texts:
             # a leading space stands in for the one that the first word lacks
             lines = [line.split(" ") for line in text.split("\n")]
             got = [list(map(get, line)) for line in lines]
@@ -180,6 +197,7 @@ class Encoder(_Memo):
         new = self.learn(missing) if missing else {}
         out, heads, places = [], [], []
         for k, (lines, got) in enumerate(plans):
+            spaced = texts[k][1]
             parts, first = [], []
             for line, have in zip(lines, got):
                 if None in have:
@@ -187,26 +205,41 @@ class Encoder(_Memo):
                 if b"x" in have:
                     parts = None
                     break
-                first.append(line[0])
-                parts.append(b"".join(have[1:]))
+                first.append(None if spaced and not first else line[0])
+                parts.append(b"".join(have if first[-1] is None else have[1:]))
             if parts is None:
-                out.append(self.whole(texts[k]))
+                out.append(self.whole(" " * spaced + texts[k][0]))
             else:
                 # the first word of each line has no space before it
                 places.append((len(out), first, parts))
                 heads += first
                 out.append(b"")
-        bare = list({w for w in heads if w not in self.heads})
-        drop = len(self.newline)
-        start = dict(zip(bare, (np.array(x, dtype="<u4").tobytes()[drop:] for x in _by_piece(self.t, bare, "\n"))))
-        if len(self.heads) < MEMO_ENTRIES // 4:
-            self.heads.update(start)
-        start = {w: start[w] if w in start else self.heads[w] for w in set(heads)}
+        want = {w for w in heads if w is not None}
+        bare = [w for w in want if w not in self.heads]
+        start = dict(zip(bare, map(_bytes, _each(self.t, bare))))
+        for w in want.difference(start):
+            start[w] = self.heads[w]
+        if len(self.heads) < MEMO_ENTRIES // 8:
+            self.heads.update((w, x) for w, x in start.items() if len(w) <= LONG)
+        start[None] = b""
         for k, first, parts in places:
             out[k] = self.newline.join([start[w] + p for w, p in zip(first, parts)])
         return out
 
 
+def parts(text: str) -> list[str]:
+    """Cuts a text at single spaces between characters that aren't white space; the spaces go.
+
+    A token begins at each such space, so the parts, with the space before all but the first,
+    have the tokens of the text.
+    """
+    out, at = [], 0
+    while len(text) - at > PART_CHARS and (m := _CUT.search(text, at + PART_CHARS)):
+        out.append(text[at:m.end()])
+        at = m.end() + 1
+    return [*out, text[at:]]
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One for each worker process, so that what it remembers serves all its tasks."""

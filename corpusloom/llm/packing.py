@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import memo
-from ._common import column_type, materialise, small_batches, text_or_empty
+from ._common import column_type, materialise, slices, small_batches, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
 #: About so many pieces of one length are numbered by one task.
 ROWS_PER_GROUP = 250_000
-_BATCH = 256
+#: Rows and bytes of text that a task holds as Python words at once.
+_BATCH, _BYTES = 256, 1 << 20
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -159,8 +160,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = memo.encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(k, _BATCH)
+            for part in slices(batch, "text", _BYTES, _BATCH):
                 doc, cols = [], [[], [], [], []]
                 for row, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
                     ids = memoryview(ids + end)

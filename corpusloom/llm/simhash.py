@@ -24,14 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, possibly, small_batches, text_or_empty
+from ._common import column_type, materialise, possibly, slices, small_batches, text_or_empty
 
 SHINGLE = 3
 RADIUS = 2
 #: Lanes of a block; keys with more members are cut into tiles of about this size.
 LANES = 512
-#: Texts that a task holds as Python strings at once.
-_ROWS = 512
+#: Texts, and bytes of them, that a task holds as Python strings at once.
+_ROWS, _BYTES = 512, 1 << 20
+#: Words and hashes of a long text that are worked on at once.
+_WORDS, _HASHES = 1 << 16, 255 * 64
 #: Bytes of shingle hashes that a block of exact comparisons holds, about.
 TILE_BYTES = 4 << 20
 #: 128 bits of a text, by which a second pass over the table finds it again.
@@ -46,13 +48,16 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    line = b" ".join(words)
     if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-shingle].tolist()]
-    hash64 = xxhash.xxh64_intdigest
-    return np.array([hash64(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    hash64, out = xxhash.xxh64_intdigest, []
+    for lo in range(0, len(words) - shingle + 1, _WORDS):
+        some = words[lo:lo + _WORDS + shingle - 1]
+        line = b" ".join(some)
+        ends = np.cumsum([len(w) + 1 for w in some])
+        starts = [0, *ends[:-shingle].tolist()]
+        out.append(np.array([hash64(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())], np.uint64))
+    return np.concatenate(out)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -67,19 +72,21 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
     """A bit is 1 if it is set in over half the hashes; no hashes give zero. Big-endian words."""
     if not len(h):
         return bytes(8 * words)
-    cols = np.empty((len(h), words), ">u8")
-    for k in range(words):
-        cols[:, k] = _mixed(h, k) if k else h
-    rows = cols.view(np.uint8)
     ones = np.zeros(64 * words, np.int64)
-    for a in range(0, len(h), 255):
-        ones += np.unpackbits(rows[a:a + 255], axis=1).sum(0, dtype=np.uint8)
+    for lo in range(0, len(h), _HASHES):
+        some = h[lo:lo + _HASHES]
+        cols = np.empty((len(some), words), ">u8")
+        for k in range(words):
+            cols[:, k] = _mixed(some, k) if k else some
+        rows = cols.view(np.uint8)
+        for a in range(0, len(some), 255):
+            ones += np.unpackbits(rows[a:a + 255], axis=1).sum(0, dtype=np.uint8)
     return np.packbits(ones * 2 > len(h)).tobytes()
 
 
 def _prints(shingle: int, words: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
             fp, same, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, shingle)
@@ -271,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
             sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in batch.column("text").to_pylist()]
             keep = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sets, pa.binary())], [*keep.schema.names, "hashes"])

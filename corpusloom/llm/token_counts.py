@@ -19,21 +19,21 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import memo
-from ._common import column_type, materialise, small_batches, text_or_empty
+from ._common import column_type, materialise, slices, small_batches, text_or_empty
 
 LIMIT = 2048
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
 _WHITE = " \t\n\r\x0b\x0c"
-_BATCH = 512
+#: Rows and bytes of text that a task holds as Python words at once.
+_BATCH, _BYTES = 512, 1 << 20
 
 
 def _count_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = memo.counter(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(k, _BATCH)
+            for part in slices(batch, "text", _BYTES, _BATCH):
                 counts = counter.count(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

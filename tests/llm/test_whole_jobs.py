@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.llm import simhash, site_style, url_rules
+from corpusloom.llm import exact_dedup, simhash, site_style, url_rules
 
 
 def _shingles(text, n=5):
@@ -116,3 +116,91 @@ def test_texts_without_any_label_pass(spark):
     rows = [(1, "some words", None), (2, "12", None), (3, None, None), (4, "", None)]
     docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "test")
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("copies", "loom_row", "row", "doc", "id", "loom_bucket", "size", "label", "component_id", "kept", "lang_pred", "file", "place", "times", "_metadata")
+
+
+def _documents(n, clashes=()):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(("one", "two", "three", "four", "five")) for _ in range(r.randint(1, 60))), "en", f"s{i % 3}", 1) for i in range(n)]
+    rows += [(i, t, *rest) for i, t, *rest in rows[: n // 2]]  # rows that repeat others wholly
+    return [(*row, *range(len(clashes))) for row in rows], ", ".join([COLUMNS, *(f"{c} long" for c in clashes)])
+
+
+def test_rows_keep_their_numbers_when_files_are_split_otherwise(spark, tmp_path):
+    """Executors come and go between two scans, and with them how Spark splits the files."""
+    import corpus_pipeline
+    from corpusloom.llm._common import numbered
+
+    rows, kinds = _documents(4000)
+    path = str(tmp_path / "documents")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    spark.createDataFrame(rows, kinds).repartition(3).sortWithinPartitions("doc_id").write.option("parquet.block.size", 20_000).parquet(path)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        seen = []
+        for parts, size in (("1", "128m"), ("9", "128m"), ("30", "8k")):
+            spark.conf.set("spark.sql.files.minPartitionNum", parts)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = numbered(spark.read.parquet(path))
+            seen.append((found.rdd.getNumPartitions(), {(x.row.file, x.row.place): (x.doc.doc_id, x.doc.text) for x in found.collect()}))
+        assert len({n for n, _ in seen}) > 1 and all(len(x) == len(rows) and x == seen[0][1] for _, x in seen)
+        # the decisions of a stage are taken under one split and applied under another
+        docs = spark.read.parquet(path)
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        kept = corpus_pipeline.drop_exact_copies(spark, docs, "")
+        spark.conf.set("spark.sql.files.minPartitionNum", "30")
+        got = sorted((x.doc_id, x.text) for x in kept.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    last = {}
+    for i, t, *_ in rows:
+        last[t] = max(i, last.get(t, i))
+    assert got == sorted((i, t) for t, i in last.items())
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, kinds = _documents(40, CLASHES)
+    for no, docs in enumerate((spark.createDataFrame(rows, kinds), spark.createDataFrame([], COLUMNS))):
+        columns = docs.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{no}-{name}")
+            docs.write.mode("overwrite").parquet(path + "-in")
+            out = stage(spark, spark.read.parquet(path + "-in"), "")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+        assert (docs.count() == 0) == bool(no)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from corpusloom.llm._common import materialise, scratch, shared_root
+
+    folder = shared_root(spark).removeprefix("file://") + "/loom"
+    with scratch(spark):
+        inside = materialise(spark.range(3), "inside")
+        assert inside.count() == 3
+        names = set(os.listdir(folder))
+        assert any(n.startswith("inside") for n in names)
+    assert not any(n.startswith("inside") for n in os.listdir(folder))
+
+
+def test_equal_rows_and_collisions_in_exact_dedup(spark, monkeypatch):
+    rows = [(None, "Same text")] * 50 + [(None, "other")] * 3 + [(1, "other"), (2, "OTHER"), (3, "ba"), (4, "ab"), (5, "AB")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((None, None, 50)) for _ in range(50)) + [(None, 2, 5)] * 3 + [(1, 2, 5), (2, 2, 5), (3, 3, 1), (4, 5, 2), (5, 5, 2)]
+    key = lambda r: tuple(str(x) for x in r)
+    got = exact_dedup.dedup_groups(df, per_copy=4).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=key) == sorted(want, key=key) and sum(r.kept for r in got) == 4
+    # every text of one length has the same fingerprint: the comparison of chunks tells them apart
+    plain = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda docs, huge: plain(docs, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
+    got = exact_dedup.dedup_groups(df, per_copy=4).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=key) == sorted(want, key=key) and sum(r.kept for r in got) == 4
