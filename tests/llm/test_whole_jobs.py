@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, simhash, site_style, url_rules
+from corpusloom.llm import exact_dedup, mixing, simhash, site_style, url_rules
 
 
 def _shingles(text, n=5):
@@ -204,3 +204,14 @@ def test_equal_rows_and_collisions_in_exact_dedup(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda docs, huge: plain(docs, huge).withColumns({"fp1": F.lit(1).cast("long"), "fp2": F.lit(1).cast("long")}))
     got = exact_dedup.dedup_groups(df, per_copy=4).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=key) == sorted(want, key=key) and sum(r.kept for r in got) == 4
+
+
+def test_words_come_near_their_targets_and_equal_rows_are_spread(spark):
+    r = random.Random(4)
+    rows = [(i, f"s{i % 4}", r.choice((1, 5, 40, 300, 2000))) for i in range(240)] + [(None, "s1", 7)] * 20_000
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text"))
+    got = mixing.mix(df).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most"), F.max("copies").alias("copies"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(x.n for x in got) == len(rows) and max(x.copies for x in got) <= 3
+    assert all(abs(x.taken - x.target) <= max(0.03 * x.target, x.most / 2) for x in got)
+    again = mixing.mix(df.repartition(7)).groupBy("doc_id", "copies").count()
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(df).groupBy("doc_id", "copies").count().collect()))
