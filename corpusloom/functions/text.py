@@ -60,7 +60,7 @@ def complexity(query: Column) -> Column:
 
 def last_match_start(text: Column, pattern: str) -> Column:
     """0-based start of the last match; null if there is none."""
-    return F.when(text.rlike(f"(?is){pattern}"), F.length(F.regexp_extract(text, f"(?is)^(.*){pattern}", 1)))
+    return F.when(text.rlike(f"(?isU){pattern}"), F.length(F.regexp_extract(text, f"(?isU)^(.*){pattern}", 1)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import answering, chunking, context, dense, filings, fusion, lexical
+from ..sources import store
+from ..sources.scratch import new_folder
 from . import pipeline
 
 KEYS = ["doc_id"]
@@ -50,8 +52,19 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_stats(_chunks(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The documents' index: built once for a session, as a user keeps one; the tables don't change."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _indexes:
+        _indexes[name] = lexical.build_index(_chunks(spark, sf_dir), KEYS, new_folder(spark, "bm25"))
+    return _indexes[name]
+
+
 def bm25_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), KEYS, S.bm25_top_k).select("query_id", "rank", "doc_id", "score")
+    return lexical.search(_index(spark, sf_dir), _queries(spark, sf_dir), S.bm25_top_k).select("query_id", "rank", "doc_id", "score")
 
 
 def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +132,10 @@ def filing_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     form = F.element_at(F.array(*(F.lit(x) for x in ("10-K", "10Q", "8-K", "10K"))), (F.col("page_id") % 4 + 1).cast("int"))
-    head = F.concat(F.lit("<TYPE>"), form, F.lit("\n<FILENAME> "), host, F.lit("-"), F.lower(form), F.lit(".htm \n<p>For the fiscal year ended June 30, "), (F.lit(2000) + F.col("page_id") % 25).cast("string"), F.lit("</p>"))
+    year = (F.lit(2000) + F.col("page_id") % 25).cast("string")
+    said = [("<p>For the fiscal year ended June 30, ", "</p>"), ("Fiscal Year Ended&nbsp;\nSeptember 27, ", ""), ("<ix:nonNumeric name='dei:DocumentFiscalYearFocus' id='f'> ", " </ix:nonNumeric>"), ("<dei:documentfiscalyearfocus>", "</dei:documentfiscalyearfocus>"), ("fiscal year ended in ", ""), ("DocumentFiscalYearFocus ", "<p>fiscal year ended May 1, 1999")]
+    worded = F.element_at(F.array(*(F.concat(F.lit(a), year, F.lit(b)) for a, b in said)), (F.floor(F.col("page_id") / 4) % len(said) + 1).cast("int"))
+    head = F.concat(F.lit("<TYPE>"), form, F.lit("\n<FILENAME> "), host, F.lit("-"), F.lower(form), F.lit(".htm \n"), worded)
     files = p.select("page_id", F.concat(head, "html").alias("html"))
     html = F.col("html")
     name = filings.matched(html, filings.FILENAME)
@@ -177,6 +193,21 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 4).alias("norm"))
 
 
+def chunk_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents as chunks: to JSON, back, embedded, appended once and seeded twice, and reread."""
+    meta = [F.lit("T").alias("ticker"), F.lit("10-K").alias("filing_type"), F.lit(None).cast("string").alias("fiscal_period"), F.lit("body").alias("section")]
+    lines = chunking.number_chunks(_lines(spark, sf_dir), S.chunk_overlap).withColumn("source_file", F.concat(F.lit("d-"), F.col("source_file").cast("string")))
+    root = new_folder(spark, "roundtrip")
+    store.write_chunk_json(lines.select("source_file", "chunk_index", "char_offset", "content", *meta), root + "/json")
+    settings = Settings(embedding_dimensions=16)
+    embedder = dense.build_embedder("hashed", 16)
+    store.init_store(spark, root + "/store", 16, 32)
+    store.append(store.store_rows(dense.embed(store.read_chunk_json(spark, root + "/json").where("chunk_index = 0"), embedder)), root + "/store")
+    for _ in range(2):
+        pipeline.seed_store(spark, root + "/json", root + "/store", embedder, settings)
+    return store.read_store(spark, root + "/store").select("source_doc", "chunk_index", "char_offset", "section", "fiscal_period", F.md5("content").alias("digest"), F.size("embedding").alias("dimensions"))
+
+
 def _echo() -> dict:
     """Offline providers: the first is always overloaded, the second quotes the prompt's end."""
 
@@ -190,15 +221,15 @@ def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every benchmark text answered from all documents."""
     chunks = _chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "doc_id", "left")
     queries = _queries(spark, sf_dir).join(_vector_queries(spark, sf_dir), "query_id", "left")
-    found = pipeline.ask(chunks, queries, KEYS, _echo, S)
-    return found.select("query_id", "tier", "answer", "provider", F.size("failures").alias("n_failures"), F.array_join("sources", ";").alias("sources"))
+    found = pipeline.ask(chunks, queries, KEYS, _echo, S, index=_index(spark, sf_dir))
+    return found.select("query_id", "tier", "tokens_in", "answer", "provider", F.size("failures").alias("n_failures"), F.array_join("sources", ";").alias("sources"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         tokenize_counts, term_stats, bm25_topk_batch, dense_topk_batch, rrf_fusion, rerank_topk, route_complexity, sentence_split, sentence_relevance, budget_fold,
         line_chunks_offsets, recursive_chunks, last_marker_slice, html_clean, filing_meta, parse_filings, word_count, strip_think, context_block, sources,
-        fallback_resolution, dim_check, embed_batches, ask,
+        fallback_resolution, dim_check, embed_batches, chunk_store_roundtrip, ask,
     ]
     return {f.__name__: f for f in found}
 
@@ -266,9 +297,16 @@ def oracle_sql() -> dict[str, str]:
         "last_marker_slice": """WITH m AS (SELECT page_id, html, regexp_matches(html, '(?is)<h1') AS has, length(regexp_extract(html, '(?is)^(.*)<h1', 1)) AS a,
                 CASE WHEN regexp_matches(html, '(?is)</article>') THEN length(regexp_extract(html, '(?is)^(.*)</article>', 1)) ELSE length(html) END AS b FROM pages)
             SELECT page_id, a::BIGINT AS char_offset, (b - a)::BIGINT AS chars, md5(substring(html, a + 1, b - a)) AS digest FROM m WHERE has AND b > a""",
-        "filing_meta": """WITH f AS (SELECT page_id, ['10-K', '10Q', '8-K', '10K'][page_id % 4 + 1] AS form, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
+        "chunk_store_roundtrip": """WITH l AS (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+            o AS (SELECT *, coalesce(sum(greatest(length(c) - 150, 0)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM l)
+            SELECT 'd-' || doc_id AS source_doc, pos::INT AS chunk_index, char_offset, 'body' AS section, NULL::VARCHAR AS fiscal_period, md5(c) AS digest, 16 AS dimensions FROM o WHERE regexp_matches(c, '\S')""",
+        "filing_meta": """WITH f AS (SELECT page_id, ['10-K', '10Q', '8-K', '10K'][page_id % 4 + 1] AS form, regexp_extract(url, '://([^/?#]*)', 1) AS host,
+                ['<p>For the fiscal year ended June 30, ' || (2000 + page_id % 25) || '</p>', 'Fiscal Year Ended&nbsp;' || chr(10) || 'September 27, ' || (2000 + page_id % 25),
+                 '<ix:nonNumeric name=''dei:DocumentFiscalYearFocus'' id=''f''> ' || (2000 + page_id % 25) || ' </ix:nonNumeric>', '<dei:documentfiscalyearfocus>' || (2000 + page_id % 25) || '</dei:documentfiscalyearfocus>',
+                 'fiscal year ended in ' || (2000 + page_id % 25), 'DocumentFiscalYearFocus ' || (2000 + page_id % 25) || '<p>fiscal year ended May 1, 1999'][((page_id // 4) % 6 + 1)::INT] || html AS t FROM pages)
             SELECT page_id, form AS filing_type, host || '-' || lower(form) || '.htm' AS filename, coalesce(nullif(string_split(host, '-')[1], ''), 'unknown') AS ticker,
-                   CASE form WHEN '10K' THEN '10-K' ELSE form END AS form_of_name, 'FY' || (2000 + page_id % 25) AS fiscal_period FROM f""",
+                   CASE form WHEN '10K' THEN '10-K' ELSE form END AS form_of_name,
+                   'FY' || coalesce(nullif(regexp_extract(t, 'DocumentFiscalYearFocus[^>]*>\s*(\d{4})\s*<', 1, 'i'), ''), nullif(regexp_extract(t, 'fiscal year ended(?:&nbsp;|\s)*[A-Za-z]+(?:&nbsp;|\s)*\d{1,2},(?:&nbsp;|\s)*(\d{4})', 1, 'i'), '')) AS fiscal_period FROM f""",
         "word_count": r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents",
         "strip_think": f"""SELECT conv_id, turn, {strip(f"regexp_replace('<think>' || role || chr(10) || '</thinking> ' || coalesce(text, '') || '< thinking >x</ think ><think>open', {think})")} AS answer FROM conversations""",
         "context_block": f"""WITH {_RERANKED} SELECT query_id, string_agg('[' || rank || '] (source: ' || coalesce(source, 'None') || ', ' || coalesce(lang, 'None') || ', None, body)' || chr(10) || {strip('text')}, chr(10) || chr(10) ORDER BY rank) AS context

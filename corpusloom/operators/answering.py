@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import strip_think
+from .context import count_words
 
 #: Gives a provider's answer to a prompt; raises what the provider raises.
 Provider = Callable[[str], str]
@@ -23,11 +24,11 @@ class Degraded(Exception):
     """Every provider failed."""
 
 
-_SCHEMA = "answer string, provider string, failures array<struct<provider:string,reason:string>>"
+_SCHEMA = "answer string, provider string, tier string, tokens_in long, failures array<struct<provider:string,reason:string>>"
 
 
-def ask_providers(prompts: DataFrame, providers: Callable[[], dict[str, Provider]], settings: Settings = Settings()) -> DataFrame:
-    """``prompts`` (query_id, tier, prompt) -> (query_id, raw, provider, failures) by each row's chain.
+def ask_providers(prompts: DataFrame, providers: Callable[[], dict[str, Provider]], settings: Settings = Settings(), count: Callable[[str], int] = count_words) -> DataFrame:
+    """``prompts`` (query_id, tier, prompt) -> (query_id, answer, provider, tier, tokens_in, failures) by each row's chain.
 
     ``providers`` builds the clients, once per task. A blank answer counts as a failure, judged
     without its reasoning blocks. Where all fail, answer and provider are null.
@@ -58,7 +59,7 @@ def ask_providers(prompts: DataFrame, providers: Callable[[], dict[str, Provider
                     except Exception as e:  # any provider error moves the chain on
                         failures.append((name, type(e).__name__))
                 out.append((*done, [{"provider": p, "reason": r} for p, r in failures]))
-            yield pd.DataFrame({"query_id": pdf["query_id"], "answer": [x[0] for x in out], "provider": [x[1] for x in out], "failures": [x[2] for x in out]})
+            yield pd.DataFrame({"query_id": pdf["query_id"], "answer": [x[0] for x in out], "provider": [x[1] for x in out], "tier": pdf["tier"], "tokens_in": [count(p) for p in pdf["prompt"]], "failures": [x[2] for x in out]})
 
     kind = prompts.schema["query_id"].dataType.simpleString()
     return prompts.select("query_id", "tier", "prompt").mapInPandas(run, f"query_id {kind}, {_SCHEMA}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,37 @@ def sources(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_sort(F.collect_set(label)).alias("sources"))
 
 
-def token_estimate(c: Column) -> Column:
-    """Stand-in token counter as an expression."""
-    return F.size(tokenize(c))
+def bpe_counter(vocabulary: str, pattern: str) -> Callable[[str], int]:
+    """Counts tokens by a byte-pair vocabulary in tiktoken's format; each worker loads it once."""
+
+    def count(text: str) -> int:
+        return len(_encoding(vocabulary, pattern).encode_ordinary(text)) if text else 0
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _encoding(vocabulary: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("loom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _counter(count: Callable[[str], int]):
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: count(t) if t else 0).astype("int64")
+
+    return counted
+
+
+def compression_totals(before: DataFrame, after: DataFrame, count: Callable[[str], int] = count_words, content: str = "content") -> DataFrame:
+    """(query_id, tokens_before, tokens_after, chunks) of each query's ranked chunks."""
+    counted = _counter(count)
+    own = before.groupBy("query_id").agg(F.sum(counted(content)).alias("tokens_before"))
+    left = after.groupBy("query_id").agg(F.sum(counted(content)).alias("tokens_after"), F.count(F.lit(1)).alias("chunks"))
+    return own.join(left, "query_id", "left").select("query_id", "tokens_before", F.coalesce("tokens_after", F.lit(0)).alias("tokens_after"), F.coalesce("chunks", F.lit(0)).alias("chunks"))

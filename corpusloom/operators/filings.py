@@ -12,15 +12,15 @@ from pyspark.sql.types import StringType
 from ..functions.text import last_match_start, strip_u
 
 # Section markers, metadata patterns, tags that break paragraphs.
-_GAP = r"(?:\s|&nbsp;)*"
+_GAP = r"(?:&nbsp;|\s)*"
 SECTIONS = (
-    ("Item 1A", rf"Item\s*1A\s*\.{_GAP}Risk\s*Factors", rf"Item\s*1B\s*\.{_GAP}Unresolved"),
-    ("Item 7", rf"Item\s*7\s*\.{_GAP}Management", r"Item\s*7A\s*\."),
+    ("Item 1A Risk Factors", rf"Item\s*1A\s*\.{_GAP}Risk Factors", rf"Item\s*1B\s*\.{_GAP}Unresolved"),
+    ("Item 7 MD&A", rf"Item\s*7\s*\.{_GAP}Management", r"Item\s*7A\s*\."),
 )
 TYPE, FILENAME = r"(?i)<type>\s*([^<\n]+)", r"(?i)<filename>\s*([^<\n]+)"
 FORM = r"(?i)(10-?[KQ]|8-[KQ])"
-YEAR_TAG = r"(?is)<ix:nonNumeric[^>]*DocumentFiscalYearFocus[^>]*>\s*(?:<[^>]+>\s*)*(\d{4})"
-YEAR_COVER = r"(?is)for\s+the\s+fiscal\s+year\s+ended[^<]{0,40}?(\d{4})"
+YEAR_TAG = r"(?iU)DocumentFiscalYearFocus[^>]*>\s*(\d{4})\s*<"
+YEAR_COVER = rf"(?iU)fiscal year ended{_GAP}[A-Za-z]+{_GAP}\d{{1,2}},{_GAP}(\d{{4}})"
 BREAKS = frozenset(("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
@@ -133,6 +133,6 @@ def parse(files: DataFrame) -> DataFrame:
     for k, _ in enumerate(SECTIONS):
         meta = meta.withColumn(f"t{k}", clean_text(F.col(f"s{k}.raw")))
     some = F.array(*(F.when(F.col(f"s{k}").isNotNull(), F.struct(F.lit(label).alias("section"), F.col(f"t{k}").alias("text"), F.col(f"s{k}.char_offset").alias("char_offset"), F.regexp_count(f"t{k}", F.lit(r"(?U)\S+")).alias("word_count"))) for k, (label, _, _) in enumerate(SECTIONS)))
-    missing = F.array(*(F.when(F.col(f"s{k}").isNull(), F.lit(f"{label} not found")) for k, (label, _, _) in enumerate(SECTIONS)))
+    missing = F.array(*(F.when(F.col(f"s{k}").isNull(), F.lit(f"Section '{label}' could not be extracted")) for k, (label, _, _) in enumerate(SECTIONS)))
     present = lambda c: F.filter(c, lambda x: x.isNotNull())
     return meta.select("source_file", "ticker", "filing_type", "fiscal_period", "filename", present(missing).alias("warnings"), present(some).alias("sections"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.scratch import new_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -15,26 +18,72 @@ def corpus_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
 
 
-def term_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(term, df, idf): rare terms by log odds; terms in over half the chunks get a share of the mean."""
-    df = chunks.select(F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def posting_list(chunks: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
+    """(term, *keys, dl, tf): how often each chunk has each of its terms, and its length."""
+    split = chunks.select(*keys, tokenize(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    return split.select(*keys, "dl", F.explode("tokens").alias("term")).groupBy("term", *keys, "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """``df`` (term, df) -> (term, df, idf): rare terms by log odds; terms in over half the chunks get a share of the mean."""
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    known = df.crossJoin(F.broadcast(corpus_stats(chunks, text))).select("term", "df", raw.alias("raw"))  # one row
+    known = df.crossJoin(F.broadcast(stats)).select("term", "df", raw.alias("raw"))  # one row
     mean = known.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
     return known.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: list[str], text: str = "content", query: str = "query") -> DataFrame:
-    """(query_id, *keys, score) of every chunk that shares a term with a query."""
+def term_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """(term, df, idf) of a corpus without an index."""
+    df = chunks.select(F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return term_weights(df, corpus_stats(chunks, text))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings by term, each term's weight, and one row of statistics, as tables that are kept."""
+
+    keys: list[str]
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content") -> Index:
+    """Tokenise the corpus once and write its index to ``folder``, in place of what is there.
+
+    Postings are sorted by term within files, so that a search reads the row groups of its terms.
+    Chunks without a token count in the statistics alone.
+    """
+    posted = posting_list(chunks, keys, text)
+    posted.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    spark = chunks.sparkSession
+    postings = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"))
+    df.write.mode("overwrite").parquet(f"{folder}/frequencies")
+    df = spark.read.schema(df.schema).parquet(f"{folder}/frequencies")
+    stats = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(df.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))  # one row each
+    stats.select("n", F.try_divide("tokens", "n").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/stats")
+    stats = spark.read.parquet(f"{folder}/stats")
+    term_weights(df.select("term", "df"), stats.select("n")).write.mode("overwrite").parquet(f"{folder}/terms")
+    return open_index(spark, folder, keys)
+
+
+def open_index(spark: SparkSession, folder: str, keys: list[str]) -> Index:
+    return Index(keys, *(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")))
+
+
+def scores(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
+    """(query_id, *keys, score) of every chunk that shares a term with a query; the corpus isn't read."""
     asked = queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = asked.join(term_stats(chunks, text), "term")
-    # only tokens that a query asks for leave the scan
-    split = chunks.select(*keys, tokenize(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    tokens = split.select(*keys, "dl", F.explode("tokens").alias("term"))
-    tf = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = F.broadcast(corpus_stats(chunks, text).select("avgdl"))  # one row
+    weighed = asked.join(index.terms.select("term", "idf"), "term")
+    stats = F.broadcast(index.stats.select("avgdl"))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.crossJoin(stats).join(weighed, "term").groupBy("query_id", *keys).agg(F.sum(part).alias("score"))
+    return index.postings.join(weighed, "term").crossJoin(stats).groupBy("query_id", *index.keys).agg(F.sum(part).alias("score"))
+
+
+def search(index: Index, queries: DataFrame, k: int, query: str = "query") -> DataFrame:
+    """Chunks with a positive score, best first."""
+    return top_k(scores(index, queries, query).where("score > 0"), index.keys, k)
 
 
 def top_k(scored: DataFrame, keys: list[str], k: int, score: str = "score", digits: int = 6) -> DataFrame:
@@ -45,5 +94,5 @@ def top_k(scored: DataFrame, keys: list[str], k: int, score: str = "score", digi
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, text: str = "content", query: str = "query") -> DataFrame:
-    """Chunks with a positive score, best first."""
-    return top_k(bm25_scores(chunks, queries, keys, text, query).where("score > 0"), keys, k)
+    """``search`` through an index that is built for these queries alone."""
+    return search(build_index(chunks, keys, new_folder(chunks.sparkSession, "bm25"), text), queries, k, query)

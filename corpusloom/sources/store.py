@@ -1,14 +1,22 @@
-"""Filings in, chunks out and back: files, JSON and the chunk table."""
+"""Filings in, parsed documents, chunks out and back: files, JSON and the chunk store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import vector_literal
 from ..operators.filings import decode_html
+from .scratch import delete
 
 CHUNK_JSON = "source_file string, chunks array<struct<content:string,metadata:map<string,string>>>"
 _META = ("ticker", "filing_type", "fiscal_period", "section")
+#: Partitions of a store, whatever the number of documents.
+BUCKETS = 256
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,44 +25,144 @@ def read_html(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), decode_html(F.col("content")).alias("html"))
 
 
+# --- JSON -------------------------------------------------------------------------------------
+
+def chunk_documents(chunks: DataFrame) -> DataFrame:
+    """(source_file, chunks): each document's chunks in order, with their metadata as strings."""
+    names = ("source_file", *_META, "chunk_index", "char_offset")
+    meta = F.map_from_arrays(F.array(*(F.lit(c) for c in names)), F.array(*(F.col(c).cast("string") for c in names)))
+    items = F.array_sort(F.collect_list(F.struct("chunk_index", "char_offset", "content", F.to_json(meta).alias("meta"))))
+    docs = chunks.groupBy("source_file").agg(items.alias("items"))
+    item = lambda x: F.struct(x["content"].alias("content"), F.from_json(x["meta"], "map<string,string>").alias("metadata"))
+    return docs.select("source_file", F.transform("items", item).alias("chunks"))
+
+
 def write_chunk_json(chunks: DataFrame, folder: str) -> None:
-    meta = F.map_from_arrays(F.array(*(F.lit(c) for c in ("source_file", *_META, "chunk_index", "char_offset"))), F.array(*(F.col(c).cast("string") for c in ("source_file", *_META, "chunk_index", "char_offset"))))
-    item = F.struct("chunk_index", "content", meta.alias("metadata"))
-    docs = chunks.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("o"), F.collect_list(item).alias("items"))
-    ordered = F.transform("o", lambda x: F.filter("items", lambda y: y["chunk_index"] == x["chunk_index"])[0])
-    docs.select("source_file", F.transform(ordered, lambda y: F.struct(y["content"].alias("content"), y["metadata"].alias("metadata"))).alias("chunks")).write.mode("overwrite").json(folder)
+    """A line of JSON per document, in as many files as there are partitions."""
+    chunk_documents(chunks).write.mode("overwrite").json(folder)
+
+
+def write_json_files(docs: DataFrame, folder: str, suffix: str = "") -> int:
+    """One indented file ``<stem><suffix>.json`` for each row of ``docs`` (source_file, ...); how many there are.
+
+    For parsed documents, and with ``_chunks`` for ``chunk_documents``. A file is written whole and
+    then renamed, so a task that runs again leaves the same files. ``folder`` is one that every
+    executor reaches by pyarrow's file systems.
+    """
+    names = docs.columns
+    stem = F.regexp_replace(F.regexp_extract("source_file", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    rows = docs.select(stem.alias("stem"), F.to_json(F.struct(*names), {"pretty": "true", "ignoreNullFields": "false"}).alias("body"))
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for pdf in frames:
+            for name, body in zip(pdf["stem"], pdf["body"]):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft, compression=None) as out:
+                    out.write(body.encode())
+                fs.move(draft, f"{root}/{name}{suffix}.json")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
 
+def read_chunk_json(spark: SparkSession, folder: str, one_per_document: bool = False) -> DataFrame:
+    """A row per chunk; missing lists and metadata read as empty, and what isn't JSON is an error.
 
-def read_chunk_json(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per chunk; missing lists and metadata read as empty."""
-    docs = spark.read.schema(CHUNK_JSON).json(folder)
+    ``one_per_document``: ``*_chunks.json`` files of any layout, one document each; else JSON lines.
+    """
+    reader = spark.read.schema(CHUNK_JSON).option("mode", "FAILFAST")
+    if one_per_document:
+        reader = reader.option("multiLine", True).option("pathGlobFilter", "*_chunks.json")
+    docs = reader.json(folder)
     rows = docs.select("source_file", F.posexplode(F.coalesce("chunks", F.array().cast("array<struct<content:string,metadata:map<string,string>>>"))).alias("pos", "c"))
     meta = F.coalesce("c.metadata", F.create_map().cast("map<string,string>"))
     return rows.select("source_file", F.col("c.content").alias("content"), *(F.element_at(meta, c).alias(c) for c in _META), F.element_at(meta, "chunk_index").cast("int").alias("chunk_index"), F.element_at(meta, "char_offset").cast("int").alias("char_offset"), meta.alias("metadata"))
 
 
+# --- store ------------------------------------------------------------------------------------
+
 def store_rows(chunks: DataFrame) -> DataFrame:
     """Columns of the chunk table; the id is a hash of the document and the chunk's index."""
     meta = F.to_json(F.struct(*chunks.drop("content", "embedding", "metadata").columns), {"ignoreNullFields": "false"})
     return chunks.select(F.xxhash64("source_file", "chunk_index").alias("id"), "content", "embedding", *_META, F.col("source_file").alias("source_doc"), "chunk_index", "char_offset", meta.alias("metadata"))
 
 
-def seed(rows: DataFrame, folder: str, dimensions: int) -> None:
-    """Put documents' chunks in the store, in place of those it had of them: seeding twice is seeding once.
+def store_dimension(spark: SparkSession, folder: str) -> int | None:
+    """The vectors' length in the store; None if there is no store."""
+    try:
+        return spark.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()["dimensions"]
+    except AnalysisException:
+        return None
 
-    Each document is one partition, and only partitions in ``rows`` are replaced. Vectors of another
-    length than the store's are refused.
-    """
-    if not rows.where(F.size("embedding") != dimensions).isEmpty():
-        raise ValueError(f"vectors must have {dimensions} components")
-    bucket = F.pmod(F.xxhash64("source_doc"), F.lit(1 << 20))
-    rows.withColumn("doc_key", F.concat_ws("-", bucket.cast("string"), "source_doc")).repartition("doc_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_key").parquet(folder)
+
+def init_store(spark: SparkSession, folder: str, dimensions: int, buckets: int = BUCKETS) -> None:
+    """Create the store; one whose vectors have another length is dropped and made anew."""
+    have = store_dimension(spark, folder)
+    if have == dimensions:
+        return
+    if have is not None:
+        delete(spark, folder)
+    spark.createDataFrame([(dimensions, buckets)], "dimensions int, buckets int").coalesce(1).write.mode("overwrite").json(f"{folder}/info")
+
+
+def _checked(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` with their bucket; a vector of another length than the store's is an error when it is read."""
+    info = rows.sparkSession.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()
+    fits = F.coalesce(F.size("embedding") == info["dimensions"], F.lit(False))
+    wrong = F.raise_error(F.lit(f"vectors must have {info['dimensions']} components")).cast(rows.schema["embedding"].dataType)
+    bucket = F.pmod(F.xxhash64("source_doc"), F.lit(info["buckets"])).cast("int")
+    return rows.withColumns({"embedding": F.when(fits, F.col("embedding")).otherwise(wrong), "bucket": bucket})
 
 
 def append(rows: DataFrame, folder: str) -> None:
     """Plain insert: rows that are there already come twice."""
-    rows.withColumn("doc_key", F.lit("appended")).write.mode("append").partitionBy("doc_key").parquet(folder)
+    _checked(rows, folder).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/chunks")
+
+
+def seed(rows: DataFrame, folder: str, documents: DataFrame | None = None) -> None:
+    """Put documents' chunks in the store, in place of all it had of them: seeding twice is seeding once.
+
+    ``documents`` (source_doc) names documents that are to be replaced even where ``rows`` has no
+    chunk of them. The rows are computed once, into a draft beside the store. Then the buckets of
+    these documents, and only those, are rewritten in one job that replaces them at its end.
+    """
+    spark = rows.sparkSession
+    _checked(rows, folder).write.mode("overwrite").parquet(f"{folder}/draft")
+    new = spark.read.schema(rows.schema).parquet(f"{folder}/draft").withColumn("bucket", _bucket(spark, folder))
+    docs = new.select("source_doc")
+    if documents is not None:
+        docs = docs.unionByName(documents.select("source_doc"))
+    docs = docs.distinct().withColumn("bucket", _bucket(spark, folder))
+    every, gone = new, []
+    try:
+        old = spark.read.parquet(f"{folder}/chunks")
+    except AnalysisException:  # nothing is stored yet
+        old = None
+    if old is not None:
+        touched = old.join(docs.select("bucket").distinct(), "bucket", "left_semi")
+        every = new.unionByName(touched.join(docs.select("source_doc"), "source_doc", "left_anti"))
+        gone = docs.select("bucket").distinct().join(every.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most the buckets
+    every.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/chunks")
+    for r in gone:  # a bucket that loses its last chunk is otherwise left as it is
+        delete(spark, f"{folder}/chunks/bucket={r['bucket']}")
+    delete(spark, f"{folder}/draft")
+
+
+def _bucket(spark: SparkSession, folder: str) -> Column:
+    buckets = spark.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()["buckets"]
+    return F.pmod(F.xxhash64("source_doc"), F.lit(buckets)).cast("int")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).drop("doc_key")
+    return spark.read.parquet(f"{folder}/chunks").drop("bucket")
+
+
+def insert_values(rows: DataFrame) -> DataFrame:
+    """Rows of the store as text, vectors as literals, for a database's bulk load."""
+    return rows.select(*(vector_literal(F.col(c)).alias(c) if c == "embedding" else F.col(c).cast("string").alias(c) for c in rows.columns))

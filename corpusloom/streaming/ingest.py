@@ -10,7 +10,7 @@ from ..config import Settings
 from ..jobs.pipeline import chunk_filings
 from ..operators.dense import Embedder, embed
 from ..operators.filings import decode_html
-from ..sources.store import seed, store_rows
+from ..sources.store import init_store, seed, store_rows
 
 
 def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, embedder: Embedder, settings: Settings = Settings()) -> StreamingQuery:
@@ -20,6 +20,8 @@ def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, embedd
     pages = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), decode_html(F.col("content")).alias("html"))
 
     def put(batch, _):
-        seed(store_rows(embed(chunk_filings(batch, settings), embedder, batch=settings.embedding_batch_size)), store, settings.embedding_dimensions)
+        init_store(batch.sparkSession, store, settings.embedding_dimensions)
+        rows = store_rows(embed(chunk_filings(batch, settings), embedder, batch=settings.embedding_batch_size))
+        seed(rows, store, batch.select(F.col("source_file").alias("source_doc")))
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,9 +97,12 @@ def test_chunk_index_and_offset(spark):
 def test_filing_parser(spark):
     body = "<TYPE>10-K\n<FILENAME>aapl-2023.htm\n<p>For the fiscal year ended June 30, 2023</p>Item 1A. Risk Factors x Item 1B. Unresolved <b>Item&nbsp;</b>Item 1A.&nbsp;Risk Factors<p>Ap<b>ple</b> &amp; co<p>two</p>Item 1B. Unresolved"
     r = filings.parse(spark.createDataFrame([("x.html", body), ("zz-10K.html", "none")], "source_file string, html string")).orderBy("source_file").collect()
-    assert (r[0].ticker, r[0].filing_type, r[0].fiscal_period, r[0].warnings) == ("aapl", "10-K", "FY2023", ["Item 7 not found"])
+    assert (r[0].ticker, r[0].filing_type, r[0].fiscal_period, r[0].warnings) == ("aapl", "10-K", "FY2023", ["Section 'Item 7 MD&A' could not be extracted"])
     assert r[0].sections[0].text == "Item 1A. Risk Factors\n\nAp ple & co\n\ntwo" and r[0].sections[0].word_count == 9
     assert (r[1].ticker, r[1].filing_type, len(r[1].warnings)) == ("zz", "10-K", 2)
+    assert r[0].sections[0].section == "Item 1A Risk Factors"
+    years = ["Fiscal year ended September 27, 2025", "<dei:DocumentFiscalYearFocus x='1'> 2024 </dei>", "for the fiscal\nyear ended May 1, 2020", "fiscal year ended&nbsp;May 1, 2021"]
+    assert [x[0] for x in spark.createDataFrame([(y,) for y in years], "h string").select(filings.fiscal_period(F.col("h"))).collect()] == ["FY2025", "FY2024", None, "FY2021"]
     assert [filings.decode_bytes(b) for b in ("é".encode(), b"\x93", b"\x81")] == ["é", "“", "�"]
 
 
@@ -116,18 +119,89 @@ def test_fallback(spark):
     assert answering.ask_providers(df, dict).first().answer is None
 
 
-def test_store_round_trip_is_idempotent(spark, tmp_path):
+_CHUNK = "source_file string, ticker string, filing_type string, fiscal_period string, section string, chunk_index int, char_offset int, content string, embedding array<float>"
+
+
+def test_store(spark, tmp_path):
     from corpusloom.sources import store
 
-    rows = [("f", "t", "10-K", "FY1", "s", 0, 0, "one", [1.0, 0.0]), ("f", "t", "10-K", "FY1", "s", 1, 3, "two", [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "source_file string, ticker string, filing_type string, fiscal_period string, section string, chunk_index int, char_offset int, content string, embedding array<float>")
+    at = str(tmp_path / "store")
+    row = lambda f, k, text: (f, "t", "10-K", None, "s", k, 3 * k, text, [1.0, 0.0])
+    frame = lambda *rows: store.store_rows(spark.createDataFrame(list(rows), _CHUNK))
+    stored = lambda: sorted((r.source_doc, r.content) for r in store.read_store(spark, at).collect())
+    store.init_store(spark, at, 2, buckets=3)
+    store.append(frame(row("f", 0, "one"), row("g", 0, "other")), at)
+    store.append(frame(row("f", 0, "one")), at)
+    assert stored() == [("f", "one"), ("f", "one"), ("g", "other")]
     for _ in range(2):
-        store.seed(store.store_rows(df), str(tmp_path / "store"), 2)
-    assert store.read_store(spark, str(tmp_path / "store")).count() == 2
-    store.write_chunk_json(df, str(tmp_path / "json"))
-    assert {(r.source_file, r.chunk_index, r.content) for r in store.read_chunk_json(spark, str(tmp_path / "json")).collect()} == {("f", 0, "one"), ("f", 1, "two")}
+        store.seed(frame(row("f", 0, "one"), row("f", 1, "two")), at)
+        assert stored() == [("f", "one"), ("f", "two"), ("g", "other")]
+    # a document that has no chunk any more, and its bucket with it
+    store.seed(frame(), at, spark.createDataFrame([("g",)], "source_doc string"))
+    assert stored() == [("f", "one"), ("f", "two")]
+    store.seed(frame(), at, spark.createDataFrame([("f",), ("none",)], "source_doc string"))
+    store.seed(frame(*(row(f"d{i}", 0, str(i)) for i in range(20))), at)
+    assert len(stored()) == 20 and len(list((tmp_path / "store" / "chunks").glob("bucket=*"))) <= 3
+    with pytest.raises(Exception, match="2 components"):
+        store.seed(store.store_rows(spark.createDataFrame([("f", "t", "k", None, "s", 0, 0, "x", [1.0])], _CHUNK)), at)
+    store.init_store(spark, at, 2)
+    assert len(stored()) == 20 and store.store_dimension(spark, at) == 2
+    store.init_store(spark, at, 5)
+    assert store.store_dimension(spark, at) == 5
+    assert store.insert_values(frame(row("f", 0, "one"))).first().embedding == "[1.0,0.0]"
+
+
+def test_chunk_json(spark, tmp_path):
+    from corpusloom.sources import store
+
+    df = spark.createDataFrame([("a/f.html", "t", None, "FY1", "s", k, k, f"text {k}", None) for k in (2, 0, 1)] + [("g.x.htm", "t", None, None, "s", 0, 0, "g", None)], _CHUNK)
+    store.write_chunk_json(df, str(tmp_path / "lines"))
+    assert store.write_json_files(store.chunk_documents(df), str(tmp_path / "files"), "_chunks") == 2
+    assert sorted(p.name for p in (tmp_path / "files").iterdir() if p.suffix == ".json") == ["f_chunks.json", "g.x_chunks.json"]
+    assert (tmp_path / "files" / "f_chunks.json").read_text().count("\n") > 5
+    for folder, apart in (("lines", False), ("files", True)):
+        got = store.read_chunk_json(spark, str(tmp_path / folder), apart).collect()
+        assert [(r.chunk_index, r.content, r.fiscal_period) for r in got if r.source_file == "a/f.html"] == [(k, f"text {k}", "FY1") for k in range(3)] and len(got) == 4
+    (tmp_path / "files" / "bad_chunks.json").write_text("{not json")
+    with pytest.raises(Exception):
+        store.read_chunk_json(spark, str(tmp_path / "files"), True).collect()
+
+
+def test_stream_follows_a_folder(spark, tmp_path):
+    from corpusloom.config import Settings
+    from corpusloom.sources import store
+    from corpusloom.streaming.ingest import follow
+
+    (tmp_path / "in").mkdir()
+    body = "<TYPE>10-K\n<p>Item 1A. Risk Factors</p>{}<p>Item 1B. Unresolved</p>"
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "checkpoint"), dense.build_embedder("hashed", 8), Settings(embedding_dimensions=8))
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.html").write_text(body.format(name * 3))
+        follow(*args).awaitTermination()
+    assert sorted(r.source_doc for r in store.read_store(spark, str(tmp_path / "store")).collect()) == ["a.html", "b.html"]
+
+
+def test_models_counts_and_kept_index(spark, tmp_path):
+    import public_tokenizers
+
     with pytest.raises(ValueError):
-        store.seed(store.store_rows(df), str(tmp_path / "other"), 3)
+        dense.build_embedder("none", 4)
+    loads = []
+    own = dense.build_embedder("mine", 4, {"mine": lambda: loads.append(1) or dense.hashed_embedder(4)})
+    assert own(["a"]) == own(["a"]) and loads == [1]
+    scored = spark.createDataFrame([(1, 1, "q", "a"), (1, 2, "q", "bbb")], "query_id long, rank int, query string, content string")
+    assert [r.content for r in fusion.rerank(scored, 1, fusion.model_scorer(lambda: lambda q, c: [float(len(x)) for x in c])).collect()] == ["bbb"]
+    count = context.bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert count("") == 0 and count("hello world") == 2
+    after = scored.where("rank = 1")
+    assert context.compression_totals(scored, after, count).first()[1:] == (count("a") + count("bbb"), 1, 1)
+    docs = [(1, "apple pie apple"), (2, "apple tart"), (3, "")]
+    df, q = spark.createDataFrame(docs, "doc_id long, content string"), spark.createDataFrame([(1, "apple")], "query_id long, query string")
+    index = lexical.build_index(df, ["doc_id"], str(tmp_path / "index"))
+    again = lexical.open_index(spark, str(tmp_path / "index"), ["doc_id"])
+    assert {r.doc_id: r.score for r in lexical.search(again, q, 5).collect()} == _bm25(docs, "apple") and index.keys == again.keys
+    empty = lexical.build_index(df.limit(0), ["doc_id"], str(tmp_path / "empty"))
+    assert lexical.search(empty, q, 5).count() == 0
 
 
 def test_entry_imports_without_the_optional_part():
