@@ -297,10 +297,10 @@ def oracle_sql() -> dict[str, str]:
         "last_marker_slice": """WITH m AS (SELECT page_id, html, regexp_matches(html, '(?is)<h1') AS has, length(regexp_extract(html, '(?is)^(.*)<h1', 1)) AS a,
                 CASE WHEN regexp_matches(html, '(?is)</article>') THEN length(regexp_extract(html, '(?is)^(.*)</article>', 1)) ELSE length(html) END AS b FROM pages)
             SELECT page_id, a::BIGINT AS char_offset, (b - a)::BIGINT AS chars, md5(substring(html, a + 1, b - a)) AS digest FROM m WHERE has AND b > a""",
-        "chunk_store_roundtrip": """WITH l AS (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+        "chunk_store_roundtrip": r"""WITH l AS (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
             o AS (SELECT *, coalesce(sum(greatest(length(c) - 150, 0)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM l)
             SELECT 'd-' || doc_id AS source_doc, pos::INT AS chunk_index, char_offset, 'body' AS section, NULL::VARCHAR AS fiscal_period, md5(c) AS digest, 16 AS dimensions FROM o WHERE regexp_matches(c, '\S')""",
-        "filing_meta": """WITH f AS (SELECT page_id, ['10-K', '10Q', '8-K', '10K'][page_id % 4 + 1] AS form, regexp_extract(url, '://([^/?#]*)', 1) AS host,
+        "filing_meta": r"""WITH f AS (SELECT page_id, ['10-K', '10Q', '8-K', '10K'][page_id % 4 + 1] AS form, regexp_extract(url, '://([^/?#]*)', 1) AS host,
                 ['<p>For the fiscal year ended June 30, ' || (2000 + page_id % 25) || '</p>', 'Fiscal Year Ended&nbsp;' || chr(10) || 'September 27, ' || (2000 + page_id % 25),
                  '<ix:nonNumeric name=''dei:DocumentFiscalYearFocus'' id=''f''> ' || (2000 + page_id % 25) || ' </ix:nonNumeric>', '<dei:documentfiscalyearfocus>' || (2000 + page_id % 25) || '</dei:documentfiscalyearfocus>',
                  'fiscal year ended in ' || (2000 + page_id % 25), 'DocumentFiscalYearFocus ' || (2000 + page_id % 25) || '<p>fiscal year ended May 1, 1999'][((page_id // 4) % 6 + 1)::INT] || html AS t FROM pages)
