@@ -1,12 +1,18 @@
 """Main text of web pages with a site style tree.
 
-Pages of one host are merged: nodes with the same path of tags and classes are one style node. A
-style node's importance is the entropy of what its pages show there, relative to the most it could
-be: what every page repeats scores 0, what differs from page to page scores 1. Pages of one host
-with the same blocks are one page, and what a page repeats on a path counts once. Branches of low
-importance are removed. Entropy alone can't tell a menu whose entries differ on every page from an
-article, so nodes also count as noise by what they say they are (tag, role, class, id), and a page
-that marks its article keeps exactly that article, without the noise nodes inside it.
+Pages of one host are merged: elements with the same path of tags and classes are one style node.
+A leaf's importance is the entropy of what its pages show there, relative to the most it could be:
+what every page repeats scores 0, what differs from page to page scores 1. A node's own importance
+is the entropy of its presentations, the tags and classes that stand in it. Its composite
+importance weighs its own with that of the contents below it. Branches of low importance are
+removed from every page, those that mark an article included. Pages of one host with the same
+article (or, without one, the same blocks) are one page, and what a page repeats on a path counts
+once.
+
+Entropy alone can't tell a menu whose entries differ on every page from an article. So elements
+also count as noise by what they are (tag, role) or call themselves (whole class or id), and a page
+that marks its article shows only what is in it; there a branch goes only if nearly all pages
+repeat it.
 """
 
 from __future__ import annotations
@@ -17,25 +23,28 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, small_batches, text_or_empty
+from ._common import column_type, materialise, possibly, slices, small_batches, text_or_empty
 from .url_rules import host_of
 
-#: A style node seen on at least so many different pages is removed below this importance.
-MIN_PAGES, LOW = 5, 0.3
+#: A branch seen on at least so many different pages is removed below this importance; the second
+#: threshold is for branches inside a marked article.
+MIN_PAGES, LOW, LOW_IN_ARTICLE = 5, 0.3, 0.1
+#: Weight of the contents below a node in its composite importance; the rest is its presentation's.
+BELOW = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-_NOISE_TAG = frozenset("nav header footer aside form menu dialog button select head label".split())
+_NOISE_TAG = frozenset("nav header footer aside form menu dialog button select head".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _NOISE_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu header masthead footer sidebar "
@@ -64,8 +73,8 @@ def _named(attr: dict[str, str]) -> bool:
     return any(name.replace("_", "-") in _NOISE_NAME for name in (attr.get("class", "") + " " + attr.get("id", "")).lower().split())
 
 
-def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
-    """Whether the page marks an article, and its blocks in order: style path, kind, text.
+def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]], dict[str, list[str]]]:
+    """Whether the page marks an article; its blocks in order: style path, kind, text; and by path what stands in its elements.
 
     An element that is noise only by name isn't if it holds an article or main, but for an article
     inside another one (a comment, say), and for teasers beside the page's article.
@@ -75,6 +84,7 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
     stack: list[tuple[str, str, tuple[int, tuple[int, ...]]]] = [("", "", (BODY, ()))]
     held: list[str] = []
     marked, number = False, 0
+    shown: dict[str, list[str]] = {}
     cleared: set[int] = set()  # elements with a name of noise that hold an article
     maybe: set[int] = set()  # the same, if the page has no other article
 
@@ -138,7 +148,8 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
         _, path, (kind, names) = stack[-1]
         attr = _attributes(attrs) if attrs and not attrs.isspace() else {}
         main = tag in ("article", "main") or bool(attr and _MAIN.search(attrs))
-        if tag in _NOISE_TAG or attr and _hides(attr):
+        # an article's own header holds its title
+        if tag in _NOISE_TAG and not (tag == "header" and kind == ARTICLE) or attr and _hides(attr):
             kind = NOISE
         elif main and kind != NOISE:
             if tag == "main" or not any(x[0] == "article" for x in stack):
@@ -148,54 +159,84 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]]]:
             number += 1
             names = (*names, number)
         if tag in _BLOCK:
-            path = f"{path}/{tag}" + ("." + ".".join(sorted(attr["class"].split())) if attr.get("class") else "")
+            label = tag + ("." + ".".join(sorted(attr["class"].replace("/", "").split())) if attr.get("class") else "")
+            if path:
+                shown.setdefault(path, []).append(label)
+            path = f"{path}/{label}"
+            shown.setdefault(path, [])
         elif (kind, names) != stack[-1][2]:
             flush()
         stack.append((tag, path, (kind, names)))
     flush()
     if not any(kind == ARTICLE and cleared.issuperset(names) for _, (kind, names), _ in out):
         cleared |= maybe
-    return marked, [(path, kind if cleared.issuperset(names) else NOISE, text) for path, (kind, names), text in out]
+    return marked, [(path, kind if cleared.issuperset(names) else NOISE, text) for path, (kind, names), text in out], shown
 
 
-_BLOCKS = "marked boolean, page bigint, blocks array<struct<path:string,kind:int,content:bigint,text:string>>"
+_BLOCKS = "marked boolean, page bigint, blocks array<struct<path:string,kind:int,content:bigint,text:string>>, nodes array<struct<path:string,shown:bigint>>"
 _ARROW = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("content", pa.int64()), ("text", pa.string())]))
+_NODES = pa.list_(pa.struct([("path", pa.string()), ("shown", pa.int64())]))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            marks, digests, found = [], [], []
+        for part in slices(batch, "html", 1 << 20, 256):
+            marks, digests, found, nodes = [], [], [], []
             for page in part.column("html").to_pylist():
-                marked, rows = blocks(page)
+                marked, rows, shown = blocks(page)
+                own = ARTICLE if marked else BODY
                 marks.append(marked)
-                digests.append(xxhash.xxh64_intdigest(repr([(p, t) for p, _, t in rows]).encode()) - (1 << 63))
+                digests.append(_hash(repr([(p, t) for p, k, t in rows if k == own])))
                 # kept: what the page may show; of the rest only that and where it was
-                found.append([{"path": p, "kind": k, "content": xxhash.xxh64_intdigest(t.encode()) - (1 << 63), "text": t if k == (ARTICLE if marked else BODY) else None} for p, k, t in rows])
+                found.append([{"path": p, "kind": k, "content": _hash(t), "text": t if k == own else None} for p, k, t in rows])
+                nodes.append([{"path": p, "shown": _hash(" ".join(x))} for p, x in shown.items()])
             keep = part.drop_columns(["html"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(marks), pa.array(digests, pa.int64()), pa.array(found, _ARROW)], [*keep.schema.names, "marked", "page", "blocks"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(marks), pa.array(digests, pa.int64()), pa.array(found, _ARROW), pa.array(nodes, _NODES)], [*keep.schema.names, "marked", "page", "blocks", "nodes"])
+
+
+def prefixes(path: Column) -> Column:
+    """A node's path and those of all nodes around it."""
+    steps = F.split(path, "/")  # the first is empty
+    return F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+
+
+def _entropy(total: Column, nln: Column) -> Column:
+    """Relative to the most it could be; what is seen once is all important."""
+    return F.when(total > 1, (F.ln(total) - nln / total) / F.ln(total)).otherwise(1.0)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, page, blocks) -> (host, path, pages, importance) for every style node.
+    """``pages`` (host, page, blocks, nodes) -> (host, path, pages, presentation, content, importance) for every style node.
 
-    Each different page of a host (by ``page``, the digest of its blocks) counts once, and so does
-    a content that it repeats on a path. Copies are dropped and counts are summed by host, path and
-    content first, so a host with most of the pages is spread over all tasks until only one row per
-    distinct content is left.
+    ``content`` is the mean importance of the contents in the branch, ``importance`` its composite.
+    Each different page of a host (by ``page``, a digest) counts once, and so does a content that
+    it repeats on a path. Copies are dropped and counts are summed by host, path and content first,
+    so a host with most of the pages is spread over all tasks until only one row per distinct
+    content is left.
     """
-    shown = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))))
-    once = pages.select("host", "page", shown.alias("shown")).groupBy("host", "page").agg(F.first("shown").alias("shown"))
-    nodes = once.select("host", F.explode("shown").alias("b")).select("host", "b.path", "b.content")
-    seen = nodes.groupBy("host", "path", "content").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    tree = seen.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
-    per_page = once.select("host", F.explode(F.array_distinct(F.transform("shown", lambda b: b["path"]))).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    entropy = F.ln("all") - F.col("nln") / F.col("all")
-    return tree.join(per_page, ["host", "path"]).select("host", "path", "pages", F.when(F.col("all") > 1, entropy / F.ln("all")).otherwise(1.0).alias("importance"))
+    seen = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("what"))))
+    once = pages.select("host", "page", seen.alias("seen"), "nodes").groupBy("host", "page").agg(F.first(F.struct("seen", "nodes")).alias("x"))
+    once = materialise(once.select("host", "x.seen", "x.nodes"), "distinct-pages")
+
+    def entropies(rows: DataFrame, name: str) -> DataFrame:
+        counts = rows.groupBy("host", "path", "what").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        sums = counts.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
+        return sums.select("host", "path", "all", _entropy(F.col("all"), F.col("nln")).alias(name))
+
+    shown = once.select("host", F.explode(F.transform("nodes", lambda x: F.struct(x["path"].alias("path"), x["shown"].alias("what")))).alias("x")).select("host", "x.*")
+    content = entropies(once.select("host", F.explode("seen").alias("x")).select("host", "x.*"), "content").where("path <> ''")
+    below = content.select("host", F.explode(prefixes(F.col("path"))).alias("path"), "all", "content")
+    below = below.groupBy("host", "path").agg((F.sum(F.col("all") * F.col("content")) / F.sum("all")).alias("content"))
+    both = entropies(shown, "presentation").withColumnRenamed("all", "pages").join(below, ["host", "path"])
+    return both.withColumn("importance", F.lit(BELOW) * F.col("content") + F.lit(1 - BELOW) * F.col("presentation"))
 
 
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW,
+              low_in_article: float = LOW_IN_ARTICLE) -> DataFrame:
     """The main text of every page.
 
     Returns one row per input row: the id and URL columns, ``text`` (blocks in page order, joined
@@ -204,12 +245,22 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     small_batches(df.sparkSession)
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), text_or_empty(html_col).alias("html"))
-    parsed = materialise(pages.mapInArrow(_parse, f"id {column_type(df, id_col)}, url string, host string, {_BLOCKS}"), "blocks")
-    weak = style_tree(parsed).where((F.col("pages") >= min_pages) & (F.col("importance") < low))
-    weak = materialise(weak.groupBy("host").agg(F.collect_list("path").alias("weak")), "weak-branches")
+    parsed = pages.mapInArrow(_parse, f"id {column_type(df, id_col)}, url string, host string, {_BLOCKS}")
+    parsed = materialise(parsed.withColumn("uid", F.monotonically_increasing_id()), "blocks")
+    weak = style_tree(parsed).where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path", "importance")
+    weak = materialise(weak, "weak-branches")
+    own = F.when(F.col("marked"), ARTICLE).otherwise(BODY)
+    # each page meets the weak branches of its host by the paths of its own blocks, however many the host has
+    paths = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["kind"] == F.col("own")), lambda b: b["path"]))
+    at = parsed.withColumn("own", own).select("uid", "host", "marked", F.explode(paths).alias("block")).where("block <> ''")
+    hit = at.withColumn("path", F.explode(prefixes(F.col("block")))).join(weak, ["host", "path"])
+    hit = hit.where(~F.col("marked") | (F.col("importance") < low_in_article)).groupBy("uid").agg(F.collect_set("block").alias("weak"))
+    hit = materialise(hit, "weak-blocks")
     text = lambda keep: F.array_join(F.transform(F.filter("blocks", keep), lambda b: b["text"]), "\n\n")
-    sure = parsed.where("marked").select("id", "url", text(lambda b: b["kind"] == ARTICLE).alias("text"))
-    rest = parsed.where("not marked").join(weak, "host", "left")
-    rest = rest.select("id", "url", text(lambda b: (b["kind"] == BODY) & ~F.coalesce(F.array_contains("weak", b["path"]), F.lit(False))).alias("text"))
-    both = sure.unionByName(rest)
+    mine = lambda b: b["kind"] == F.col("own")
+    maybe, sure = possibly(parsed.withColumn("own", own).select("uid", "id", "url", "own", "blocks"), hit, ["uid"])
+    sure = sure.select("id", "url", text(mine).alias("text"))
+    cut = maybe.join(hit, "uid", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
+    cut = cut.select("id", "url", text(lambda b: mine(b) & ~F.array_contains("weak", b["path"])).alias("text"))
+    both = sure.unionByName(cut)
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
