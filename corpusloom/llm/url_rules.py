@@ -1,8 +1,9 @@
 """URL filters: explicit host and path rules, and association rules mined from labelled URLs.
 
 URLs that an explicit rule judges are the labelled transactions: their tokens and their label.
-Spark's FP-growth mines token combinations that imply a label from all of them, pruned by support and
-confidence; rules of more than MAX_TOKENS tokens aren't used.
+Spark's FP-growth mines token combinations that imply a label from all of them, pruned by support,
+in rows as well, and confidence; rules of more than MAX_TOKENS tokens, and those made of the explicit
+rules' own host names alone, aren't used.
 Mined rules are posted under one token each; a URL's tokens look them up there, and a rule
 applies if the URL has all its tokens.
 """
@@ -18,7 +19,7 @@ from ._common import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 SITE_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.9, 3
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 5, 0.9, 3
 DEFAULT = "allow"
 _LABEL = "label="
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -52,16 +53,27 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array()), lambda t: ~t.endswith(":"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``labelled`` (tokens, label) -> (antecedent, label, confidence, support), from every row."""
+def rule_tokens(rules=SITE_RULES) -> list[str]:
+    """Host tokens of the explicit rules themselves, which say where the labels come from."""
+    return sorted({"host:" + part for host, _, _ in rules for part in host.split(".")})
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, given: list[str] | None = None) -> DataFrame:
+    """``labelled`` (tokens, label) -> (antecedent, label, confidence, support), from every row.
+
+    A rule needs ``min_support`` of the rows, and ``min_rows`` of them. Rules whose antecedent has
+    only ``given`` tokens would restate what the labels were made from, and aren't used.
+    """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
     schema = "antecedent array<string>, label string, confidence double, support double"
     if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], schema)
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
+    support = min(1.0, max(min_support, min_rows / labelled.count()))
+    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).associationRules
     label = F.element_at("consequent", 1)
     good = label.startswith(_LABEL) & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL))
-    return rules.where(good).select(F.array_sort("antecedent").alias("antecedent"), F.substring(label, len(_LABEL) + 1, 100).alias("label"), "confidence", "support")
+    own = F.size(F.array_except("antecedent", F.array(*(F.lit(t) for t in given or [])).cast("array<string>"))) > 0
+    return rules.where(good & own).select(F.array_sort("antecedent").alias("antecedent"), F.substring(label, len(_LABEL) + 1, 100).alias("label"), "confidence", "support")
 
 
 def apply_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -88,7 +100,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=SI
     rows = rows.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumns({"ruled": site_rule(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("url"), F.col("host"), F.col("path"))}).drop("url")
     rows = materialise(rows, "urls")
-    mined = materialise(mine(rows.where("ruled is not null").select("tokens", F.col("ruled.verdict").alias("label"))), "rules")
+    mined = materialise(mine(rows.where("ruled is not null").select("tokens", F.col("ruled.verdict").alias("label")), given=rule_tokens(rules)), "rules")
     found = apply_rules(rows.where("ruled is null").select("tokens").distinct(), mined)
     joined = rows.join(materialise(found, "judged"), "tokens", "left")
     return joined.select(F.col("id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", "label", F.lit(DEFAULT)).alias("verdict"))
