@@ -123,6 +123,21 @@ def pigeonhole_keys(fp: Column, radius: int, parts: int) -> Column:
     return F.array(*(number.bitwiseAND(F.lit(m)) for m in masks))
 
 
+def finer_keys(fp: Column, k: Column, radius: int, parts: int) -> Column:
+    """Keys of a fingerprint among those that share its ``k``-th key: of the other bits, cut into
+    ``radius + 1`` pieces, two within the radius agree on a piece."""
+    number = F.conv(F.hex(fp), 16, -10).cast("long")
+    edges = [64 * n // parts for n in range(parts + 1)]
+    found = None
+    for no, some in enumerate(combinations(range(parts), parts - radius)):
+        free = [b for p in range(parts) if p not in some for b in range(edges[p], edges[p + 1])]
+        cuts = [len(free) * n // (radius + 1) for n in range(radius + 2)]
+        masks = [sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+        keys = F.array(*(number.bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in masks))
+        found = F.when(k == no, keys) if found is None else found.when(k == no, keys)
+    return found
+
+
 def _links_of(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the nodes within the radius of each other."""
     near = near_lanes(fps, fps, radius)
@@ -227,15 +242,26 @@ def _compare(radius: int, width: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int, width: int, lanes: int = LANES) -> DataFrame:
+def links(nodes: DataFrame, radius: int, width: int, lanes: int = LANES, finer=None) -> DataFrame:
     """``nodes`` (node, fp, keys) -> links (a, b) that connect all nodes within the radius.
 
-    Keys with more than ``lanes`` members are cut into tiles, and each pair of tiles is a block, so
-    no key meets in one task and none is capped.
+    Members of a key with more than ``lanes`` of them get the keys that ``finer`` (of fp and k)
+    gives, if any, so that all pairs of a frequent key don't meet. Keys that are still as large are
+    cut into tiles, and each pair of tiles is a block, so no key meets in one task and none is capped.
     """
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("k", "v"))
-    counts = keyed.groupBy("k", "v").count().where("count > 1")
-    dealt = keyed.join(counts.hint("merge"), ["k", "v"]).withColumn("tiles", F.ceil(F.col("count") / lanes).cast("int"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("k", "v").count().where("count > 1")
+        return rows.join(counts.hint("merge"), ["k", "v"]).withColumn("tiles", F.ceil(F.col("count") / lanes).cast("int"))
+
+    dealt = counted(keyed)
+    if finer is not None:
+        dealt = materialise(dealt, "keyed")
+        many = dealt.where("tiles > 1").select("node", "fp", "k", "v", F.posexplode(finer(F.col("fp"), F.col("k"))).alias("j", "w"))
+        # a key's hash: keys that share it by chance are compared in vain, and nothing else
+        many = many.select("node", "fp", (1000 + F.col("k") * (radius + 1) + F.col("j")).alias("k"), F.xxhash64("v", "w").alias("v"))
+        dealt = dealt.where("tiles = 1").unionByName(counted(many).select(*dealt.columns))
     member = F.collect_list(F.struct("node", "fp")).alias("members")
     tiled = materialise(dealt.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).groupBy("k", "v", "tiles", "tile").agg(member), "tiles")
     alone = tiled.where("tiles = 1").select("members")
@@ -412,7 +438,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = found.groupBy(*dict.fromkeys([same, "fp"])).agg(F.min("id").alias("low"), F.min("minima").alias("minima"), text)
     place = [F.col("text")[c].alias(c) for c in _TEXT] if minima else []
     nodes = materialise(nodes.select(*dict.fromkeys([same, "fp"]), "low", *place, keys.alias("keys"), F.monotonically_increasing_id().alias("node")), "nodes")
-    edges = links(nodes, radius, bits // 8)
+    edges = links(nodes, radius, bits // 8, lanes, None if minima else lambda fp, k: finer_keys(fp, k, radius, parts))
     if minima:
         edges = confirmed(docs.drop("id"), nodes, materialise(components(edges), "near"), shingle, similarity, lanes)
     labels = materialise(components(edges), "components")

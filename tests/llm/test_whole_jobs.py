@@ -83,7 +83,7 @@ def test_copies_of_a_page_count_once(spark):
 
 def test_names_of_layouts_lose_no_article():
     def article(page):
-        marked, found = site_style.blocks(page)
+        marked, found, _ = site_style.blocks(page)
         return [text for _, kind, text in found if kind == (site_style.ARTICLE if marked else site_style.BODY)]
 
     for name in ("content-sidebar", "header-fixed", "layout-sidebar", "nav-open", "social-science", "notice-period", "sidebar", "widget"):
@@ -215,3 +215,86 @@ def test_words_come_near_their_targets_and_equal_rows_are_spread(spark):
     assert all(abs(x.taken - x.target) <= max(0.03 * x.target, x.most / 2) for x in got)
     again = mixing.mix(df.repartition(7)).groupBy("doc_id", "copies").count()
     assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(df).groupBy("doc_id", "copies").count().collect()))
+
+
+def test_style_tree_against_brute_force(spark):
+    """Importances of a host of 20 pages, and boilerplate that no name gives away, with and without an article."""
+    import math
+    from collections import Counter, defaultdict
+
+    r = random.Random(3)
+    def page(i, tag):  # noqa: E306
+        body = "".join(f"<p>{r.random()} {i}" for _ in range(r.randint(1, 3)))
+        return f"<body><div class='x1'><h2>Our promise<p>We care {i % 2}</div><{tag}><h1>T{i}</h1>{body}<div class='x2'>Read it all</div></{tag}></body>"
+    pages = [("http://a/", page(i, "div")) for i in range(20)] + [("http://b/", page(i, "article")) for i in range(20)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    parsed = df.select("page_id", F.substring("url", 8, 1).alias("host"), "html").mapInArrow(site_style._parse, f"page_id long, host string, {site_style._BLOCKS}")
+    got = {(x.host, x.path): x for x in site_style.style_tree(parsed).collect()}
+    ent = lambda xs: (lambda c, n: -sum(v / n * math.log(v / n) for v in c.values()) / math.log(n) if n > 1 else 1.0)(Counter(xs), len(xs))
+    shown, content = defaultdict(list), defaultdict(list)
+    for url, html in pages:
+        _, rows, nodes = site_style.blocks(html)
+        for p, x in nodes.items():
+            shown[url[7], p].append(" ".join(x))
+        for p, t in {(p, t) for p, _, t in rows}:
+            content[url[7], p].append(t)
+    for (host, path), x in got.items():
+        leaves = [v for (h, p), v in content.items() if h == host and (p + "/").startswith(path + "/")]
+        below = sum(len(v) * ent(v) for v in leaves) / sum(map(len, leaves))
+        assert x.pages == len(shown[host, path]) and math.isclose(x.importance, 0.9 * below + 0.1 * ent(shown[host, path]), abs_tol=1e-9)
+    assert any(p.endswith("x1") for _, p in got) and len(got) > 8
+    texts = [x.text for x in site_style.main_text(df).orderBy("page_id").collect()]
+    for i, text in enumerate(texts):
+        assert text.startswith(f"T{i % 20}\n\n0.") and "promise" not in text and "We care" not in text and "Read it all" not in text
+
+
+def test_articles_keep_their_words(spark):
+    def article(page):
+        marked, found, _ = site_style.blocks(page)
+        return [text for _, kind, text in found if kind == (site_style.ARTICLE if marked else site_style.BODY)]
+
+    assert article("<body><header>Site</header><article><header><h1>Title</h1></header><p>Let <math><mi>x</mi>=<mn>2</mn></math> be <label>small</label> <object>shown</object></article>") == ["Title", "Let x=2 be small shown"]
+    assert article("<article><p>One<section class='social-history'><p>Two</section><section class='share-prices'><p>Three</section></article>") == ["One", "Two", "Three"]
+    # one article under many menus is one page: its words aren't what the site repeats
+    same = [(i, "http://h/", f"<body><nav>{i}</nav><article><p>The same article</article>") for i in range(50)] + [(100 + i, "http://h/", f"<body><nav>n</nav><article><p>Own {i}</article>") for i in range(10)]
+    got = {x.page_id: x.text for x in site_style.main_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "The same article" for i in range(50)) and all(got[100 + i] == f"Own {i}" for i in range(10))
+    assert site_style.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_mined_rules_against_brute_force(spark):
+    from itertools import combinations
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(150):
+        tokens = sorted({"host:" + r.choice(("net", "com", "x", "y")), "path:" + r.choice("abc"), "key:" + r.choice("pq")})
+        rows.append((tokens, "block" if "path:a" in tokens or "host:net" in tokens else r.choice(("allow", "block"))))
+    rows += [(["path:rare"], "block")] * 4
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    got = {(tuple(x.antecedent), x.label): (round(x.confidence, 9), round(x.support * len(rows))) for x in url_rules.mine(df, given=["host:net", "host:com"]).collect()}
+    want = {}
+    for n in (1, 2, 3):
+        for some in {c for t, _ in rows for c in combinations(t, n)} - {("host:net",), ("host:com",)}:
+            labels = [lab for t, lab in rows if set(some) <= set(t)]
+            for lab in ("allow", "block"):
+                hits = labels.count(lab)
+                if hits >= 5 and hits / len(labels) >= 0.9:
+                    want[some, lab] = (round(hits / len(labels), 9), hits)
+    assert got == want and (("path:rare",), "block") not in got
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_frequent_keys_of_fingerprints_lose_no_link(spark):
+    r = random.Random(6)
+    prints = {r.getrandbits(26) << 20 | 12345 for _ in range(120)} | {r.getrandbits(64) for _ in range(30)}
+    prints |= {p ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for p in list(prints)[:80]}
+    rows = [(i, bytearray(p.to_bytes(8, "big"))) for i, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame(rows, "node long, fp binary")
+    keyed = df.withColumn("keys", simhash.pigeonhole_keys(F.col("fp"), 2, 5))
+    edges = simhash.links(keyed, 2, 8, 8, lambda fp, k: simhash.finer_keys(fp, k, 2, 5))
+    root = {x.node: x.root for x in simhash.components(edges).collect()}
+    value = {i: int.from_bytes(b, "big") for i, b in rows}
+    near = [(i, j) for i in value for j in value if i < j and (value[i] ^ value[j]).bit_count() <= 2]
+    assert len(near) > 60 and all(root[i] == root[j] for i, j in near) and all((value[x.a] ^ value[x.b]).bit_count() <= 2 for x in edges.collect())
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
