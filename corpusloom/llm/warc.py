@@ -3,14 +3,16 @@
 Files are ``.warc`` or ``.warc.gz`` with one gzip member per record. A partition is a run of
 files; files are never cut, since a record can hold any bytes, record headers included. The
 writer rolls files at a bounded size. Reading goes record by record: headers first; a record that
-the pushed predicates reject, or whose payload the read schema doesn't ask for, is passed over
-without building its payload. Paths are any that pyarrow's file systems open (file, s3, gs, hdfs).
+the pushed predicates reject, or whose payload isn't asked for, is passed over: by a jump in plain
+files and in gzip members that tell their length, as the writer's do, else by inflating it. Paths are any that pyarrow's file systems open (file, s3, gs, hdfs).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ._common import column_type, materialise, scratch_path
+from ._common import column_type, materialise, possibly, scratch_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 _HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -57,37 +59,61 @@ def encode_record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: Extra field of a gzip member that holds one record: the member's length, so that it can be passed over.
+_LENGTH = struct.Struct("<HccHQ")
+_MEMBER = 10 + _LENGTH.size
+
+
 def _gzip(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return c.compress(data) + c.flush()
+    """A gzip member that tells its own length; any reader of gzip reads it."""
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = c.compress(data) + c.flush()
+    extra = _LENGTH.pack(_LENGTH.size - 2, b"W", b"L", 8, _MEMBER + len(body) + 8)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 class _Bytes:
     """Bytes of a plain or gzipped stream, bounded in memory; reads over gzip members alike."""
 
     def __init__(self, stream, gz: bool):
-        self.stream, self.gz, self.held, self.ended = stream, gz, bytearray(), False
-        self.member, self.raw = None, b""
+        self.stream, self.gz, self.held = stream, gz, bytearray()
+        #: the member that is being read, where it ends if it says so, and bytes read ahead
+        self.member, self.end, self.raw, self.read = None, None, b"", 0
+
+    def _fill(self, n: int) -> bool:
+        """Read ahead until there are n bytes, or as many as are left."""
+        while len(self.raw) < n:
+            data = self.stream.read(_READ)
+            if not data:
+                break
+            self.raw += data
+            self.read += len(data)
+        return bool(self.raw)
 
     def _more(self) -> bool:
         if not self.gz:
-            data = self.stream.read(_READ)
-            self.held += data
-            return bool(data)
-        while True:
-            if not self.raw:
-                self.raw = self.stream.read(_READ)
-                if not self.raw:
-                    return False
+            if not self._fill(1):
+                return False
+            self.held += self.raw
+            self.raw = b""
+            return True
+        while self._fill(1):
             if self.member is None:
-                self.member = zlib.decompressobj(31)
-            data = self.member.decompress(self.raw, _READ * 4)
+                self._fill(_MEMBER)
+                self.member, self.end = zlib.decompressobj(31), None
+                if self.raw[3:4] == b"\x04" and len(self.raw) >= _MEMBER:
+                    _, a, b, size, length = _LENGTH.unpack(self.raw[10:_MEMBER])
+                    if (a, b, size) == (b"W", b"L", 8):
+                        self.end = self.read - len(self.raw) + length
+            # little at first: a record's headers decide whether the rest is wanted
+            data = self.member.decompress(self.raw, _READ * 4 if self.held else 2048)
             self.raw = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
             if self.member.eof:
                 self.member = None
             if data:
                 self.held += data
                 return True
+        return False
 
     def line(self) -> bytes | None:
         at = 0
@@ -100,18 +126,44 @@ class _Bytes:
         del self.held[:k + 1]
         return out
 
-    def take(self, n: int, keep: bool) -> bytes:
-        """The next n bytes, or nothing of them if they are only to be passed over."""
+    def take(self, n: int) -> bytes:
         out = bytearray()
+        while len(out) < n:
+            if not self.held and not self._more():
+                raise EOFError("a record ends early")
+            part = min(n - len(out), len(self.held))
+            out += self.held[:part]
+            del self.held[:part]
+        return bytes(out)
+
+    def skip(self, n: int) -> None:
+        """Pass over n bytes, the rest of a record: by a jump where the place is known, else by reading."""
+        if self.gz and self.member is not None and self.end is not None:
+            self._jump(self.end)
+            self.member, self.held = None, bytearray()
+            return
+        part = min(n, len(self.held))
+        del self.held[:part]
+        n -= part
+        if n and not self.gz:
+            self._jump(self.read - len(self.raw) + n)
+            return
         while n:
             if not self.held and not self._more():
                 raise EOFError("a record ends early")
             part = min(n, len(self.held))
-            if keep:
-                out += self.held[:part]
             del self.held[:part]
             n -= part
-        return bytes(out)
+
+    def _jump(self, place: int) -> None:
+        ahead = place - (self.read - len(self.raw))
+        if ahead > len(self.raw):
+            if place > self.stream.seek(0, 2):
+                raise EOFError("a record ends early")
+            self.stream.seek(place)
+            self.raw, self.read = b"", place
+        else:
+            self.raw = self.raw[ahead:]
 
 
 def _headers(src: _Bytes) -> dict[str, str]:
@@ -144,11 +196,11 @@ def records(stream, gz: bool, wanted, with_payload: bool) -> Iterator[dict]:
             row[k] = row[k].strip("<>") if row[k] else row[k]
         length = int(head.get("content-length", 0))
         if not wanted(row):
-            src.take(length, False)
+            src.skip(length)
             continue
         if not head.get("content-type", "").startswith("application/http"):
-            block = src.take(length, with_payload)
-            yield row | {"payload_bytes": length, "payload": block if with_payload else None}
+            block = src.take(length) if with_payload else src.skip(length)
+            yield row | {"payload_bytes": length, "payload": block}
             continue
         http = bytearray()
         size = None
@@ -161,8 +213,8 @@ def records(stream, gz: bool, wanted, with_payload: bool) -> Iterator[dict]:
                 break
         body = length - len(http)
         revisit = row["record_type"] == "revisit"
-        payload = src.take(body, with_payload and not revisit)
-        yield row | {"payload_bytes": size if revisit and size is not None else body, "payload": None if revisit or not with_payload else payload}
+        payload = src.take(body) if with_payload and not revisit else src.skip(body)
+        yield row | {"payload_bytes": size if revisit and size is not None else body, "payload": payload}
 
 
 # --- data source ------------------------------------------------------------------------------
@@ -173,13 +225,14 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return SCHEMA
+        """Spark doesn't prune a Python source's columns: ``option("payload", "false")`` leaves payloads out."""
+        return SCHEMA if self.options.get("payload", "true") == "true" else SCHEMA.removesuffix(", payload binary")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], self.options.get("compression", "gzip") == "gzip", int(self.options.get("rollBytes", ROLL_BYTES)))
+        return WarcWriter(self.options["path"], self.options.get("compression", "gzip") == "gzip", int(self.options.get("rollBytes", ROLL_BYTES)), overwrite)
 
 
 @dataclass
@@ -212,10 +265,9 @@ class WarcReader(DataSourceReader):
         fs, root = _open(self.path)
         infos = [fs.get_file_info(root)]
         if infos[0].type == pafs.FileType.Directory:
-            manifest = f"{root}/_manifest.json"
-            if fs.get_file_info(manifest).type == pafs.FileType.File:
-                names = json.loads(fs.open_input_stream(manifest).readall())
-                infos = fs.get_file_info([f"{root}/{n}" for n in names])
+            manifests = _manifests(fs, root)
+            if manifests:
+                infos = fs.get_file_info([f"{root}/{n}" for m in manifests for n in _listed(fs, m)])
             else:
                 infos = [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         elif infos[0].type != pafs.FileType.File:
@@ -238,16 +290,25 @@ class WarcReader(DataSourceReader):
                     yield tuple(row.get(n) for n in self.names)
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    return [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if re.fullmatch(r"_manifest-\w+\.json", x.base_name)]
+
+
+def _listed(fs: pafs.FileSystem, manifest: str) -> list[str]:
+    with fs.open_input_stream(manifest) as f:
+        return json.loads(f.readall())
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each attempt writes files of its own; the manifest names those of the attempts that counted."""
+    """Each attempt writes files of its own; each commit adds a manifest that names those that count."""
 
-    def __init__(self, path: str, gz: bool, roll: int):
-        self.path, self.gz, self.roll = path, gz, roll
+    def __init__(self, path: str, gz: bool, roll: int, overwrite: bool = False):
+        self.path, self.gz, self.roll, self.overwrite = path, gz, roll, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
@@ -272,8 +333,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json") as out:
+        old = _manifests(fs, root) if self.overwrite else []
+        gone = [n for m in old for n in _listed(fs, m)]
+        with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for path in [*old, *(f"{root}/{n}" for n in gone)]:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
@@ -300,7 +365,10 @@ def to_records(df: DataFrame, id_col: str, uri_col: str, body_col: str, revisit_
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     long = rows.where(F.col("payload_bytes") >= revisit_from).select("id", "digest", "payload_bytes")
     first = materialise(long.groupBy("digest", "payload_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
-    known = rows.join(first, ["digest", "payload_bytes"], "left")
+    # payloads that nothing repeats stay out of the shuffle
+    maybe, rest = possibly(rows, first, ["digest", "payload_bytes"])
+    rest = rest.withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    known = maybe.join(first.hint("merge"), ["digest", "payload_bytes"], "left").select(*rest.columns).unionByName(rest)
     again = F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull())
     urn = lambda c: F.concat(F.lit("urn:row:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return known.select(
