@@ -1,11 +1,14 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are ordered so that similar ones lie together, and packed into shards of small blocks. A
-block keeps, for every component, its largest and smallest value; weighed by a query and summed,
-these bound every score in the block. Each query is first scored in its own shard, which gives a
-lower bound of its k-th score. Against every other shard it then takes blocks in the order of
-their bounds, scores their vectors from the block's forward index, and stops as soon as the next
-bound falls below its k-th score. Queries meet shards in packed groups, never row by row.
+Vectors are dealt to their nearest of a bounded number of pivots and ordered by their distance
+from it, so that similar ones lie together, and packed into shards of small blocks. Two bounds hold
+for every score in a block: each component's largest and smallest value, weighed by the query and
+summed; and the product with the block's centre plus the query's length times the block's radius.
+Each query is first scored in its own shard, which gives a lower bound of its k-th score. Then it
+meets the blocks' summaries alone, which are as many times fewer as a block has vectors, and only
+goes on to shards that have a block whose bound comes up to it. There it takes blocks in the order
+of their bounds, scores their vectors from the block's forward index, and stops as soon as the
+next bound falls below its k-th score. Queries meet shards in packed groups, never row by row.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ K = 10
 SCALE = 1024
 BLOCK = 64
 SHARD = 2048
-#: Vectors to a partition of shards.
-PER_PART = 8192
+#: Vectors to a partition of shards, and shards to a partition of summaries.
+PER_PART, SUMMARIES = 8192, 64
+#: Vectors that others are dealt to, at most; the first ones by a hash of their id.
+PIVOTS = 256
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -48,8 +53,60 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores), axis=-1)[..., :k]
 
 
-_SHARD = "part int, seq int, ids binary, rows binary, top binary, low binary, q_at binary, q_rows binary, q_floor binary"
+_SHARD = "part int, seq int, ids binary, rows binary, top binary, low binary, centre binary, radius binary, q_at binary, q_rows binary, q_floor binary"
+_SUMMARY = ("top", "low", "centre", "radius")
+_ASK = "part int, seq int, home_part int, home_seq int, q_at binary, q_rows binary, q_floor binary"
 _LOW = -np.iinfo(np.int64).max  # its negative fits too
+_FAR = float(1 << 62)
+
+
+def _near(dim: int, pivots: np.ndarray):
+    """Each vector's nearest pivot and its squared distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.zeros((batch.num_rows, dim))
+            for i, v in enumerate(batch.column("v").to_pylist()):
+                m[i, :len(v)] = v
+            away = (m * m).sum(1)[:, None] - 2 * m @ pivots.T + (pivots * pivots).sum(1)[None, :]
+            at = away.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array(np.maximum(away[np.arange(len(at)), at], 0.0))], [*batch.schema.names, "a", "b"])
+
+    return run
+
+
+def bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """(queries, blocks): no integer product of a query with a vector of the block is larger."""
+    by_component = _product(np.maximum(q, 0), top.T) + _product(np.minimum(q, 0), low.T)
+    length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    middle = q.astype(np.float64) @ centre.T
+    by_radius = middle + length[:, None] * radius[None, :]
+    # beyond what rounding can have taken away
+    by_radius = np.ceil(by_radius + 1 + 1e-9 * (np.abs(by_radius) + length[:, None] * (np.sqrt((centre ** 2).sum(1)) + radius)[None, :]))
+    return np.minimum(by_component, np.minimum(by_radius, _FAR).astype(np.int64))
+
+
+def _survivors(dim: int):
+    """Of each group of queries those that some block of a shard may still serve."""
+    names = [x.split()[0] for x in _ASK.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                q, floor = np.frombuffer(r["q_rows"], np.int64).reshape(-1, dim), np.frombuffer(r["q_floor"], np.int64)
+                go = (_bounds_of(r, q, dim) >= floor[:, None]).any(1)
+                if go.any():
+                    at = np.frombuffer(r["q_at"], np.int64)
+                    cut = [r["part"], r["seq"], r["home_part"], r["home_seq"], at[go].tobytes(), q[go].tobytes(), floor[go].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in cut], names)
+
+    return run
+
+
+def _bounds_of(r: dict, q: np.ndarray, dim: int) -> np.ndarray:
+    top, low = (np.frombuffer(r[c], np.int64).reshape(-1, dim) for c in ("top", "low"))
+    return bounds(q, top, low, np.frombuffer(r["centre"], np.float64).reshape(-1, dim), np.frombuffer(r["radius"], np.float64))
 
 
 def _pack(dim: int, k: int):
@@ -60,15 +117,17 @@ def _pack(dim: int, k: int):
         cuts = range(0, len(m), BLOCK)
         top = np.stack([m[a:a + BLOCK].max(0) for a in cuts])
         low = np.stack([m[a:a + BLOCK].min(0) for a in cuts])
+        centre = np.stack([m[a:a + BLOCK].mean(0) for a in cuts])
+        radius = np.array([np.sqrt(((m[a:a + BLOCK] - c) ** 2).sum(1)).max() for a, c in zip(cuts, centre)])
         at = np.flatnonzero(np.array(ask, bool))
         floor = np.full(len(at), _LOW)
         if len(at) and len(m) > k:
             s = _product(m[at], m.T)
             s[np.arange(len(at)), at] = _LOW
             floor = np.partition(s, len(m) - k, axis=1)[:, len(m) - k]
-        values = [part, seq, np.array(ids, np.int64), m, top, low, at.astype(np.int64), m[at], floor]
+        values = [part, seq, np.array(ids, np.int64), m, top, low, centre, radius, at.astype(np.int64), m[at], floor]
         names = [x.split()[0] for x in _SHARD.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) if isinstance(x, int) else pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in values], names)
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) if isinstance(x, int) else pa.array([x.tobytes()], pa.binary()) for x in values], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -92,10 +151,10 @@ def _score(dim: int, k: int):
 
     def one(r: dict) -> pa.RecordBatch:
         get = lambda c, *shape: np.frombuffer(r[c], np.int64).reshape(*shape)
-        ids, m, top, low = get("ids", -1), get("rows", -1, dim), get("top", -1, dim), get("low", -1, dim)
+        ids, m = get("ids", -1), get("rows", -1, dim)
         at, q, floor = get("q_at", -1), get("q_rows", -1, dim), get("q_floor", -1).copy()
         own = (r["home_part"], r["home_seq"]) == (r["part"], r["seq"])
-        bound = _product(np.maximum(q, 0), top.T) + _product(np.minimum(q, 0), low.T)
+        bound = _bounds_of(r, q, dim)
         order = np.argsort(-bound, axis=1, kind="stable")
         pad = -len(m) % BLOCK
         blocks = np.pad(m, ((0, pad), (0, 0))).reshape(-1, BLOCK, dim)
@@ -140,18 +199,28 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
     with zeros. Rows that share an id are rows of their own. Products beyond 64 bits raise an
     error. An empty table gives an empty result; other columns play no part. Ids are integers.
     """
+    spark = df.sparkSession
     rows = quantised(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")), "id", "vec", scale).where("id is not null")
     rows = rows.withColumn("ask", F.coalesce(is_query(F.col("id")), F.lit(False)))
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     dim = max(dim or 1, 1)
     parts = max(1, -(-n // PER_PART))
-    # alike: the components that stand out most
-    alike = [F.array_position("v", F.array_max("v")), F.array_position("v", F.array_min("v"))]
-    near = rows.withColumns({"a": alike[0], "b": alike[1]}).repartitionByRange(parts, "a", "b", "id").sortWithinPartitions("a", "b", "id")
+    if not n:
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // BLOCK))).select("v").collect()  # bounded by PIVOTS
+    pivots = np.zeros((len(some), dim))
+    for i, x in enumerate(some):
+        pivots[i, :len(x["v"])] = x["v"]
+    near = rows.mapInArrow(_near(dim, pivots), "id long, v array<long>, ask boolean, a int, b double")
+    near = near.repartitionByRange(parts, "a", "b", "id").sortWithinPartitions("a", "b", "id")
     shards = materialise(near.select(F.spark_partition_id().alias("part"), "id", "v", "ask").mapInArrow(_pack(dim, k), _SHARD), "shards")
     ask = shards.where(F.octet_length("q_at") > 0).select(F.col("part").alias("home_part"), F.col("seq").alias("home_seq"), "q_at", "q_rows", "q_floor")
-    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition("part", "home_part", "home_seq")
-    pairs = shards.drop("q_at", "q_rows", "q_floor").join(ask, "part")
+    # queries meet summaries first: one partition for many shards
+    groups = -(-n // (SHARD * SUMMARIES))
+    summaries = shards.select("part", "seq", *_SUMMARY, F.pmod(F.xxhash64("part", "seq"), F.lit(groups)).cast("long").alias("grp"))
+    everywhere = ask.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    left = materialise(summaries.join(everywhere, "grp").drop("grp").mapInArrow(_survivors(dim), _ASK), "survivors")
+    pairs = shards.drop("q_at", "q_rows", "q_floor").join(left, ["part", "seq"])
     found = pairs.mapInArrow(_score(dim, k), "home long, at long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("home", "at").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
