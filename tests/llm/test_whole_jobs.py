@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, simhash, site_style, url_rules
+from corpusloom.llm import exact_dedup, language_id, mixing, simhash, site_style, topk, url_rules, warc
 
 
 def _shingles(text, n=5):
@@ -298,3 +298,86 @@ def test_frequent_keys_of_fingerprints_lose_no_link(spark):
     near = [(i, j) for i in value for j in value if i < j and (value[i] ^ value[j]).bit_count() <= 2]
     assert len(near) > 60 and all(root[i] == root[j] for i, j in near) and all((value[x.a] ^ value[x.b]).bit_count() <= 2 for x in edges.collect())
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+class _Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        import io
+
+        self.file, self.n = io.BytesIO(data), 0
+
+    def read(self, n):
+        out = self.file.read(n)
+        self.n += len(out)
+        return out
+
+    def seek(self, *at):
+        return self.file.seek(*at)
+
+
+def test_unwanted_payloads_are_passed_over(monkeypatch):
+    import gzip
+
+    r = random.Random(1)
+    rows = [{"payload": r.randbytes(400_000), "payload_bytes": 400_000, "record_type": "response", "record_id": f"urn:{i}", "date": "d", "target_uri": "u", "payload_digest": "x"} for i in range(20)]
+    plain = b"".join(map(warc.encode_record, rows))
+    packed = b"".join(warc._gzip(warc.encode_record(x)) for x in rows)
+    assert gzip.decompress(packed) == plain
+    strange = b"".join(gzip.compress(warc.encode_record(x)) for x in rows)  # members that don't tell their length
+    made = []
+    inner = warc._Bytes.take
+    monkeypatch.setattr(warc._Bytes, "take", lambda self, n: made.append(n) or inner(self, n))
+    for data, gz, jumps in ((plain, False, True), (packed, True, True), (strange, True, False)):
+        for wanted, payload in ((lambda x: x["record_id"] == "urn:7", True), (lambda x: True, False), (lambda x: True, True)):
+            made.clear()
+            f = _Counted(data)
+            got = list(warc.records(f, gz, wanted, payload))
+            assert [x["payload"] for x in got] == [rows[int(x["record_id"][4:])]["payload"] if payload else None for x in got] and len(got) in (1, 20)
+            assert all(x["payload_bytes"] == 400_000 for x in got) and len(made) == (len(got) if payload else 0)
+            if jumps and len(made) < 20:
+                assert f.n < len(data) / 2
+    for data, gz in ((plain[:-500_000], False), (packed[:-500_000], True)):
+        try:
+            list(warc.records(_Counted(data), gz, lambda x: True, False))
+            raise AssertionError("a cut file reads as whole")
+        except EOFError:
+            pass
+
+
+def test_archives_grow_and_give_headers_alone(spark):
+    path = warc.scratch_path(spark, "grow")
+    frame = lambda *ids: spark.createDataFrame([(i, "u", "text " * 50 + str(i)) for i in ids], "page_id long, url string, html string")
+    warc.archive(frame(1, 2), path)
+    warc.archive(frame(3), path)
+    read = spark.read.format("warc")
+    assert sorted(x.record_id for x in read.load(path).collect()) == ["urn:row:1", "urn:row:2", "urn:row:3"]
+    heads = read.option("payload", "false").load(path)
+    assert "payload" not in heads.columns and heads.where("record_id = 'urn:row:3'").first().payload_bytes == 251
+    warc.to_records(frame(9), "page_id", "url", "html").write.format("warc").mode("overwrite").save(path)
+    assert [x.record_id for x in spark.read.format("warc").load(path).collect()] == ["urn:row:9"]
+
+
+def test_bounds_hold_and_prune_clusters():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(30, 16)) * 1000
+    m = np.concatenate([c + r.normal(size=(64, 16)) * 60 for c in centres]).astype(np.int64)
+    q = m[::97]
+    blocks = m.reshape(-1, 64, 16)
+    middle = blocks.mean(1)
+    radius = np.sqrt(((blocks - middle[:, None]) ** 2).sum(2)).max(1)
+    got = topk.bounds(q, blocks.max(1), blocks.min(1), middle, radius)
+    exact = np.einsum("qd,bvd->qbv", q, blocks)
+    assert (got >= exact.max(2)).all()
+    kth = np.sort((q @ m.T), axis=1)[:, -10]
+    assert (got < kth[:, None]).mean() > 0.8
+
+
+def test_prices_sum_to_one(spark):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abracadabra " * 9, "x"), ("kayak kayak é", "y"), ("zz", "x")])], "doc_id long, text string, lang string")
+    m = language_id.fit(df, "doc_id", "text", "lang")
+    known = len(np.unique(m.symbol)) - 1
+    share = np.exp2(-m.price.astype(np.float64))
+    # symbol 0 stands for each of the bytes that no text has
+    assert np.allclose(share[..., 1:].sum(-1) + share[..., 0] * (256 - known), 1, atol=1e-4)
