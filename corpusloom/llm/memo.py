@@ -79,35 +79,27 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Memo:
-    """Two generations: pieces met again move to the young one; when that is full, the old one goes."""
+    """What comes first is remembered, and with it what comes often; the rest is encoded each time."""
 
     def __init__(self, path: str):
-        self.t, self.memo, self.old = load(path), {}, {}
+        self.t, self.memo = load(path), {}
 
     def learn(self, words: set[str]) -> dict:
-        """Values of words that the young memo lacks; a letter and marks after it are encoded apart."""
-        old, get = self.old.get, self.memo.get
-        new = {w: x for w in words if (x := old(w)) is not None}
+        """Values of words that the memo lacks; a letter and marks after it are encoded apart."""
         cut = {}
         for w in words:
-            if w not in new:
-                core = w.rstrip(_TAIL)
-                cut[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1].isalpha() else (w, "")
-        bare = []
-        for core in {core for core, _ in cut.values()}:
-            if core not in new and get(core) is None:
-                if (x := old(core)) is not None:
-                    new[core] = x
-                else:
-                    bare.append(core)
-        new.update(zip(bare, self.values(bare)))
+            core = w.rstrip(_TAIL)
+            cut[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1].isalpha() else (w, "")
+        get = self.memo.get
+        bare = [core for core in {core for core, _ in cut.values()} if get(core) is None]
+        new = dict(zip(bare, self.values(bare)))
         for w, (core, tail) in cut.items():
             if tail:
                 value = new.get(core)
                 new[w] = self.join(get(core) if value is None else value, tail)
-        self.memo.update(new if max(map(len, new)) <= LONG else {w: x for w, x in new.items() if len(w) <= LONG})
-        if len(self.memo) > MEMO_ENTRIES // 2:
-            self.old, self.memo = self.memo, {}
+        room = MEMO_ENTRIES - len(self.memo)
+        if room > 0:
+            self.memo.update([(w, x) for w, x in new.items() if len(w) <= LONG][:room])
         return new
 
 
