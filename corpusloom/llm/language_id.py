@@ -1,10 +1,11 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a tree of byte contexts of up to three bytes. A byte seen after a context costs
-its share of that context; an unseen one costs the context's escape and is then priced in the next
-shorter context, down to a uniform price for bytes never seen. The statistics are frozen after
-fitting, so the price of every byte after every context can be tabled, and the exact code length
-of a text is a sum of table entries. The language with the shortest code wins.
+Each language has a tree of byte contexts of up to three bytes, with a bounded number of nodes. A
+byte seen after a context costs its share of that context; an unseen one costs the context's escape
+and is then priced in the next shorter context, down to a uniform price for bytes never seen. The
+statistics are frozen after fitting, so the price of every byte after every context can be tabled,
+and the exact code length of a text is a sum of table entries. The language with the shortest code
+wins.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column_type, slices, small_batches, text_or_empty
+from ._common import column_type, materialise, slices, small_batches, text_or_empty
 
 #: About so many labelled rows of each language are fitted on, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2_000
-#: Contexts of three bytes that get a node: the most frequent ones over all languages.
-DEEP_CONTEXTS = 4_096
+#: Nodes of a language's tree: its most frequent contexts of up to three bytes, the empty one first.
+#: A table of prices thus has at most 2,048 x 257 entries, 2 MB, a language.
+NODES_PER_LANGUAGE = 2_048
 UNKNOWN = "und"
 #: Characters priced at once; rows, and bytes of text, taken from a batch.
 _SLICE, _ROWS, _BYTES = 1 << 17, 512, 1 << 20
@@ -30,15 +32,18 @@ _SLICE, _ROWS, _BYTES = 1 << 17, 512, 1 << 20
 
 @dataclass(frozen=True)
 class Model:
-    """``symbol``: byte -> symbol (0: start or unseen); ``node``: three symbols -> row of ``price``.
+    """``symbol``: byte -> symbol (0: start or unseen); ``node``: three symbols -> longest context in any tree.
 
-    ``price[language, row, symbol]`` is in bits.
+    ``rows[language, node]`` is the row of ``prices[language]`` that the language prices the node
+    by, its own longest context; ``prices[language][row, symbol]`` is in bits. ``node`` has one
+    entry for each three symbols, at most 68 MB, however many languages there are.
     """
 
     languages: list[str]
     symbol: np.ndarray
     node: np.ndarray
-    price: np.ndarray
+    rows: np.ndarray
+    prices: list[np.ndarray]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,63 +69,63 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, deep_contexts: int = DEEP_CONTEXTS) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, nodes_per_language: int = NODES_PER_LANGUAGE) -> Model:
     """Fit on about ``sample_per_language`` whole texts of each language that ``labelled`` holds.
 
-    Rows without text or language are left out. The driver gets the counts of four-byte strings
-    in that sample, which its size bounds, and never a text.
+    Rows without text or language are left out. Spark counts, and chooses each tree's nodes: the
+    driver gets at most 256 counts for each of them, and never a text.
     """
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((0, 1, 1), np.float32))
+        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((0, 1), np.int32), [])
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_per_language / n))))
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    counts = chosen.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-    return _tables(sorted(sizes), lang, gram.astype(np.int64), n.astype(np.int64), deep_contexts)
-
-
-def _tables(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, deep_contexts: int) -> Model:
-    parts = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)])
-    seen = np.unique(parts[3])
-    symbol = np.zeros(256, np.int64)
+    grams = materialise(chosen.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    # a context is its bytes above its length, a gram's first three bytes
+    context = F.explode(F.array(*(F.expr(f"shiftright(gram, 8) % {1 << 8 * k} + {k << 24}") for k in range(4)))).alias("context")
+    seen = grams.select("lang", context, (F.col("gram") % 256).alias("byte"), "n").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("total"), "context")  # a context's shorter ones come before it
+    nodes = seen.groupBy("lang", "context").agg(F.sum("n").alias("total")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= nodes_per_language)
+    found = seen.join(nodes.select("lang", "context"), ["lang", "context"]).toArrow()
+    lang, key, byte, n = (found.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "context", "byte", "n"))
+    return _tables(sorted(sizes), lang, key.astype(np.int64), byte.astype(np.int64), n.astype(np.int64))
+
+
+def _tables(languages: list[str], lang: np.ndarray, key: np.ndarray, byte: np.ndarray, n: np.ndarray) -> Model:
+    seen = np.setdiff1d(byte, [0])
+    symbol = np.zeros(256, np.uint8)
     symbol[seen] = np.arange(1, len(seen) + 1)
-    symbol[0] = 0  # start
     size = len(seen) + 1
-    a, b, c, d = symbol[parts]
-    # rows: 0 no context, then one symbol, then two, then the most frequent of three
-    deep_code = (a * size + b) * size + c
-    total = np.bincount(deep_code, weights=n, minlength=size**3)
-    deep = np.argsort(-total, kind="stable")[:deep_contexts]
-    deep = np.sort(deep[total[deep] > 0])
-    pair_row = 1 + size
-    deep_row = pair_row + size * size
-    node = np.tile(np.arange(pair_row, deep_row, dtype=np.int32), size)
-    node[deep] = deep_row + np.arange(len(deep), dtype=np.int32)
-    price = np.empty((len(languages), deep_row + len(deep), size), np.float32)
-    rank = np.full(size**3, -1)
-    rank[deep] = np.arange(len(deep))
+    # nodes of all trees, shorter contexts first
+    nodes = np.unique(np.append(key, 0))
+    length = nodes >> 24
+    a, b, c = (symbol[nodes >> s & 255] for s in (16, 8, 0))
+    node = np.zeros((size, size, size), np.int32)
+    for k, at in ((k, np.flatnonzero(length == k)) for k in (1, 2, 3)):
+        node[(a[at] if k > 2 else slice(None), b[at] if k > 1 else slice(None), c[at])] = at
+    # a node's context without its first byte, which is a node of the same trees
+    shorter = np.searchsorted(nodes, np.where(length > 0, (length - 1 << 24) + (nodes & (1 << 8 * np.maximum(length - 1, 0)) - 1), 0))
+    rows, prices = np.zeros((len(languages), len(nodes)), np.int32), []
     for k, name in enumerate(languages):
-        own = lang == name
-        d_, n_ = d[own], n[own]
-
-        def level(rows: np.ndarray, height: int) -> np.ndarray:
-            return np.bincount(rows * size + d_, weights=n_, minlength=height * size).reshape(height, size)
-
+        mine = lang == name
+        at = np.searchsorted(nodes, key[mine])
+        own = np.union1d(at, [0])
+        rows[k, own] = np.arange(len(own))
+        rest = np.setdiff1d(np.arange(len(nodes)), own)
+        for m in (1, 2, 3):
+            some = rest[length[rest] == m]
+            rows[k, some] = rows[k, shorter[some]]
+        counts = np.bincount(rows[k, at] * size + symbol[byte[mine]], weights=n[mine], minlength=len(own) * size).reshape(len(own), size)
         # bytes never seen share one symbol; its price is that of one of the 256 bytes
-        p = np.full((1, size), 1 / 256)
-        p = _extend(level(np.zeros_like(d_), 1), p)
-        price[k, 0] = p[0]
-        p1 = _extend(level(c[own], size), np.repeat(p, size, 0))
-        price[k, 1:pair_row] = p1
-        p2 = _extend(level(b[own] * size + c[own], size * size), np.tile(p1, (size, 1)))
-        price[k, pair_row:deep_row] = p2
-        keep = rank[deep_code[own]]
-        d_, n_ = d_[keep >= 0], n_[keep >= 0]
-        price[k, deep_row:] = _extend(level(keep[keep >= 0], len(deep)), p2[deep % (size * size)])
-    return Model(languages, symbol.astype(np.uint8 if size <= 256 else np.int64), node, -np.log2(price))
+        p = np.full((len(own), size), 1 / 256)
+        for m in range(4):
+            some = np.flatnonzero(length[own] == m)
+            p[some] = _extend(counts[some], p[rows[k, shorter[own[some]]]])
+        prices.append(-np.log2(p).astype(np.float32))
+    return Model(languages, symbol, node.ravel(), rows, prices)
 
 
 def _extend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -147,12 +152,13 @@ def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
             b = model.symbol[np.frombuffer(b"".join(pad + d for d in some), np.uint8)].astype(np.int64)
             if len(b) <= 3:
                 continue
-            size = model.price.shape[2]
-            row = model.node[(b[:-3] * size + b[1:-2]) * size + b[2:-1]].astype(np.int64) * size + b[3:]
+            size = model.prices[0].shape[1]
+            node = model.node[(b[:-3] * size + b[1:-2]) * size + b[2:-1]]
             ends = np.cumsum([len(d) + 3 for d in some]) - 3
             starts = np.concatenate([[0], ends[:-1] + 3])
             for lang in range(len(model.languages)):
-                total = np.concatenate([[0.0], np.cumsum(model.price[lang].ravel()[row], dtype=np.float64)])
+                price = model.prices[lang].ravel()[model.rows[lang][node].astype(np.int64) * size + b[3:]]
+                total = np.concatenate([[0.0], np.cumsum(price, dtype=np.float64)])
                 out[group, lang] += total[ends] - total[starts]
     return out
 

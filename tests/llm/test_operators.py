@@ -56,8 +56,8 @@ def test_language_id(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in got if r.doc_id in (900, 901)} == {900: ("und", 0.0), 901: ("und", 0.0)}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
     m = language_id.fit(df, "doc_id", "text", "lang")
-    b, size = [0, 0, 0, *(int(m.symbol[c]) for c in rows[0][1].encode())], m.price.shape[2]
-    slow = [sum(float(m.price[k][m.node[(b[i] * size + b[i + 1]) * size + b[i + 2]]][b[i + 3]]) for i in range(len(b) - 3)) for k in range(2)]
+    b, size = [0, 0, 0, *(int(m.symbol[c]) for c in rows[0][1].encode())], m.prices[0].shape[1]
+    slow = [sum(float(m.prices[k][m.rows[k, m.node[(b[i] * size + b[i + 1]) * size + b[i + 2]]], b[i + 3]]) for i in range(len(b) - 3)) for k in range(2)]
     assert np.allclose(language_id.code_lengths(m, ["x", rows[0][1], ""])[1], slow)
     assert language_id.identify(df.limit(0)).count() == 0
 

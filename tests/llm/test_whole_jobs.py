@@ -376,8 +376,53 @@ def test_bounds_hold_and_prune_clusters():
 
 def test_prices_sum_to_one(spark):
     df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abracadabra " * 9, "x"), ("kayak kayak é", "y"), ("zz", "x")])], "doc_id long, text string, lang string")
-    m = language_id.fit(df, "doc_id", "text", "lang")
-    known = len(np.unique(m.symbol)) - 1
-    share = np.exp2(-m.price.astype(np.float64))
-    # symbol 0 stands for each of the bytes that no text has
-    assert np.allclose(share[..., 1:].sum(-1) + share[..., 0] * (256 - known), 1, atol=1e-4)
+    for nodes in (1, 7, 2_048):
+        m = language_id.fit(df, "doc_id", "text", "lang", nodes_per_language=nodes)
+        known = len(np.unique(m.symbol)) - 1
+        assert all(len(p) <= nodes for p in m.prices)
+        for p in m.prices:
+            share = np.exp2(-p.astype(np.float64))
+            # symbol 0 stands for each of the bytes that no text has
+            assert np.allclose(share[:, 1:].sum(-1) + share[:, 0] * (256 - known), 1, atol=1e-4)
+
+
+def _code_length(texts, text, nodes):
+    """Bits by the definition: counts in dictionaries, one byte at a time."""
+    seen = {}
+    for t in texts:
+        data = b"\0\0\0" + t.encode()
+        for i in range(3, len(data)):
+            for k in range(4):
+                own = seen.setdefault(data[i - k:i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
+    tree = set(sorted(seen, key=lambda c: (-sum(seen[c].values()), len(c), c))[:nodes])
+
+    def share(context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = share(context[1:] if context else None, byte)
+        if context not in tree:
+            return shorter
+        total, kinds = sum(seen[context].values()), len(seen[context])
+        return (seen[context].get(byte, 0) + kinds * shorter) / (total + kinds)
+
+    data = b"\0\0\0" + text.encode()
+    return sum(-np.log2(share(data[i - 3:i], data[i])) for i in range(3, len(data)))
+
+
+def test_code_lengths_against_the_definition(spark):
+    r = random.Random(5)
+    texts = {lang: ["".join(r.choice(letters) for _ in range(120)) for _ in range(6)] for lang, letters in (("x", "aab é"), ("y", "abcdß "), ("z", "dcba"))}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = ["abé", "", "dcbß ab" * 9, "aaaa"]
+    for nodes in (5, 40, 2_048):
+        got = language_id.code_lengths(language_id.fit(df, "doc_id", "text", "lang", nodes_per_language=nodes), asked)
+        want = [[_code_length(texts[lang], t, nodes) for lang in "xyz"] for t in asked]
+        assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_language_columns_may_clash(spark):
+    rows = [(i, "theron ing" if i % 2 else "schung ei", "en" if i % 2 else "de", "de", 2.0, True, "q") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, letters boolean, id string")
+    assert all(x.lang_pred == ("en" if x.doc_id % 2 else "de") for x in language_id.identify(df).collect())
