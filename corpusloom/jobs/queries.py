@@ -272,6 +272,37 @@ def _any(phrases: tuple[str, ...]) -> str:
     return " OR ".join(f"contains(q, '{p}')" for p in phrases)
 
 
+_TIER = f"CASE WHEN {_any(T.COMPLEX)} THEN 'complex' WHEN {_any(T.SIMPLE)} THEN 'simple' ELSE 'normal' END"
+_LABEL = "coalesce(source, 'None') || ' ' || coalesce(lang, 'None') || ' None | body'"
+#: What stands before, between and after the passages and the question.
+_PROMPT = (
+    "Use nothing but the numbered passages to answer, and name the passages you rely on as [n]. If they do not hold the answer, say that it is missing.\n\n# Passages\n",
+    "\n\n# Question\n", "\n\n# Answer\n",
+)
+_RELEVANT = f"""{_RERANKED},
+    se AS (SELECT query_id, rank AS chunk_rank, query, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT query_id, rank, query, {_SENTENCES.format('text')} AS s FROM rr)),
+    tk AS (SELECT *, {_TOKENS.format('query')} AS a, {_TOKENS.format('sentence')} AS b FROM se),
+    cs AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda t: len(list_filter(a, lambda u: u = t)) * len(list_filter(b, lambda u: u = t)))) AS dot,
+                     sqrt(list_sum(list_transform(list_distinct(a), lambda t: len(list_filter(a, lambda u: u = t)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(b), lambda t: len(list_filter(b, lambda u: u = t)) ** 2))) AS nn FROM tk),
+    si AS (SELECT query_id, chunk_rank, pos, sentence, round(coalesce(CASE WHEN nn > 0 THEN dot / nn END, 0), 9) AS sim FROM cs),
+    rl AS (SELECT *, sim >= max(sim) OVER (PARTITION BY query_id, chunk_rank) * 0.6::DOUBLE AS kept FROM si)"""
+
+
+def _folded(budget: int) -> str:
+    """``fo``: each query's chunks in rank order, cut to what is left of the budget, as far as it goes."""
+    return rf"""
+    nw AS (SELECT *, len(regexp_extract_all(sentence, '\S+')) AS n FROM rl),
+    ac AS (SELECT *, sum(n) FILTER (kept) OVER (PARTITION BY query_id, chunk_rank ORDER BY pos) AS upto FROM nw),
+    ck AS (SELECT query_id, chunk_rank AS rank, list(sentence ORDER BY pos) FILTER (kept) AS said, list(upto ORDER BY pos) FILTER (kept) AS upto, first(sentence ORDER BY sim DESC, pos) AS best,
+                  row_number() OVER (PARTITION BY query_id ORDER BY chunk_rank) AS o FROM ac GROUP BY query_id, chunk_rank),
+    st AS (SELECT query_id, 0::BIGINT AS o, 0::BIGINT AS used, 0::INT AS rank, ''::VARCHAR AS cut FROM ck WHERE o = 1
+           UNION ALL
+           SELECT query_id, o, (used + len(regexp_extract_all(cut, '\S+')))::BIGINT, rank, cut FROM (
+               SELECT query_id, o, used, rank, CASE WHEN fits = 0 THEN substring(best, 1, greatest(({budget} - used) * 4, 8)) ELSE array_to_string(said[1:fits], ' ') END AS cut
+               FROM (SELECT st.query_id, ck.o, used, ck.rank, said, best, len(list_filter(upto, lambda u: u <= {budget} - used)) AS fits FROM st JOIN ck ON ck.query_id = st.query_id AND ck.o = st.o + 1 WHERE used < {budget}))),
+    fo AS (SELECT query_id, rank, cut FROM st WHERE o > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     think = r"'<\s*think(?:ing)?\s*>.*?<\s*/\s*think(?:ing)?\s*>', '', 'gs'"
     strip = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -283,15 +314,17 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk_batch": f"WITH {_DENSE} SELECT * FROM dn",
         "rrf_fusion": f"WITH {_FUSED} SELECT * FROM fr",
         "rerank_topk": f"WITH {_RERANKED} SELECT query_id, rank, doc_id, round(rerank_score, 6) AS rerank_score FROM rr",
-        "route_complexity": f"SELECT conv_id, turn, CASE WHEN {_any(T.COMPLEX)} THEN 'complex' WHEN {_any(T.SIMPLE)} THEN 'simple' ELSE 'normal' END AS tier FROM (SELECT *, {strip('lower(coalesce(text, chr(32)))')} AS q FROM conversations)",
+        "route_complexity": f"SELECT conv_id, turn, {_TIER} AS tier FROM (SELECT *, {strip('lower(coalesce(text, chr(32)))')} AS q FROM conversations)",
         "sentence_split": f"SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(length(array_to_string(s, '')), 0)::BIGINT AS chars FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)",
-        "sentence_relevance": f"""WITH {_RERANKED},
-            se AS (SELECT query_id, rank AS chunk_rank, query, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT query_id, rank, query, {_SENTENCES.format('text')} AS s FROM rr)),
-            tk AS (SELECT *, {_TOKENS.format('query')} AS a, {_TOKENS.format('sentence')} AS b FROM se),
-            cs AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda t: len(list_filter(a, lambda u: u = t)) * len(list_filter(b, lambda u: u = t)))) AS dot,
-                             sqrt(list_sum(list_transform(list_distinct(a), lambda t: len(list_filter(a, lambda u: u = t)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(b), lambda t: len(list_filter(b, lambda u: u = t)) ** 2))) AS nn FROM tk),
-            si AS (SELECT query_id, chunk_rank, pos, round(coalesce(CASE WHEN nn > 0 THEN dot / nn END, 0), 9) AS sim FROM cs)
-            SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, sim >= max(sim) OVER (PARTITION BY query_id, chunk_rank) * 0.6::DOUBLE AS kept FROM si""",
+        "sentence_relevance": f"WITH {_RELEVANT} SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, kept FROM rl",
+        "budget_fold": f"WITH RECURSIVE {_RELEVANT}, {_folded(600)} SELECT query_id, rank, doc_id, cut AS content, cut <> text AS compressed FROM fo JOIN rr USING (query_id, rank)",
+        "ask": f"""WITH RECURSIVE held AS (SELECT * FROM embeddings SEMI JOIN documents ON vec_id = doc_id), {_RELEVANT.replace('embeddings v', 'held v')}, {_folded(S.context_token_budget)},
+            be AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, {_LABEL} AS label FROM fo JOIN rr USING (query_id, rank)),
+            co AS (SELECT query_id, string_agg('[' || place || '] (source: ' || coalesce(source, 'None') || ', ' || coalesce(lang, 'None') || ', None, body)' || chr(10) || {strip('cut')}, chr(10) || chr(10) ORDER BY rank) AS context,
+                          string_agg(DISTINCT label, ';' ORDER BY label) AS sources FROM be GROUP BY query_id),
+            pr AS (SELECT item_id AS query_id, text AS query, '{_PROMPT[0]}' || coalesce(context, '') || '{_PROMPT[1]}' || text || '{_PROMPT[2]}' AS prompt, coalesce(sources, '') AS sources FROM benchmark LEFT JOIN co ON query_id = item_id)
+            SELECT query_id, {_TIER} AS tier, len(regexp_extract_all(prompt, '\\S+'))::BIGINT AS tokens_in, {strip('right(prompt, 200)')} AS answer, 'groq' AS provider, 1 AS n_failures, sources
+            FROM (SELECT *, {strip('lower(query)')} AS q FROM pr)""",
         "line_chunks_offsets": """WITH l AS (SELECT doc_id AS source_file, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
             SELECT source_file, pos::INT AS chunk_index, coalesce(sum(greatest(length(c) - 150, 0)) OVER (PARTITION BY source_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset, length(c)::INT AS chars FROM l""",
         "last_marker_slice": """WITH m AS (SELECT page_id, html, regexp_matches(html, '(?is)<h1') AS has, length(regexp_extract(html, '(?is)^(.*)<h1', 1)) AS a,
