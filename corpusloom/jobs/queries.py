@@ -187,10 +187,11 @@ def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed embeddings of all documents; a row per document with its vector's length and norm."""
+    """Hashed embeddings of all documents; a row per document with its vector's length, norm, filled bins and largest bin."""
     found = dense.embed(_chunks(spark, sf_dir).select("doc_id", "content"), dense.hashed_embedder(64))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return found.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 4).alias("norm"))
+    return found.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 4).alias("norm"),
+                        F.size(F.filter("embedding", lambda x: x > 0)).alias("filled"), F.array_position("embedding", F.array_max("embedding")).alias("largest"))
 
 
 def chunk_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,5 +351,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, [{chain}][won + 1] AS provider, CASE WHEN won IS NOT NULL THEN md5({strip('text')}) END AS answer_md5, coalesce(won, {len(S.fallback_chain)})::INT AS n_failures,
                    CASE WHEN won IS NULL THEN 'all providers failed' END AS error FROM g""",
         "dim_check": "SELECT count(*) AS vectors, count(*) FILTER (coalesce(len(embedding), -1) <> 64) AS other_length FROM embeddings",
-        "embed_batches": r"SELECT doc_id, 64 AS dimensions, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(text, '\S')",
+        "embed_batches": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM documents),
+            c AS (SELECT doc_id, ('0x' || substring(md5(word), 1, 8))::BIGINT % 64 + 1 AS bin, count(*) AS n FROM w GROUP BY ALL)
+            SELECT doc_id, 64 AS dimensions, 1.0::DOUBLE AS norm, count(*)::INT AS filled, first(bin ORDER BY n DESC, bin) AS largest FROM c GROUP BY doc_id""",
     }

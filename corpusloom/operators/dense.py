@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ def hashed_embedder(dimensions: int) -> Embedder:
         out = []
         for text in texts:
             v = np.zeros(dimensions)
-            for word in text.lower().split():
-                v[zlib.crc32(word.encode()) % dimensions] += 1
+            for word, times in Counter(text.lower().split()).items():
+                v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions] += times
             norm = np.linalg.norm(v)
             out.append((v / norm if norm else v).tolist())
         return out
