@@ -304,6 +304,19 @@ def _folded(budget: int) -> str:
     fo AS (SELECT query_id, rank, cut FROM st WHERE o > 0)"""
 
 
+#: Markup nodes: scripts, styles and comments whole, tags, runs of text. The pages hold four named references.
+_NODES = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|</?[a-z][^>]*>|<![^>]*>|[^<]+|<"
+
+
+def _cleaned(html: str) -> str:
+    """The list of paragraphs of a piece of HTML."""
+    return rf"""list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all({html}, '{_NODES}'), lambda x: CASE
+        WHEN regexp_matches(x, '(?i)^<(?:script|style)') THEN regexp_extract(x, '(?s)^<[^>]*>(.*)<', 1) WHEN starts_with(x, '<!--') THEN x[5:-4]
+        WHEN regexp_matches(x, '(?i)^</?(?:p|div|li|h[1-6]|tr|br)[\s/>]') THEN chr(1) WHEN regexp_matches(x, '(?is)^<[/a-z!]') THEN ''
+        ELSE regexp_replace(replace(regexp_replace(regexp_replace(x, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;', '"'), '&amp;?', '&', 'g') END), ' '), chr(1)),
+        lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     think = r"'<\s*think(?:ing)?\s*>.*?<\s*/\s*think(?:ing)?\s*>', '', 'gs'"
     strip = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -334,6 +347,9 @@ def oracle_sql() -> dict[str, str]:
         "chunk_store_roundtrip": r"""WITH l AS (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
             o AS (SELECT *, coalesce(sum(greatest(length(c) - 150, 0)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM l)
             SELECT 'd-' || doc_id AS source_doc, pos::INT AS chunk_index, char_offset, 'body' AS section, NULL::VARCHAR AS fiscal_period, md5(c) AS digest, 16 AS dimensions FROM o WHERE regexp_matches(c, '\S')""",
+        "html_clean": f"SELECT page_id, CASE WHEN html IS NOT NULL THEN coalesce(array_to_string({_cleaned('html')}, chr(10) || chr(10)), '') END AS text FROM pages",
+        "parse_filings": rf"""SELECT 'p-' || page_id || '.html' AS source_file, 'p' AS ticker, '10-K' AS filing_type, 1 AS n_sections, len(regexp_extract_all(array_to_string(ps, ' '), '\S+'))::INT AS word_count,
+                'Section ''Item 7 MD&A'' could not be extracted' AS warnings FROM (SELECT page_id, {_cleaned("('Item 1A. Risk Factors</p>' || html || '<p>')")} AS ps FROM pages)""",
         "filing_meta": r"""WITH f AS (SELECT page_id, ['10-K', '10Q', '8-K', '10K'][page_id % 4 + 1] AS form, regexp_extract(url, '://([^/?#]*)', 1) AS host,
                 ['<p>For the fiscal year ended June 30, ' || (2000 + page_id % 25) || '</p>', 'Fiscal Year Ended&nbsp;' || chr(10) || 'September 27, ' || (2000 + page_id % 25),
                  '<ix:nonNumeric name=''dei:DocumentFiscalYearFocus'' id=''f''> ' || (2000 + page_id % 25) || ' </ix:nonNumeric>', '<dei:documentfiscalyearfocus>' || (2000 + page_id % 25) || '</dei:documentfiscalyearfocus>',
