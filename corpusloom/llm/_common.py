@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words in the contracts.
@@ -112,6 +112,26 @@ def numbered(docs: DataFrame) -> DataFrame:
         return materialise(docs.select(once.alias("row"), whole), "numbered")
 
 
+#: About so many rows are numbered by one task.
+ROWS_PER_GROUP = 250_000
+
+
+def gapless(rows: DataFrame, by: str, uid: str, name: str, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """Number the rows of each value of ``by`` from 0, without gaps, by many tasks.
+
+    ``rows`` is a written table and ``uid`` a number of its own for each row, so that equal rows
+    too are dealt over all groups; a table of how many rows come before each group is joined on.
+    """
+    groups = max(32, -(-rows.count() // rows_per_group))
+    dealt = rows.withColumn("loom_group", F.pmod(F.xxhash64(uid), F.lit(groups)).cast("int"))
+    earlier = Window.partitionBy(by).orderBy("loom_group").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(by, "loom_group").agg(F.count(F.lit(1)).alias("loom_n"))
+    bases = sizes.select(by, "loom_group", F.coalesce(F.sum("loom_n").over(earlier), F.lit(0)).alias("loom_base"))
+    place = F.row_number().over(Window.partitionBy(by, "loom_group").orderBy(uid)) - 1
+    numbered = dealt.join(bases.hint("merge"), [by, "loom_group"])
+    return numbered.select(*rows.columns, (F.col("loom_base") + place).cast("long").alias(name))
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
     """Cuts ``batch`` so that each part has at most so many bytes of ``column`` and rows, or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

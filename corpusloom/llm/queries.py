@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, simhash, site_style, token_counts, topk, url_rules, warc
+from . import exact_dedup, language_id, mixing, packing, sharding, simhash, site_style, token_counts, topk, url_rules, warc
 from ._common import table
 
 
@@ -61,10 +61,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc, op2_exact_topk, op3_token_counts, op4_language_id, op5_mix_sources, op6_url_filters,
-        op7_simhash, op8_packing, op9_exact_dedup, op10_html_text,
+        op7_simhash, op8_packing, op9_exact_dedup, op10_html_text, op12_sharding,
     ]
     return {f.__name__: f for f in found}
 
