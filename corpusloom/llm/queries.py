@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, language_id, mixing, packing, sharding, simhash, site_style, token_counts, topk, url_rules, warc
+from . import alignment, divergence, exact_dedup, language_id, mixing, packing, sharding, simhash, site_style, token_counts, topk, url_rules, warc
 from ._common import table
 
 
@@ -61,6 +61,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc, op2_exact_topk, op3_token_counts, op4_language_id, op5_mix_sources, op6_url_filters,
-        op7_simhash, op8_packing, op9_exact_dedup, op10_html_text, op12_sharding, op13_source_divergence,
+        op7_simhash, op8_packing, op9_exact_dedup, op10_html_text, op11_token_alignment, op12_sharding,
+        op13_source_divergence,
     ]
     return {f.__name__: f for f in found}
 
