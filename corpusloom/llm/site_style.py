@@ -35,12 +35,17 @@ MIN_PAGES, LOW, LOW_IN_ARTICLE = 5, 0.3, 0.1
 #: Weight of the contents below a node in its composite importance; the rest is its presentation's.
 BELOW = 0.9
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Deeper elements share the style of the one at this depth, as browsers bound the depth of a page;
+#: longer labels of a path are hashed. So a block's path is bounded, however broken its page.
+MAX_DEPTH, MAX_LABEL = 128, 24
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(?:\s*>)?")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>\"'][^\s>]*))?)?)")
+_COMMENT_END = re.compile(r"--!?>")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+#: Elements whose content isn't markup; elements that are dropped with what is in them, if they have an end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in "script style textarea title iframe noembed noframes xmp".split()}
+_DROPPED = frozenset("svg noscript template".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -56,121 +61,220 @@ _NOISE_NAME = frozenset(
 #: Elements that a name never makes noise.
 _NEVER_NAMED = frozenset("html body main article".split())
 _CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "option": "option", "tr": "tr", "td": "td", "th": "th"}
-_MAIN = re.compile(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody)", re.I)
+_LISTS = frozenset("ul ol dl table menu".split())
 NOISE, BODY, ARTICLE = 0, 1, 2
 
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)}
-
-
 def _hides(attr: dict[str, str]) -> bool:
     return attr.get("role", "").lower() in _NOISE_ROLE or "hidden" in attr or attr.get("aria-hidden") == "true"
 
 
+def _marks(attr: dict[str, str]) -> bool:
+    return "main" in attr.get("role", "").lower().split() or "articlebody" in attr.get("itemprop", "").lower().split()
+
+
 def _named(attr: dict[str, str]) -> bool:
     """Whether a whole class or the id is a name of noise; parts of layout names don't count."""
     return any(name.replace("_", "-") in _NOISE_NAME for name in (attr.get("class", "") + " " + attr.get("id", "")).lower().split())
 
 
+def tokens(page: str) -> list[tuple]:
+    """A page's texts (False, text), start tags (tag, attributes, whether self-closing) and end tags (tag,), in one pass.
+
+    Comments end as in HTML: ``<!-->`` and ``<!--->`` at once, others at ``-->`` or ``--!>``. A
+    quoted value may hold ``>``; where a quote or tag never ends, it and all tags after it end at
+    the next ``>``, and what has none is text. So each character is looked at twice at most.
+    """
+    out: list[tuple] = []
+    pos, size, last, quotes, svg = 0, len(page), page.rfind(">"), True, 0
+    while pos < size:
+        at = page.find("<", pos)
+        if at < 0 or at >= last and not page.startswith(("<!--", "<![CDATA["), at):
+            out.append((False, page[pos:]))
+            break
+        if at > pos:
+            out.append((False, page[pos:at]))
+        if page.startswith("<!--", at):
+            if page.startswith(">", at + 4):
+                pos = at + 5
+            elif page.startswith("->", at + 4):
+                pos = at + 6
+            else:
+                done = _COMMENT_END.search(page, at + 4)
+                pos = done.end() if done else size
+            continue
+        if page.startswith("<![CDATA[", at):
+            done = page.find("]]>", at + 9)
+            out.append((False, page[at + 9:done if done >= 0 else size]))
+            pos = done + 3 if done >= 0 else size
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            if page.startswith(("<!", "<?", "</"), at):  # a declaration, or not a tag
+                pos = page.find(">", at) + 1
+            else:
+                out.append((False, "<"))
+                pos = at + 1
+            continue
+        tag, pos, attr, closed = m[2].lower(), m.end(), {}, False
+        if page[pos - 1] != ">":
+            start = pos
+            while quotes:
+                step = _ATTRIBUTE.match(page, pos)
+                if not step or step[3] is not None and not step[4] or step[5] is not None and not step[6]:
+                    quotes = False  # it goes on to the end of the page
+                    break
+                pos = step.end()
+                if step[1]:
+                    closed = page[pos - 2] == "/"
+                    break
+                attr.setdefault(step[2].lower(), step[3] or step[5] or step[7] or "")
+            if not quotes:
+                pos = page.find(">", start) + 1
+                closed, attr, step = page[pos - 2] == "/", {}, start
+                while (found := _ATTRIBUTE.match(page, step, pos - 1)) and found.end() > step:
+                    step = found.end()
+                    attr.setdefault((found[2] or "").lower(), found[3] or found[5] or found[7] or "")
+        if m[1]:
+            svg -= tag == "svg" and svg > 0
+            out.append((tag,))
+            continue
+        svg += tag == "svg" and not closed
+        if tag in _RAW and not (closed and svg):
+            done = _RAW[tag].search(page, pos)
+            pos = page.find(">", done.end()) + 1 or size if done else size
+            continue
+        out.append((tag, attr, closed))
+    return out
+
+
+def _dropped(found: list[tuple]) -> dict[int, int]:
+    """Start tags of dropped elements that have an end tag of their own, with its number; a block ends an svg, which then has none."""
+    open_, out, foreign = {t: [] for t in _DROPPED}, {}, 0
+    for k, token in enumerate(found):
+        tag = token[0]
+        if not tag:
+            continue
+        if len(token) == 1:
+            if tag in _DROPPED and open_[tag]:
+                out[open_[tag].pop()] = k
+            foreign -= tag == "foreignobject" and foreign > 0
+        elif tag in _DROPPED:
+            if not token[2]:
+                open_[tag].append(k)
+        elif tag == "foreignobject":
+            foreign += 1
+        elif tag in _BLOCK and not foreign:
+            open_["svg"].clear()
+    return out
+
+
 def blocks(page: str) -> tuple[bool, list[tuple[str, int, str]], dict[str, list[str]]]:
     """Whether the page marks an article; its blocks in order: style path, kind, text; and by path what stands in its elements.
 
     An element that is noise only by name isn't if it holds an article or main, but for an article
-    inside another one (a comment, say), and for teasers beside the page's article.
+    inside another one (a comment, say), and for teasers beside the page's article. The work is in
+    proportion to the page, however deep or broken it is.
     """
-    out: list[tuple[str, tuple[int, tuple[int, ...]], str]] = []
-    # tag, path, kind and the numbers of the elements around that are noise only by name
-    stack: list[tuple[str, str, tuple[int, tuple[int, ...]]]] = [("", "", (BODY, ()))]
+    out: list[tuple[str, int, int, str]] = []
+    # tag, path, depth, kind, the innermost element around that is noise only by name, places of what a sibling closes
+    stack: list[tuple[str, str, int, int, int, dict[str, int]]] = [("", "", 0, BODY, 0, {})]
+    opened: dict[str, int] = {}  # open elements by tag
     held: list[str] = []
-    marked, number = False, 0
+    marked = False
     shown: dict[str, list[str]] = {}
-    cleared: set[int] = set()  # elements with a name of noise that hold an article
-    maybe: set[int] = set()  # the same, if the page has no other article
+    around = [0]  # of an element with a name of noise, the next one around it
+    cleared: set[int] = {0}  # elements with a name of noise that hold an article; with each, those around it
+    maybe: set[int] = {0}  # the same, if the page has no other article
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((stack[-1][1], stack[-1][2], text))
+                out.append((stack[-1][1], stack[-1][3], stack[-1][4], text))
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                # inline tags of the same kind as what is around them don't end a block
-                if stack[-1][2] != stack[k - 1][2] or any(x[0] in _BLOCK for x in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-
-    pos, size = 0, len(page)
-    while pos < size:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            held.append(page[pos:])
-            break
-        if m.start() > pos:
-            held.append(page[pos:m.start()])
-        pos = m.end()
-        end, tag, attrs = m[1], m[2] or m[4], m[3] if m[2] else m[5]
-        if end:
-            end = end.lower()
-            if end in _BLOCK:
-                flush()
-            close(end)
-            continue
+        if not opened.get(tag):
+            return
+        k = len(stack) - 1
+        block = stack[k][0] in _BLOCK
+        while stack[k][0] != tag:
+            k -= 1
+            block = block or stack[k][0] in _BLOCK
+        # inline tags of the same kind as what is around them don't end a block
+        if block or stack[-1][3:5] != stack[k - 1][3:5]:
+            flush()
+        cut(k)
+
+    found = tokens(page)
+    dropped, at = _dropped(found), 0
+    while at < len(found):
+        k, token = at, found[at]
+        tag, at = token[0], at + 1
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:].removesuffix("]]>"))
+            held.append(token[1])
+            continue
+        if len(token) == 1:
+            if tag in _BLOCK:
+                flush()
+            close(tag)
             continue
-        tag = tag.lower()
         if tag == "br":
             held.append(" ")
             continue
-        if tag in _RAW:
-            done = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, pos)
-            pos = done.end() if done else size
+        if tag in _DROPPED:
+            at = dropped.get(k, k) + 1
             continue
         if tag in _BLOCK:
             flush()
-            if any(x[0] == "p" for x in stack):
-                close("p")
-            if tag in _CLOSES:  # an open sibling ends here, unless a list or table lies between
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
-                    if stack[k][0] in (tag, _CLOSES[tag]):
-                        del stack[k:]
-                        break
+            close("p")
+            if tag in _CLOSES and (open_at := max(stack[-1][5].get(tag, 0), stack[-1][5].get(_CLOSES[tag], 0))):
+                cut(open_at)  # an open sibling ends here, unless a list or table lies between
         if tag in _VOID:
             continue
-        _, path, (kind, names) = stack[-1]
-        attr = _attributes(attrs) if attrs and not attrs.isspace() else {}
-        main = tag in ("article", "main") or bool(attr and _MAIN.search(attrs))
+        _, path, depth, kind, name, near = stack[-1]
+        attr = token[1]
+        main = tag in ("article", "main") or bool(attr) and _marks(attr)
         # an article's own header holds its title
         if tag in _NOISE_TAG and not (tag == "header" and kind == ARTICLE) or attr and _hides(attr):
             kind = NOISE
         elif main and kind != NOISE:
-            if tag == "main" or not any(x[0] == "article" for x in stack):
-                (cleared if kind == ARTICLE else maybe).update(names)
+            if tag == "main" or not opened.get("article"):
+                into, outer = cleared if kind == ARTICLE else maybe, name
+                while outer not in into:
+                    into.add(outer)
+                    outer = around[outer]
             kind, marked = ARTICLE, True
         elif attr and kind != NOISE and tag not in _NEVER_NAMED and _named(attr):
-            number += 1
-            names = (*names, number)
+            around.append(name)
+            name = len(around) - 1
         if tag in _BLOCK:
-            label = tag + ("." + ".".join(sorted(attr["class"].replace("/", "").split())) if attr.get("class") else "")
-            if path:
-                shown.setdefault(path, []).append(label)
-            path = f"{path}/{label}"
-            shown.setdefault(path, [])
-        elif (kind, names) != stack[-1][2]:
+            if depth < MAX_DEPTH:
+                label = tag + ("." + ".".join(sorted(attr["class"].replace("/", "").split())) if attr.get("class") else "")
+                if len(label) > MAX_LABEL:
+                    label = f"{label[:8].split('.')[0]}.{_hash(label) + (1 << 63):x}"
+                if path:
+                    shown.setdefault(path, []).append(label)
+                path, depth = f"{path}/{label}", depth + 1
+                shown.setdefault(path, [])
+        elif (kind, name) != stack[-1][3:5]:
             flush()
-        stack.append((tag, path, (kind, names)))
+        if tag in _LISTS:
+            near = {}
+        elif tag in _CLOSES:
+            near = {**near, tag: len(stack)}
+        stack.append((tag, path, depth, kind, name, near))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    if not any(kind == ARTICLE and cleared.issuperset(names) for _, (kind, names), _ in out):
+    if not any(kind == ARTICLE and name in cleared for _, kind, name, _ in out):
         cleared |= maybe
-    return marked, [(path, kind if cleared.issuperset(names) else NOISE, text) for path, (kind, names), text in out], shown
+    return marked, [(path, kind if name in cleared else NOISE, text) for path, kind, name, text in out], shown
 
 
 _BLOCKS = "marked boolean, page bigint, blocks array<struct<path:string,kind:int,content:bigint,text:string>>, nodes array<struct<path:string,shown:bigint>>"
