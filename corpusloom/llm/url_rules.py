@@ -1,15 +1,17 @@
 """URL filters: explicit host and path rules, and association rules mined from labelled URLs.
 
 URLs that an explicit rule judges are the labelled transactions: their tokens and their label.
-Spark's FP-growth mines token combinations that imply a label from all of them, pruned by support,
-in rows as well, and confidence; rules of more than MAX_TOKENS tokens, and those made of the explicit
-rules' own host names alone, aren't used.
+Spark's FP-growth mines combinations of up to MAX_TOKENS tokens that imply a label from all of them,
+pruned by support, in rows as well, and confidence; rules made of the explicit rules' own host names
+alone aren't used.
 Mined rules are posted under one token each; a URL's tokens look them up there, and a rule
 applies if the URL has all its tokens.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,22 +60,62 @@ def rule_tokens(rules=SITE_RULES) -> list[str]:
     return sorted({"host:" + part for host, _, _ in rules for part in host.split(".")})
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, given: list[str] | None = None) -> DataFrame:
+def _combinations(items: Column) -> Column:
+    """All sets of one to three of the items of a sorted array, as arrays."""
+    after = lambda xs, i: F.slice(xs, i + 2, F.size(xs))
+    pairs = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.transform(after(xs, i), lambda y: F.array(x, y))))
+    triples = F.flatten(F.transform(items, lambda x, i: F.transform(pairs(after(items, i)), lambda p: F.concat(F.array(x), p))))
+    return F.concat(F.transform(items, lambda x: F.array(x)), pairs(items), triples)
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, given: list[str] | None = None) -> DataFrame:
     """``labelled`` (tokens, label) -> (antecedent, label, confidence, support), from every row.
 
-    A rule needs ``min_support`` of the rows, and ``min_rows`` of them. Rules whose antecedent has
-    only ``given`` tokens would restate what the labels were made from, and aren't used.
+    A rule needs ``min_support`` of the rows, and ``min_rows`` of them, and has at most MAX_TOKENS
+    tokens. FP-growth, which can't be bounded by length, is given each row's combinations of up to
+    so many tokens, each as one item beside the label, so that its work grows with the third power
+    of a URL's tokens and never exponentially. Tokens of the very same rows (every key of a form,
+    say) are one item there and come apart again in the rules, and those of all rows combine with
+    none. A rule whose rows are just those of a part of it would say nothing more, and isn't kept;
+    nor are rules of ``given`` tokens only, which would restate what the labels were made from.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
-    schema = "antecedent array<string>, label string, confidence double, support double"
-    if labelled.isEmpty():
-        return labelled.sparkSession.createDataFrame([], schema)
-    support = min(1.0, max(min_support, min_rows / labelled.count()))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).associationRules
-    label = F.element_at("consequent", 1)
-    good = label.startswith(_LABEL) & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL))
+    spark = labelled.sparkSession
+    rows = materialise(labelled.select(F.monotonically_increasing_id().alias("uid"), F.array_distinct("tokens").alias("tokens"), "label"), "labelled")
+    total = rows.count()
+    if not total:
+        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double")
+    least = min(total, max(math.ceil(min_support * total), min_rows))
+    each = rows.select("uid", "label", F.explode("tokens").alias("token"))
+    extent = [F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"x{k}") for k in range(2))]
+    # frequent tokens, of which there are at most 1 / min_support times the tokens of a URL, by the rows they are in
+    alike = each.groupBy("token").agg(*extent).where(F.col("n") >= least).groupBy("n", "x0", "x1").agg(F.collect_list("token").alias("members"))
+    alike = materialise(alike.select(F.monotonically_increasing_id().alias("item"), "n", "members"), "items")
+    known = alike.select("item", "n", F.explode("members").alias("token"))
+    sets = each.join(known, "token").groupBy("uid", "label").agg(
+        F.array_sort(F.collect_set(F.when(F.col("n") < total, F.col("item")))).alias("items"), F.collect_set(F.when(F.col("n") == total, F.col("item"))).alias("always"))
+    named = F.transform(F.concat(_combinations(F.col("items")), F.transform("always", lambda x: F.array(x))), lambda c: F.array_join(c.cast("array<string>"), ","))
+    deals = materialise(sets.select(F.explode(named).alias("c"), F.concat(F.lit(_LABEL), "label").alias("label")), "combinations").select(F.array("c", "label").alias("items"))
+    number = deals.count()
+    if not number:
+        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / number, minConfidence=min_confidence).fit(deals)
+    sizes = model.freqItemsets.where((F.size("items") == 1) & ~F.col("items")[0].startswith(_LABEL)).select(F.col("items")[0].alias("c"), F.col("freq").alias("n"))
+    sizes = materialise(sizes, "combination-sizes")
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(_LABEL))
+    rules = rules.select(F.col("antecedent")[0].alias("c"), F.substring(F.element_at("consequent", 1), len(_LABEL) + 1, 1000).alias("label"), "confidence", F.round(F.col("support") * number).alias("hits"))
+    rules = materialise(rules.join(sizes, "c"), "combination-rules")
+    # without one of its tokens, a set that adds anything is in more rows
+    parts = F.split("c", ",")
+    fewer = rules.where(F.size(parts) > 1).select("c", "n", F.explode(F.transform(parts, lambda x: F.array_join(F.array_remove(parts, x), ","))).alias("less"))
+    idle = fewer.join(sizes.select(F.col("c").alias("less"), F.col("n").alias("n_less")), "less").where("n = n_less").select("c").distinct()
+    kept = rules.join(idle, "c", "left_anti").withColumns({"antecedent": F.array().cast("array<string>"), "left": parts})
+    for _ in range(MAX_TOKENS):  # each item by each token that it stands for
+        at = alike.select(F.col("item").cast("string").alias("item"), F.explode("members").alias("token"))
+        more = kept.where(F.size("left") > 0).withColumn("item", F.col("left")[0]).join(at, "item")
+        more = more.withColumns({"antecedent": F.concat("antecedent", F.array("token")), "left": F.slice("left", 2, MAX_TOKENS)}).select(*kept.columns)
+        kept = kept.where(F.size("left") == 0).unionByName(more)
     own = F.size(F.array_except("antecedent", F.array(*(F.lit(t) for t in given or [])).cast("array<string>"))) > 0
-    return rules.where(good & own).select(F.array_sort("antecedent").alias("antecedent"), F.substring(label, len(_LABEL) + 1, 100).alias("label"), "confidence", "support")
+    return kept.where(own).select(F.array_sort("antecedent").alias("antecedent"), "label", "confidence", (F.col("hits") / total).alias("support"))
 
 
 def apply_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
