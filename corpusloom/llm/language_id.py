@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column_type, materialise, slices, small_batches, text_or_empty
+from ._common import column_type, materialise, numbered, slices, small_batches, text_or_empty
 
-#: About so many labelled rows of each language are fitted on, chosen by a hash of their id.
+#: About so many labelled rows of each language are fitted on, chosen row by row by a hash of the
+#: id, the text and the row's place in its file, so that rows of one id are drawn apart.
 SAMPLE_PER_LANGUAGE = 2_000
+#: So many languages are learned at most, those with the most labelled rows; dirty labels can't grow the model beyond.
+MOST_LANGUAGES = 256
 #: Nodes of a language's tree: its most frequent contexts of up to three bytes, the empty one first.
 #: A table of prices thus has at most 2,048 x 257 entries, 2 MB, a language.
 NODES_PER_LANGUAGE = 2_048
@@ -69,20 +72,24 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, nodes_per_language: int = NODES_PER_LANGUAGE) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, nodes_per_language: int = NODES_PER_LANGUAGE,
+        most_languages: int = MOST_LANGUAGES) -> Model:
     """Fit on about ``sample_per_language`` whole texts of each language that ``labelled`` holds.
 
-    Rows without text or language are left out. Spark counts, and chooses each tree's nodes: the
-    driver gets at most 256 counts for each of them, and never a text.
+    Rows without text or language are left out, and so are languages whose sample has no byte to
+    count. Spark counts, and chooses each tree's nodes: the driver gets at most 256 counts for
+    each of them, and never a text.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = numbered(labelled).select(F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"), F.col(f"doc.`{lang_col}`").cast("string").alias("lang"), "row.place")
+    rows = rows.where("text <> '' and lang is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((0, 1), np.int32), [])
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample_per_language / n))))
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    # of a language that isn't learned there is no share, and null chooses no row
+    chosen = rows.where(F.pmod(F.xxhash64("id", "text", "place", F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     grams = materialise(chosen.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     # a context is its bytes above its length, a gram's first three bytes
     context = F.explode(F.array(*(F.expr(f"shiftright(gram, 8) % {1 << 8 * k} + {k << 24}") for k in range(4)))).alias("context")
@@ -91,7 +98,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_p
     nodes = seen.groupBy("lang", "context").agg(F.sum("n").alias("total")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= nodes_per_language)
     found = seen.join(nodes.select("lang", "context"), ["lang", "context"]).toArrow()
     lang, key, byte, n = (found.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "context", "byte", "n"))
-    return _tables(sorted(sizes), lang, key.astype(np.int64), byte.astype(np.int64), n.astype(np.int64))
+    return _tables(sorted(set(lang)), lang, key.astype(np.int64), byte.astype(np.int64), n.astype(np.int64))
 
 
 def _tables(languages: list[str], lang: np.ndarray, key: np.ndarray, byte: np.ndarray, n: np.ndarray) -> Model:
@@ -169,7 +176,7 @@ def _predict(shared):
         for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
             known = np.array(batch.column("letters").to_pylist(), dtype=bool)
             texts = batch.column("text").to_pylist()
-            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            lang, score, cost = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             at = np.flatnonzero(known)
             if len(at) and model.languages:
                 bits = code_lengths(model, [texts[i] for i in at])
@@ -177,8 +184,9 @@ def _predict(shared):
                 gap = np.minimum(bits - bits.min(1, keepdims=True), 1000)
                 score[at] = 1 / np.exp2(-gap).sum(1)
                 lang[at] = np.array(model.languages, dtype=object)[best]
+                cost[at] = bits.min(1) / [len(texts[i].encode()) for i in at]
             keep = batch.drop_columns(["text", "letters"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64(), from_pandas=True)], [*keep.schema.names, "lang_pred", "score", "bits_per_byte"])
 
     return run
 
@@ -188,18 +196,21 @@ def has_letter(text: Column) -> Column:
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` without the text, with ``lang_pred`` and ``score``.
+    """``df`` without the text, with ``lang_pred``, ``score`` and ``bits_per_byte``.
 
-    The score is the winner's share when each language weighs two to the minus its code length.
-    A text that is null or has no letter, or a model without languages, gives ``und`` and 0.
-    The columns of ``df`` must not be called ``lang_pred``, ``score``, ``letters`` or ``text``,
-    but for the text itself. Rows are judged one by one, so repeated ones come out alike.
+    The score is the winner's share when each language weighs two to the minus its code length;
+    ``bits_per_byte`` is that length by the text's bytes. A text that is null or has no letter, or
+    a model without languages, gives ``und``, 0 and null. Other columns keep their names, but for
+    those of the result, which replace columns of the same name. Rows are judged one by one, so
+    repeated ones come out alike.
     """
     small_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != text_col]
-    ready = df.select(*rest, has_letter(F.col(text_col)).alias("letters"), text_or_empty(text_col).alias("text"))
-    schema = ", ".join([*(f"`{c}` {column_type(df, c)}" for c in rest), "lang_pred string, score double"])
-    return ready.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model)), schema)
+    rest = [c for c in df.columns if c not in (text_col, "lang_pred", "score", "bits_per_byte")]
+    kept = [F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(rest)]  # so that no name clashes on the way
+    ready = df.select(*kept, has_letter(F.col(text_col)).alias("letters"), text_or_empty(text_col).alias("text"))
+    schema = ", ".join([*(f"kept{k} {column_type(df, c)}" for k, c in enumerate(rest)), "lang_pred string, score double, bits_per_byte double"])
+    found = ready.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model)), schema)
+    return found.select(*(F.col(f"kept{k}").alias(c) for k, c in enumerate(rest)), "lang_pred", "score", "bits_per_byte")
 
 
 def held_out(id_col: Column) -> Column:
@@ -210,8 +221,8 @@ def held_out(id_col: Column) -> Column:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out and predict every row's language.
 
-    Returns one row per input row: the id column, ``held_out``, ``lang_pred``, ``score``. Ids may
-    repeat or be null; an empty table gives an empty result; other columns play no part.
+    Returns one row per input row: the id column, ``held_out``, ``lang_pred``, ``score``,
+    ``bits_per_byte``. Ids may repeat or be null; an empty table gives an empty result; other columns play no part.
     """
     model = fit(df.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
