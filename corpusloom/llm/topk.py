@@ -26,8 +26,8 @@ K = 10
 SCALE = 1024
 BLOCK = 64
 SHARD = 2048
-#: Vectors to a partition of shards, and shards to a partition of summaries.
-PER_PART, SUMMARIES = 8192, 64
+#: Vectors to a partition of shards, shards to a row of summaries, and queries to a row of queries, about.
+PER_PART, SUMMARIES, ASKED = 8192, 64, 2048
 #: Vectors that others are dealt to, at most; the first ones by a hash of their id.
 PIVOTS = 256
 
@@ -55,7 +55,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 _SHARD = "part int, seq int, ids binary, rows binary, top binary, low binary, centre binary, radius binary, q_at binary, q_rows binary, q_floor binary"
 _SUMMARY = ("top", "low", "centre", "radius")
-_ASK = "part int, seq int, home_part int, home_seq int, q_at binary, q_rows binary, q_floor binary"
+_ASK = "part int, seq int, q_home binary, q_at binary, q_rows binary, q_floor binary"
 _LOW = -np.iinfo(np.int64).max  # its negative fits too
 _FAR = float(1 << 62)
 
@@ -87,19 +87,21 @@ def bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray, centre: np.ndarray,
 
 
 def _survivors(dim: int):
-    """Of each group of queries those that some block of a shard may still serve."""
+    """Of a row of queries (from many shards) and one of summaries (of many), for each shard the queries that some block of it may still serve."""
     names = [x.split()[0] for x in _ASK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                q, floor = np.frombuffer(r["q_rows"], np.int64).reshape(-1, dim), np.frombuffer(r["q_floor"], np.int64)
-                go = (_bounds_of(r, q, dim) >= floor[:, None]).any(1)
-                if go.any():
-                    at = np.frombuffer(r["q_at"], np.int64)
-                    cut = [r["part"], r["seq"], r["home_part"], r["home_seq"], at[go].tobytes(), q[go].tobytes(), floor[go].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in cut], names)
+                asked, offered = batch.column("asked")[k].as_py(), batch.column("offered")[k].as_py()
+                home = np.concatenate([np.full(len(a["q_floor"]) // 8, a["home"]) for a in asked])
+                at, floor = (np.frombuffer(b"".join(a[c] for a in asked), np.int64) for c in ("q_at", "q_floor"))
+                q = np.frombuffer(b"".join(a["q_rows"] for a in asked), np.int64).reshape(-1, dim)
+                for r in offered:
+                    go = (_bounds_of(r, q, dim) >= floor[:, None]).any(1)
+                    if go.any():
+                        cut = [r["part"], r["seq"], home[go].tobytes(), at[go].tobytes(), q[go].tobytes(), floor[go].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in cut], names)
 
     return run
 
@@ -146,14 +148,18 @@ def _pack(dim: int, k: int):
     return run
 
 
+def _shard_number(part, seq):
+    return part * (1 << 31) + seq
+
+
 def _score(dim: int, k: int):
     names, kinds = ["home", "at", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def one(r: dict) -> pa.RecordBatch:
         get = lambda c, *shape: np.frombuffer(r[c], np.int64).reshape(*shape)
         ids, m = get("ids", -1), get("rows", -1, dim)
-        at, q, floor = get("q_at", -1), get("q_rows", -1, dim), get("q_floor", -1).copy()
-        own = (r["home_part"], r["home_seq"]) == (r["part"], r["seq"])
+        home, at, q, floor = get("q_home", -1), get("q_at", -1), get("q_rows", -1, dim), get("q_floor", -1).copy()
+        own = home == _shard_number(r["part"], r["seq"])
         bound = _bounds_of(r, q, dim)
         order = np.argsort(-bound, axis=1, kind="stable")
         pad = -len(m) % BLOCK
@@ -171,16 +177,14 @@ def _score(dim: int, k: int):
                 break
             s = _product(blocks[b], q[live][:, :, None])[:, :, 0]
             usable = real[b]
-            if own:
-                usable &= b[:, None] * BLOCK + np.arange(BLOCK) != at[live][:, None]
+            usable &= ~own[live][:, None] | (b[:, None] * BLOCK + np.arange(BLOCK) != at[live][:, None])
             s = np.where(usable & (s >= floor[live][:, None]), s, _LOW)
             all_s, all_i = np.concatenate([best[live], s], 1), np.concatenate([best_ids[live], np.where(s > _LOW, block_ids[b], np.iinfo(np.int64).max)], 1)
             pick = _best(all_s, all_i, k) if (s > _LOW).any() else np.broadcast_to(np.arange(k), (len(live), k))
             best[live], best_ids[live] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
             floor[live] = np.maximum(floor[live], best[live][:, -1])
         i, j = np.nonzero(best > _LOW)
-        home = np.full(len(i), r["home_part"] * (1 << 31) + r["home_seq"])
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((home, at[i], best_ids[i, j], best[i, j]), kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((home[i], at[i], best_ids[i, j], best[i, j]), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,17 +218,21 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
     near = rows.mapInArrow(_near(dim, pivots), "id long, v array<long>, ask boolean, a int, b double")
     near = near.repartitionByRange(parts, "a", "b", "id").sortWithinPartitions("a", "b", "id")
     shards = materialise(near.select(F.spark_partition_id().alias("part"), "id", "v", "ask").mapInArrow(_pack(dim, k), _SHARD), "shards")
-    ask = shards.where(F.octet_length("q_at") > 0).select(F.col("part").alias("home_part"), F.col("seq").alias("home_seq"), "q_at", "q_rows", "q_floor")
-    # queries meet summaries first: one partition for many shards
+    number = _shard_number(F.col("part").cast("long"), F.col("seq"))
+    # queries meet summaries first, both in packed rows: so few that each row of one can meet each row of the other
+    rows_of = lambda df, n, name, *columns: df.groupBy(F.pmod(F.xxhash64("part", "seq"), F.lit(n)).cast("long").alias(name)).agg(F.collect_list(F.struct(*columns)).alias(f"{name}s"))
     groups = -(-n // (SHARD * SUMMARIES))
-    summaries = shards.select("part", "seq", *_SUMMARY, F.pmod(F.xxhash64("part", "seq"), F.lit(groups)).cast("long").alias("grp"))
-    everywhere = ask.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    left = materialise(summaries.join(everywhere, "grp").drop("grp").mapInArrow(_survivors(dim), _ASK), "survivors")
+    asking = shards.where(F.octet_length("q_at") > 0)
+    total = rows.where("ask").count()
+    asked = rows_of(asking, max(1, -(-total // ASKED)), "ask", number.alias("home"), "q_at", "q_rows", "q_floor").select(F.col("asks").alias("asked"))
+    offered = rows_of(shards, groups, "offer", "part", "seq", *_SUMMARY).withColumnsRenamed({"offer": "grp", "offers": "offered"})
+    everywhere = asked.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    left = materialise(offered.join(everywhere, "grp").select("asked", "offered").mapInArrow(_survivors(dim), _ASK), "survivors")
     pairs = shards.drop("q_at", "q_rows", "q_floor").join(left, ["part", "seq"])
     found = pairs.mapInArrow(_score(dim, k), "home long, at long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("home", "at").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    name = shards.select((F.col("part").cast("long") * (1 << 31) + F.col("seq")).alias("home"), "q_at", "ids").where(F.octet_length("q_at") > 0).mapInArrow(_names, "home long, at long, query_id long")
+    name = asking.select(number.alias("home"), "q_at", "ids").mapInArrow(_names, "home long, at long, query_id long")
     return best.join(name, ["home", "at"]).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
