@@ -46,7 +46,8 @@ def _cut(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, overlap, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "overlap", "text"))):
-                step = chunk if overlap < len(text) else len(text)
+                # a step is never shorter than the overlap, so that all chunks together have at most twice the text
+                step = max(chunk, overlap) if overlap < len(text) else len(text)
                 for no, a in enumerate(range(0, max(len(text), 1), max(step, 1))):
                     last = a + step >= len(text)
                     b = len(text) if last else min(len(text), a + step + overlap)
