@@ -363,13 +363,21 @@ def to_records(df: DataFrame, id_col: str, uri_col: str, body_col: str, revisit_
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "utf-8")
     rows = df.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("target_uri"), body.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    long = rows.where(F.col("payload_bytes") >= revisit_from).select("id", "digest", "payload_bytes")
-    first = materialise(long.groupBy("digest", "payload_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
-    # payloads that nothing repeats stay out of the shuffle
-    maybe, rest = possibly(rows, first, ["digest", "payload_bytes"])
-    rest = rest.withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
-    known = maybe.join(first.hint("merge"), ["digest", "payload_bytes"], "left").select(*rest.columns).unionByName(rest)
-    again = F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull())
+    key = ["digest", "payload_bytes"]
+    long = rows.where(F.col("payload_bytes") >= revisit_from).select("id", *key)
+    first = materialise(long.groupBy(*key).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    # payloads that nothing repeats stay out of the shuffle, and so do those of revisits, which need none
+    maybe, rest = possibly(rows, first, key)
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    bare = maybe.drop("payload").join(first.hint("merge"), key, "left")
+    bare = materialise(bare.withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull())), "judged")
+    whole = materialise(bare.where("not again").select(name.alias("name"), *key).distinct(), "responses")
+    held, _ = possibly(maybe.withColumn("name", name), whole, ["name", *key])
+    held = held.join(whole.hint("merge"), ["name", *key]).select(*rows.columns)
+    none = F.lit(None).cast(first.schema["first"].dataType)
+    revisits = bare.where("again").withColumn("payload", F.lit(None).cast("binary")).select(*rows.columns, "first", "again")
+    known = rest.unionByName(held).withColumns({"first": none, "again": F.lit(False)}).unionByName(revisits)
+    again = F.col("again")
     urn = lambda c: F.concat(F.lit("urn:row:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return known.select(
         urn("id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",
