@@ -17,16 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import memo
-from ._common import column_type, materialise, slices, small_batches, text_or_empty
+from ._common import ROWS_PER_GROUP, column_type, gapless, materialise, slices, small_batches, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
-#: About so many pieces of one length are numbered by one task.
-ROWS_PER_GROUP = 250_000
 #: Rows and bytes of text that a task holds as Python words at once.
 _BATCH, _BYTES = 256, 1 << 20
 
@@ -185,23 +183,14 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capac
 
 
 def assign(parts: DataFrame, capacity: int = CAPACITY, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    """Give each row of ``parts`` (id, piece, length, ids_crc32, ...) a sequence and its offset there.
+    """Give each row of ``parts`` (length, uid, ...) a sequence and its offset there; ``uid`` goes.
 
-    The driver sees one count per length. Rows of one length are spread over groups, so that a
-    length that a third of all pieces share is numbered by many tasks; how many pieces come before
-    a group is a table of its own, joined on the keys that the numbering is dealt by anyway.
+    ``parts`` is a written table and ``uid`` a number of its own for each row: wholly equal rows
+    too are numbered by many tasks. The driver sees one count per length.
     """
-    spark = parts.sparkSession
-    total = parts.count()
-    groups = max(32, -(-total // rows_per_group))
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    earlier = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
-    bases = materialise(sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "group-bases")
-    counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    known = spark.sparkContext.broadcast(Slots(plan(counts, capacity)))
-    rank = F.row_number().over(Window.partitionBy("length", "grp").orderBy("id", "piece", "ids_crc32")) - 1
-    placed = _schema_with(parts, "sequence_id long, offset long")
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    known = parts.sparkSession.sparkContext.broadcast(Slots(plan(counts, capacity)))
+    ranked = gapless(parts, "length", "uid", "rank", rows_per_group).drop("uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = known.value
@@ -214,8 +203,7 @@ def assign(parts: DataFrame, capacity: int = CAPACITY, rows_per_group: int = ROW
             keep = batch.drop_columns(["rank"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(sequence), pa.array(at)], [*keep.schema.names, "sequence_id", "offset"])
 
-    numbered = dealt.join(bases.select("length", "grp", "base").hint("merge"), ["length", "grp"]).withColumn("rank", (F.col("base") + rank).cast("long"))
-    return numbered.select(*parts.columns, "rank").mapInArrow(run, placed)
+    return ranked.mapInArrow(run, _schema_with(parts.drop("uid"), "sequence_id long, offset long"))
 
 
 def _schema_with(df: DataFrame, more: str) -> str:
@@ -230,5 +218,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     are documents of their own; an id may be null. An empty table gives an empty result. Other
     columns, whatever their names, play no part.
     """
-    cut = materialise(pieces(df, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+    cut = pieces(df, tokenizer_path, id_col, text_col, capacity, end_id).withColumn("uid", F.monotonically_increasing_id())
+    cut = materialise(cut, "pieces")
     return assign(cut, capacity).withColumnRenamed("id", id_col)
