@@ -21,6 +21,9 @@ from corpusloom.llm.queries import PACK_TOKENIZER
 #: about 78 of 512 fingerprint bits, with a spread of 8; the radius only chooses what is compared exactly.
 NEAR_SHINGLE, NEAR_BITS, NEAR_RADIUS, NEAR_MINIMA, NEAR_SIMILARITY = 5, 512, 112, 6, 0.8
 
+#: What a byte costs without any model.
+PLAIN_BITS = 8.0
+
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents of ``rows`` (row, doc) but for those of ``dropped`` (row)."""
@@ -30,13 +33,19 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are null, empty or without a letter; any other passes, in whatever language."""
-    rows = numbered(docs)
+    """Drop documents in no learned language, and write the predicted one where none is given.
+
+    A document is rejected if it is null or has no letter, or if no language's model codes it in
+    fewer than ``PLAIN_BITS`` bits a byte: then plain bytes would be the shorter code, as for text
+    in scripts that no labelled document has. Where no document has a label nothing is learned, and
+    only the first applies.
+    """
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
-    if not model.languages:  # no label at all: nothing to predict by
-        return _without(rows, rows.where(~language_id.has_letter(F.col("doc.text"))).select("row"))
-    found = language_id.predict(rows.select("row", "doc.text"), model)
-    return _without(rows, found.where(F.col("lang_pred") == language_id.UNKNOWN).select("row"))
+    if not model.languages:
+        return docs.where(language_id.has_letter(F.col("text")))
+    found = language_id.predict(docs.select(F.struct("*").alias("doc"), F.col("text").alias("text")), model)
+    good = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < PLAIN_BITS))
+    return good.select(*(F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
