@@ -202,7 +202,7 @@ def chunk_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.write_chunk_json(lines.select("source_file", "chunk_index", "char_offset", "content", *meta), root + "/json")
     settings = Settings(embedding_dimensions=16)
     embedder = dense.build_embedder("hashed", 16)
-    store.init_store(spark, root + "/store", 16, 32)
+    store.init_store(spark, root + "/store", 16)
     store.append(store.store_rows(dense.embed(store.read_chunk_json(spark, root + "/json").where("chunk_index = 0"), embedder)), root + "/store")
     for _ in range(2):
         pipeline.seed_store(spark, root + "/json", root + "/store", embedder, settings)

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import vector_literal
 from ..operators.filings import decode_html
-from .scratch import delete
+from .snapshots import Snapshots, number_of
 
 CHUNK_JSON = "source_file string, chunks array<struct<content:string,metadata:map<string,string>>>"
 _META = ("ticker", "filing_type", "fiscal_period", "section")
-#: Partitions of a store, whatever the number of documents.
-BUCKETS = 256
+#: Bytes of a compacted file, and writes after which a store is compacted.
+FILE_BYTES, COMPACT_AT = 128 << 20, 64
+
+
+class Superseded(Exception):
+    """What a compaction has merged isn't what is stored any more."""
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,74 +97,126 @@ def store_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.xxhash64("source_file", "chunk_index").alias("id"), "content", "embedding", *_META, F.col("source_file").alias("source_doc"), "chunk_index", "char_offset", meta.alias("metadata"))
 
 
+STORED = "id long, content string, embedding array<float>, ticker string, filing_type string, fiscal_period string, section string, source_doc string, chunk_index int, char_offset int, metadata string"
+_GONE = "source_doc string"
+
+
 def store_dimension(spark: SparkSession, folder: str) -> int | None:
     """The vectors' length in the store; None if there is no store."""
-    try:
-        return spark.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()["dimensions"]
-    except AnalysisException:
-        return None
+    content = Snapshots(spark, folder).read()[1]
+    return content and content["dimensions"]
+
+
+def init_store(spark: SparkSession, folder: str, dimensions: int) -> None:
+    """Create the store; one whose vectors have another length is emptied and takes the new length."""
+    table = Snapshots(spark, folder)
+    if store_dimension(spark, folder) != dimensions:
+        table.update(lambda old: old if old and old["dimensions"] == dimensions else {"dimensions": dimensions, "deltas": [], "next": old["next"] if old else 1})
 
 
-def init_store(spark: SparkSession, folder: str, dimensions: int, buckets: int = BUCKETS) -> None:
-    """Create the store; one whose vectors have another length is dropped and made anew."""
-    have = store_dimension(spark, folder)
-    if have == dimensions:
-        return
-    if have is not None:
-        delete(spark, folder)
-    spark.createDataFrame([(dimensions, buckets)], "dimensions int, buckets int").coalesce(1).write.mode("overwrite").json(f"{folder}/info")
+def _checked(rows: DataFrame, dimensions: int) -> DataFrame:
+    """``rows``; a vector of another length than the store's is an error when it is read."""
+    fits = F.coalesce(F.size("embedding") == dimensions, F.lit(False))
+    wrong = F.raise_error(F.lit(f"vectors must have {dimensions} components")).cast(rows.schema["embedding"].dataType)
+    named = rows.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(wrong))
+    return named.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(STORED)))
 
 
-def _checked(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` with their bucket; a vector of another length than the store's is an error when it is read."""
-    info = rows.sparkSession.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()
-    fits = F.coalesce(F.size("embedding") == info["dimensions"], F.lit(False))
-    wrong = F.raise_error(F.lit(f"vectors must have {info['dimensions']} components")).cast(rows.schema["embedding"].dataType)
-    bucket = F.pmod(F.xxhash64("source_doc"), F.lit(info["buckets"])).cast("int")
-    return rows.withColumns({"embedding": F.when(fits, F.col("embedding")).otherwise(wrong), "bucket": bucket})
+def _schema(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
 
 
-def append(rows: DataFrame, folder: str) -> None:
-    """Plain insert: rows that are there already come twice."""
-    _checked(rows, folder).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/chunks")
+def _add(table: Snapshots, dimensions: int, rows: str, gone: str | None) -> int:
+    def change(old: dict) -> dict:
+        if old["dimensions"] != dimensions:
+            raise ValueError(f"the store's vectors now have {old['dimensions']} components")
+        delta = {"seq": old["next"], "rows": rows, "gone": gone}
+        return {**old, "deltas": [*old["deltas"], delta], "next": old["next"] + 1}
 
+    return table.update(change)
 
-def seed(rows: DataFrame, folder: str, documents: DataFrame | None = None) -> None:
+
+def append(rows: DataFrame, folder: str) -> int:
+    """Plain insert: rows that are there already come twice. Returns the snapshot that has them."""
+    table = Snapshots(rows.sparkSession, folder)
+    dimensions, name = table.read()[1]["dimensions"], table.new_data()
+    _checked(rows, dimensions).write.parquet(f"{folder}/{name}")
+    return _add(table, dimensions, name, None)
+
+
+def seed(rows: DataFrame, folder: str, documents: DataFrame | None = None) -> int:
     """Put documents' chunks in the store, in place of all it had of them: seeding twice is seeding once.
 
     ``documents`` (source_doc) names documents that are to be replaced even where ``rows`` has no
-    chunk of them. The rows are computed once, into a draft beside the store. Then the buckets of
-    these documents, and only those, are rewritten in one job that replaces them at its end.
+    chunk of them. The rows and the documents' names are written beside what is stored, and then
+    published together in one snapshot, whose number is returned; nothing stored is rewritten, and
+    whoever reads an earlier snapshot goes on reading that. After ``COMPACT_AT`` such writes the
+    store is compacted.
     """
-    spark = rows.sparkSession
-    _checked(rows, folder).write.mode("overwrite").parquet(f"{folder}/draft")
-    new = spark.read.schema(rows.schema).parquet(f"{folder}/draft").withColumn("bucket", _bucket(spark, folder))
-    docs = new.select("source_doc")
+    table = Snapshots(rows.sparkSession, folder)
+    dimensions, name, gone = table.read()[1]["dimensions"], table.new_data(), table.new_data()
+    _checked(rows, dimensions).write.parquet(f"{folder}/{name}")
+    docs = rows.sparkSession.read.schema(STORED).parquet(f"{folder}/{name}").select("source_doc")
     if documents is not None:
-        docs = docs.unionByName(documents.select("source_doc"))
-    docs = docs.distinct().withColumn("bucket", _bucket(spark, folder))
-    every, gone = new, []
+        docs = docs.unionByName(documents.select(F.col("source_doc").cast("string")))
+    docs.distinct().write.parquet(f"{folder}/{gone}")
+    version = _add(table, dimensions, name, gone)
+    if len(table.read()[1]["deltas"]) > COMPACT_AT:
+        compact(rows.sparkSession, folder)
+    return version
+
+
+def _read(spark: SparkSession, folder: str, content: dict | None) -> DataFrame:
+    deltas = content["deltas"] if content else []
+    if not deltas:
+        return spark.createDataFrame([], STORED)
+    rows = spark.read.schema(STORED).parquet(*(f"{folder}/{d['rows']}" for d in deltas))
+    removals = [d for d in deltas if d["gone"] and d["seq"] > deltas[0]["seq"]]
+    if not removals:
+        return rows
+    # of a document, what is older than its last replacement is gone
+    gone = spark.read.schema(_GONE).parquet(*(f"{folder}/{d['gone']}" for d in removals)).select("source_doc", number_of({d["gone"]: d["seq"] for d in removals}).alias("seq"))
+    last = gone.groupBy("source_doc").agg(F.max("seq").alias("last")).withColumnRenamed("source_doc", "replaced")
+    own = rows.select("*", number_of({d["rows"]: d["seq"] for d in deltas}).alias("seq"))
+    live = own.join(last, F.col("source_doc").eqNullSafe(F.col("replaced")), "left").where(F.col("last").isNull() | (F.col("seq") >= F.col("last")))
+    return live.select(*rows.columns)
+
+
+def read_store(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The store's rows at a snapshot, by default the last one now; later writes don't touch the result."""
+    return _read(spark, folder, Snapshots(spark, folder).read(version)[1])
+
+
+def compact(spark: SparkSession, folder: str, file_bytes: int = FILE_BYTES) -> bool:
+    """Merge what is stored into files of about ``file_bytes``, sorted by document; whether it was published.
+
+    Writes that come meanwhile stay as they are. If another compaction comes first, this one is
+    given up.
+    """
+    table = Snapshots(spark, folder)
+    content = table.read()[1]
+    merged = content["deltas"] if content else []
+    if not merged:
+        return False
+    name, files = table.new_data(), max(1, -(-table.size([d["rows"] for d in merged]) // file_bytes))
+    rows = _read(spark, folder, content)
+    rows.repartitionByRange(files, "source_doc", "chunk_index").sortWithinPartitions("source_doc", "chunk_index").write.parquet(f"{folder}/{name}")
+
+    def change(now: dict) -> dict:
+        if now["deltas"][:len(merged)] != merged:
+            raise Superseded
+        return {**now, "deltas": [{"seq": merged[-1]["seq"], "rows": name, "gone": None}, *now["deltas"][len(merged):]]}
+
     try:
-        old = spark.read.parquet(f"{folder}/chunks")
-    except AnalysisException:  # nothing is stored yet
-        old = None
-    if old is not None:
-        touched = old.join(docs.select("bucket").distinct(), "bucket", "left_semi")
-        every = new.unionByName(touched.join(docs.select("source_doc"), "source_doc", "left_anti"))
-        gone = docs.select("bucket").distinct().join(every.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most the buckets
-    every.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/chunks")
-    for r in gone:  # a bucket that loses its last chunk is otherwise left as it is
-        delete(spark, f"{folder}/chunks/bucket={r['bucket']}")
-    delete(spark, f"{folder}/draft")
-
-
-def _bucket(spark: SparkSession, folder: str) -> Column:
-    buckets = spark.read.schema("dimensions int, buckets int").json(f"{folder}/info").first()["buckets"]
-    return F.pmod(F.xxhash64("source_doc"), F.lit(buckets)).cast("int")
-
-
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/chunks").drop("bucket")
+        table.update(change)
+    except Superseded:
+        return False
+    return True
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
+    """Delete what the last ``keep`` snapshots don't name, once it is ``older_than`` seconds old, so that no writer's work in hand goes."""
+    return Snapshots(spark, folder).vacuum(lambda c: [n for d in c["deltas"] for n in (d["rows"], d["gone"]) if n], keep, older_than)
 
 
 def insert_values(rows: DataFrame) -> DataFrame:
