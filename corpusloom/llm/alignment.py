@@ -5,8 +5,9 @@ between places where tokens of both end. Pointer jumping finds them: every token
 token that reaches farthest right among those that overlap it, and successors are doubled, for all
 tokens of many words at once, until every token points to the last one of its component.
 
-Texts are cut before a single space or newline between other characters, where no token of either
-tokenizer can reach across, and each distinct piece is aligned once by a worker. A document's
+Texts are cut before a single space or newline between other characters, and between a letter and a
+mark, where no token of either tokenizer can reach across; each distinct piece is aligned once by a
+worker. A document's
 distinct links are kept by blocks of documents: a block has a dictionary of its pairs, and its
 documents refer to that by number. Only the dictionaries meet the corpus-wide counts.
 """
@@ -30,13 +31,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import column_type, materialise, slices, small_batches, text_or_empty
 
-#: Pieces that a worker remembers, at about 600 bytes each; longer ones than LONG aren't remembered.
-MEMO_ENTRIES, LONG = 150_000, 64
+#: Pieces that a worker remembers, at about 300 bytes each; longer ones than LONG aren't remembered.
+MEMO_ENTRIES, LONG = 250_000, 64
 #: Bytes of text of a block (or one longer document), and bytes and rows whose words are held at once.
-BLOCK_BYTES, _BYTES, _BATCH = 16 << 20, 1 << 20, 512
+BLOCK_BYTES, _BYTES, _BATCH = 12 << 20, 1 << 20, 512
 #: Longer documents are aligned by parts of about so many characters.
 PART_CHARS = 1 << 18
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Before a space or newline between other characters, and between a Latin letter and a mark.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
+_ACROSS = re.compile(r"[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]")
 
 
 def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +90,17 @@ class Aligner:
             self.a_bytes[k] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
         pre = spec.get("pre_tokenizer") or {}
-        #: A space or newline between other characters begins a token of A, and no piece of B has one inside.
+        #: At a cut a token of A begins, and no piece of B reaches across one.
         self.cuts = (
             pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-            and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+            and not any(map(_ACROSS.search, pieces))
         )
-        self.memo: dict[str, tuple | None] = {}
+        self.a_size, self.b_size = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
+        # what is known of pieces, by number: counts (tokens A and B, groups, links; -1 where the bytes differ), the groups' text, links
+        self.memo: dict[str, int] = {}
+        self.counts, self.said = np.zeros((1 << 12, 4), np.int32), []
+        self.links, self.at = np.zeros(1 << 14, np.int64), np.zeros((1 << 12) + 1, np.int64)
 
     def pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
@@ -107,53 +113,85 @@ class Aligner:
             at = m.end()
         yield text[at:]
 
-    def records(self, pieces: list[str]) -> list[tuple | None]:
-        """Of each piece: tokens A, tokens B, groups, links, the groups' text, links; None if the bytes differ."""
-        get = self.memo.get
+    def learn(self, pieces: list[str]) -> list[str]:
+        """Aligns the pieces that aren't known; returns those that are to be forgotten again."""
         new = [p for p in pieces if p not in self.memo]
-        found = {}
+        new.sort(key=lambda p: len(p) > LONG)
+        first = len(self.said)
         for a in range(0, len(new), 20_000):
-            found.update(zip(new[a:a + 20_000], self._aligned(new[a:a + 20_000])))
-        out = [found[p] if p in found else get(p) for p in pieces]
-        room = MEMO_ENTRIES - len(self.memo)
-        if room > 0:
-            self.memo.update([x for x in found.items() if len(x[0]) <= LONG][:room])
-        return out
-
-    def _aligned(self, pieces: list[str]) -> list[tuple | None]:
+            self._add(new[a:a + 20_000])
+        self.memo.update(zip(new, range(first, first + len(new))))
+        stay = max(0, min(MEMO_ENTRIES - first, sum(len(p) <= LONG for p in new)))
+        return new[stay:]
+
+    def forget(self, pieces: list[str]) -> None:
+        for p in pieces:
+            del self.memo[p]
+        del self.said[len(self.memo):]
+
+    def _add(self, pieces: list[str]) -> None:
+        counts, said, links, many = self._aligned(pieces)
+        have, more = len(self.said), len(self.said) + len(pieces)
+        while more > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.at = np.concatenate([self.at, np.zeros(len(self.counts) + 1 - len(self.at), np.int64)])
+        self.counts[have:more] = counts
+        self.at[have + 1:more + 1] = self.at[have] + np.cumsum(many)
+        while self.at[more] > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[self.at[have]:self.at[more]] = links
+        self.said += said
+
+    def _aligned(self, pieces: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of pieces the counts, the groups' text, all links in a row, and how many each has."""
         a_ids = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b_ids = self.b.encode([p[p[0] == " ":] for p in pieces], num_threads=1)
-        good = []
-        for k, p in enumerate(pieces):
-            if p[0] != " ":  # B has put a space before it that the text lacks
-                if b_ids[k][:1] != [self.space]:
-                    continue
-                b_ids[k] = b_ids[k][1:]
-            want = p.encode()
-            if b"".join([self.a_bytes[x] for x in a_ids[k]]) == want == b"".join([self.b_bytes[x] for x in b_ids[k]]):
-                good.append(k)
-        out: list[tuple | None] = [None] * len(pieces)
-        if not good:
-            return out
+        # B puts a space before a text; where the piece has none, a newline, which joins nothing, takes it
+        inner = [p[0] != " " for p in pieces]
+        b_ids = self.b.encode(["\n" + p if i else p[1:] for p, i in zip(pieces, inner)], num_threads=1)
+        b_ids = [x[2:] if i else x for x, i in zip(b_ids, inner)]
+        want = [p.encode() for p in pieces]
+        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64)
+        starts = lambda ids: np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        a_all, b_all, a_at, b_at = flat(a_ids), flat(b_ids), starts(a_ids), starts(b_ids)
+        if not self._covers(want, a_all, b_all, a_at, b_at):
+            good = [b"".join([self.a_bytes[x] for x in i]) == w == b"".join([self.b_bytes[x] for x in j]) for w, i, j in zip(want, a_ids, b_ids)]
+            if not any(good):
+                return np.full((len(pieces), 4), -1), [""] * len(pieces), np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
+            at = np.flatnonzero(good)
+            some, text, links, own = self._grouped([a_ids[k] for k in at], [b_ids[k] for k in at])
+            counts, many, said = np.full((len(pieces), 4), -1), np.zeros(len(pieces), np.int64), [""] * len(pieces)
+            counts[at], many[at] = some, own
+            for k, t in zip(at.tolist(), text):
+                said[k] = t
+            return counts, said, links, many
+        return self._grouped(a_ids, b_ids)
+
+    def _covers(self, want: list[bytes], a_all: np.ndarray, b_all: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> bool:
+        """Whether the tokens' bytes make up all pieces, each its own."""
+        ends, whole = np.cumsum(np.fromiter(map(len, want), np.int64, len(want))), b"".join(want)
+        for ids, at, size, of in ((a_all, a_at, self.a_size, self.a_bytes), (b_all, b_at, self.b_size, self.b_bytes)):
+            reached = np.concatenate([[0], np.cumsum(size[ids])])[at[1:]]
+            if (reached != ends).any() or b"".join(map(of.__getitem__, ids.tolist())) != whole:
+                return False
+        return True
+
+    def _grouped(self, a_ids: list[list[int]], b_ids: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        a_all, b_all = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
+        a_at, b_at = (np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]) for ids in (a_ids, b_ids))
         # all pieces in a row: their ends are ends of both tokenizers
-        a_all, b_all = (np.fromiter(chain.from_iterable(ids[k] for k in good), np.int64) for ids in (a_ids, b_ids))
-        a_end = np.cumsum(np.fromiter((len(self.a_bytes[x]) for x in a_all), np.int64, len(a_all)))
-        b_end = np.cumsum(np.fromiter((len(self.b_bytes[x]) for x in b_all), np.int64, len(b_all)))
+        a_end, b_end = np.cumsum(self.a_size[a_all]), np.cumsum(self.b_size[b_all])
         a_last, b_last = terminals(a_end, b_end)
         left, right = overlaps(a_end, b_end)
-        links = (a_all[left] << 32) | b_all[right]
-        a_at, b_at = (np.concatenate([[0], np.cumsum([len(ids[k]) for k in good])]) for ids in (a_ids, b_ids))
-        l_at = np.searchsorted(left, a_at)
         a_text, b_text = list(map(str, a_all.tolist())), list(map(str, b_all.tolist()))
         a_cut = np.flatnonzero(np.diff(a_last, append=-1)) + 1
         b_cut = np.flatnonzero(np.diff(b_last, append=-1)) + 1
-        starts = zip([0, *a_cut[:-1].tolist()], a_cut.tolist(), [0, *b_cut[:-1].tolist()], b_cut.tolist())
-        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in starts]
-        g_at = np.searchsorted(a_cut, a_at, "right")
-        for n, k in enumerate(good):
-            own = links[l_at[n]:l_at[n + 1]]
-            out[k] = (len(a_ids[k]), len(b_ids[k]), int(g_at[n + 1] - g_at[n]), len(own), ";".join(groups[g_at[n]:g_at[n + 1]]), own.copy())
-        return out
+        spans = zip([0, *a_cut[:-1].tolist()], a_cut.tolist(), [0, *b_cut[:-1].tolist()], b_cut.tolist())
+        groups = [a_text[i] + "|" + b_text[k] if j - i == m - k == 1 else ",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in spans]
+        g_at, l_at = np.searchsorted(a_cut, a_at, "right"), np.searchsorted(left, a_at)
+        edges = g_at.tolist()
+        said = [groups[i] if j - i == 1 else ";".join(groups[i:j]) for i, j in zip(edges, edges[1:])]
+        many = np.diff(l_at)
+        return np.stack([np.diff(a_at), np.diff(b_at), np.diff(g_at), many], axis=1), said, (a_all[left] << 32) | b_all[right], many
 
     def measure(self, texts: list[str], hashes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Of texts (each with the space before it) the four counts, and their distinct links: text, link, times; whether each is whole.
@@ -163,28 +201,30 @@ class Aligner:
         cut = [self.pieces(t) for t in texts]
         words = list(chain.from_iterable(cut))
         distinct = list(set(words))
-        records = self.records(distinct)
-        bad = {w for w, r in zip(distinct, records) if r is None}
-        whole = [not bad or bad.isdisjoint(c) for c in cut]
+        again = self.learn(distinct)
+        known = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
         number = dict(zip(distinct, range(len(distinct))))
-        piece = np.array(list(map(number.__getitem__, words)), np.int64)
+        piece = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         first = np.cumsum([0, *map(len, cut)])
-        empty = (0, 0, 0, 0, "", np.zeros(0, np.int64))
-        records = [r or empty for r in records]
-        counts = np.add.reduceat(np.array([r[:4] for r in records], np.int64)[piece], first[:-1], axis=0)
-        said = [r[4] for r in records]
+        own = self.counts[known].astype(np.int64)
+        whole = ~np.logical_or.reduceat(own[piece, 0] < 0, first[:-1])
+        counts = np.add.reduceat(np.maximum(own, 0)[piece], first[:-1], axis=0)
+        said = list(map(self.said.__getitem__, known.tolist()))
         for k, h in enumerate(hashes):
             if whole[k]:
-                h.update((";" * h.begun + ";".join([said[i] for i in piece[first[k]:first[k + 1]].tolist()])).encode())
+                h.update((";" * h.begun + ";".join(map(said.__getitem__, piece[first[k]:first[k + 1]].tolist()))).encode())
                 h.begun = True
         place = np.repeat(np.arange(len(cut)), np.diff(first)) * len(distinct) + piece
         place, times = np.unique(place, return_counts=True)
         doc, piece = np.divmod(place, len(distinct))
-        size = np.array([len(r[5]) for r in records])
-        pool, link = np.unique(np.concatenate([r[5] for r in records]), return_inverse=True)
-        at, many = np.cumsum(size) - size, size[piece]
+        # links of the distinct pieces in a row, each by its number among the different ones
+        size = self.at[known + 1] - self.at[known]
+        at = np.cumsum(size) - size
+        pool, link = np.unique(self.links[np.arange(size.sum()) - np.repeat(at - self.at[known], size)], return_inverse=True)
+        many = size[piece]
         take = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[piece], many)
-        return counts, *_distinct(np.repeat(doc, many), link[take], np.repeat(times, many), pool), whole
+        self.forget(again)
+        return counts, *_distinct(np.repeat(doc, many), link[take], np.repeat(times, many), pool), whole.tolist()
 
 
 class _Hash:
@@ -265,14 +305,13 @@ def _blocks(a_path: str, b_path: str):
 
     def entire(work: Aligner, text: str) -> tuple:
         """A text of which some piece's bytes differ, looked at uncut."""
-        (record,) = work._aligned([text])
+        counts, said, links, _ = work._aligned([text])
         h = _Hash()
-        if record is None:
+        if counts[0, 0] < 0:
             return h, np.zeros(4, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        h.update(record[4].encode())
+        h.update(said[0].encode())
         h.begun = True
-        pool, times = np.unique(record[5], return_counts=True)
-        return h, np.array(record[:4]), pool, times, True
+        return h, counts[0], *np.unique(links, return_counts=True), True
 
     def aligned(work: Aligner, texts: list[str]) -> tuple:
         """(counts, sha, doc, link, times) of a slice of texts."""
