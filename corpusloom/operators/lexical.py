@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokenize
-from ..sources.scratch import new_folder
+from ..sources.scratch import kept, new_folder
+from ..sources.snapshots import Conflict, Snapshots
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -40,50 +43,265 @@ def term_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings by term, each term's weight, and one row of statistics, as tables that are kept."""
+    """An index at a snapshot: ``blocks`` of postings, ``frequencies`` of terms, ``gone`` (keys, last: what older segments have lost)."""
 
     keys: list[str]
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    chunks: int
+    avgdl: float | None
+    floor: float | None
+    buckets: int
+    blocks: DataFrame
+    frequencies: DataFrame
+    gone: DataFrame | None
 
 
-def build_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content") -> Index:
-    """Tokenise the corpus once and write its index to ``folder``, in place of what is there.
+# A block holds the postings of one term in one range of chunks: RANGE that stand together in the
+# input. Most and fewest are of those postings, so that no chunk's share of a score exceeds what
+# they give. Blocks of a term lie in one bucket, which is a folder, and in several files of it.
+RANGE, BUCKETS, SPREAD = 64, 32, 4
+#: Distinct terms of a batch that the scan is narrowed to by name; beyond, by bucket alone.
+NAMED_TERMS = 500
+#: Ranges of the best bounds that give a query's first k-th score.
+FIRST = 4
 
-    Postings are sorted by term within files, so that a search reads the row groups of its terms.
-    Chunks without a token count in the statistics alone.
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _write_segment(chunks: DataFrame, keys: list[str], folder: str, name: str, text: str, buckets: int) -> None:
+    """Blocks, frequencies and keys of ``chunks``: texts are dealt by range once, and all counting is done there."""
+    number = F.xxhash64(F.lit(name), F.floor(F.monotonically_increasing_id() / RANGE))
+    chunks.select(F.struct(*keys).alias("key")).write.parquet(f"{folder}/{name}/keys")
+    dealt = chunks.select(F.struct(*keys).alias("key"), F.col(text).alias("text"), number.alias("range")).where("text is not null").repartition("range")
+    split = dealt.select("range", "key", tokenize(F.col("text")).alias("tokens"))
+    counted = split.select("range", "key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("range", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    blocks = counted.groupBy("range", "term").agg(F.max("tf").alias("most"), F.min("dl").alias("fewest"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("key", "dl", "tf")).alias("postings"))
+    placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod("range", F.lit(SPREAD)))
+    placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
+
+
+def _write_frequencies(counts: DataFrame, path: str) -> None:
+    counts.select("term", F.col("df").cast("long").alias("df"), F.col("tokens").cast("long").alias("tokens")).sortWithinPartitions("term").write.parquet(path)
+
+
+def _floor(frequencies: DataFrame, n: int) -> float | None:
+    """The share of the mean weight that terms in over half the chunks get."""
+    raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    return frequencies.agg(F.avg(raw) * EPSILON).first()[0]
+
+
+def _read(spark: SparkSession, folder: str, content: dict, name: str, segments: list[dict] | None = None) -> DataFrame:
+    """A table of all segments, with the segment's number; what a segment has lost is in its counts already."""
+    key = content["key"]
+    schema = {
+        "keys": f"key {key}", "gone": f"key {key}", "frequencies": "term string, df long, tokens long",
+        "blocks": f"range long, term string, most int, fewest int, df long, tokens long, postings array<struct<key:{key},dl:int,tf:int>>, bucket int",
+    }[name]
+    at = lambda s: s.get("counts", s["data"]) if name == "frequencies" else s["data"]
+    parts = [spark.read.schema(schema).parquet(f"{folder}/{at(s)}/{name}").withColumn("seq", F.lit(s["seq"])) for s in (content["segments"] if segments is None else segments)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _merged(spark: SparkSession, folder: str, content: dict) -> DataFrame:
+    """(term, df, tokens) of all segments, less what they have lost."""
+    found = _read(spark, folder, content, "frequencies").drop("seq")
+    if len(content["segments"]) == 1:
+        return found
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).where("df > 0")
+
+
+def _open(spark: SparkSession, folder: str, content: dict) -> Index:
+    lost = [s for s in content["segments"] if s["loses"]]
+    gone = _read(spark, folder, content, "gone", lost).groupBy("key").agg(F.max("seq").alias("last")) if lost else None
+    avgdl = content["tokens"] / content["n"] if content["n"] else None
+    return Index(content["keys"], content["n"], avgdl, content["floor"], content["buckets"], _read(spark, folder, content, "blocks"), _merged(spark, folder, content), gone)
+
+
+def build_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content", buckets: int = BUCKETS) -> Index:
+    """Index a corpus and publish it in ``folder``, in place of what is there.
+
+    Chunks without a token, or null, count in the statistics alone. Chunks that share their keys
+    count one by one, and their scores are added up. Whoever has the index open goes on with the
+    snapshot that it opened.
+    """
+    table, key = Snapshots(chunks.sparkSession, folder), chunks.select(F.struct(*keys).alias("key")).schema["key"].dataType.simpleString()
+    segment = _segment(table, chunks, keys, text, buckets)
+    content = {"keys": keys, "key": key, "buckets": buckets, "segments": [segment | {"seq": 1}], "next": 2, "n": segment["n"], "tokens": segment["tokens"]}
+    content["floor"] = _floor(_merged(table.spark, table.folder, content), content["n"])
+    table.update(lambda old: content)
+    return _open(table.spark, table.folder, content)
+
+
+def _segment(table: Snapshots, chunks: DataFrame, keys: list[str], text: str, buckets: int) -> dict:
+    name, spark = table.new_data(), table.spark
+    at = f"{table.folder}/{name}"
+    _write_segment(chunks, keys, table.folder, name, text, buckets)
+    counts = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/blocks").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+    _write_frequencies(counts, f"{at}/frequencies")
+    tokens = spark.read.schema("tokens long").parquet(f"{at}/frequencies").agg(F.sum("tokens")).first()[0] or 0
+    return {"data": name, "n": spark.read.parquet(f"{at}/keys").count(), "tokens": tokens, "loses": False}
+
+
+def put(spark: SparkSession, folder: str, chunks: DataFrame | None, removed: DataFrame | None = None, text: str = "content") -> Index:
+    """Add chunks to an index, in place of those with the same keys, and drop those of ``removed`` (keys); one commit.
+
+    The new chunks are a segment of their own. What older segments lose is named beside it, with
+    its counts to be taken off the statistics, for which the lost chunks' postings are looked up
+    once. If another writer publishes first, they are counted again on what it left.
     """
-    posted = posting_list(chunks, keys, text)
-    posted.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    spark = chunks.sparkSession
-    postings = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"))
-    df.write.mode("overwrite").parquet(f"{folder}/frequencies")
-    df = spark.read.schema(df.schema).parquet(f"{folder}/frequencies")
-    stats = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(df.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))  # one row each
-    stats.select("n", F.try_divide("tokens", "n").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/stats")
-    stats = spark.read.parquet(f"{folder}/stats")
-    term_weights(df.select("term", "df"), stats.select("n")).write.mode("overwrite").parquet(f"{folder}/terms")
-    return open_index(spark, folder, keys)
+    table = Snapshots(spark, folder)
+    version, content = table.read()
+    key = T.StructType.fromDDL(f"key {content['key']}")
+    if chunks is None:
+        chunks = spark.createDataFrame([], key).select("key.*").withColumn(text, F.lit(None).cast("string"))
+    segment = _segment(table, chunks.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in key["key"].dataType), text), content["keys"], text, content["buckets"])
+    at = f"{folder}/{segment['data']}"
+    gone = spark.read.schema(key).parquet(f"{at}/keys")
+    if removed is not None:
+        gone = gone.unionByName(removed.select(F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in key["key"].dataType)).alias("key")))
+    gone.distinct().write.parquet(f"{at}/gone")
+    while True:
+        lost = spark.read.schema(key).parquet(f"{at}/gone").withColumnRenamed("key", "lost")
+        own = F.col("key").eqNullSafe(F.col("lost"))
+        n = _live_keys(spark, folder, content).join(lost, own, "left_semi").count()
+        old = _live(_open(spark, folder, content)).select("term", F.inline("postings")).join(lost, own, "left_semi")
+        minus = old.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("tokens"))
+        fresh = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/frequencies")
+        counts = table.new_data()  # of this attempt alone
+        _write_frequencies(fresh.unionByName(minus).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")), f"{folder}/{counts}/frequencies")
+        tokens = spark.read.schema("tokens long").parquet(f"{folder}/{counts}/frequencies").agg(F.sum("tokens")).first()[0] or 0
+        added = segment | {"seq": content["next"], "loses": True, "counts": counts}
+        now = {**content, "segments": [*content["segments"], added], "next": content["next"] + 1, "n": content["n"] - n + segment["n"], "tokens": content["tokens"] + tokens}
+        now["floor"] = _floor(_merged(spark, folder, now), now["n"])
+        try:
+            table.publish(version + 1, now)
+            return _open(spark, folder, now)
+        except Conflict:
+            version, content = table.read()
+
+
+def _live_keys(spark: SparkSession, folder: str, content: dict) -> DataFrame:
+    rows, gone = _read(spark, folder, content, "keys"), _open(spark, folder, content).gone
+    return rows if gone is None else _not_gone(rows, gone)
 
 
-def open_index(spark: SparkSession, folder: str, keys: list[str]) -> Index:
-    return Index(keys, *(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")))
+def _not_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (key, seq, ...) that no later segment has replaced or dropped."""
+    last = gone.withColumnRenamed("key", "replaced")
+    return rows.join(last, F.col("key").eqNullSafe(F.col("replaced")), "left").where(F.col("last").isNull() | (F.col("seq") >= F.col("last"))).select(*rows.columns)
+
+
+def compact(spark: SparkSession, folder: str) -> Index:
+    """Merge an index's segments into one without what they have lost, from the postings; nothing if another writer came first."""
+    table = Snapshots(spark, folder)
+    version, content = table.read()
+    index, name = _open(spark, folder, content), table.new_data()
+    if len(content["segments"]) > 1:
+        _live_keys(spark, folder, content).select("key").write.parquet(f"{folder}/{name}/keys")
+        rows = _live(index).drop("seq")
+        rows.repartition("bucket", F.pmod("range", F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
+        _write_frequencies(index.frequencies, f"{folder}/{name}/frequencies")
+        segment = {"data": name, "n": content["n"], "tokens": content["tokens"], "loses": False, "seq": content["next"] - 1}
+        try:
+            table.publish(version + 1, {**content, "segments": [segment]})
+        except Conflict:
+            pass  # what it wrote isn't named anywhere
+    return open_index(spark, folder)
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
+    """Delete what the last ``keep`` snapshots don't name, once it is ``older_than`` seconds old."""
+    return Snapshots(spark, folder).vacuum(lambda c: [s[n] for s in c["segments"] for n in ("data", "counts") if n in s], keep, older_than)
+
+
+def open_index(spark: SparkSession, folder: str, keys: list[str] | None = None, version: int | None = None) -> Index:
+    """The index at a snapshot, by default the last one; ``keys`` are those it was built with."""
+    return _open(spark, folder, Snapshots(spark, folder).read(version)[1])
+
+
+def _live(index: Index) -> DataFrame:
+    """Blocks without the postings that later segments have replaced or dropped."""
+    if index.gone is None:
+        return index.blocks
+    rows = index.blocks.select("seq", "range", "term", "bucket", F.inline("postings"))
+    return _not_gone(rows, index.gone).groupBy("range", "term", "bucket").agg(F.max("tf").alias("most"), F.min("dl").alias("fewest"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("key", "dl", "tf")).alias("postings"), F.max("seq").alias("seq"))
+
+
+@dataclass(frozen=True)
+class _Asked:
+    weights: DataFrame
+    blocks: DataFrame
+    bounds: DataFrame
+
+
+def _ask(index: Index, queries: DataFrame, query: str) -> _Asked:
+    """Weights of the queries' terms, the part of the index that has them, and by query and range the most that a chunk there can score."""
+    asked = queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    n = F.lit(index.chunks)
+    raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    idf = F.when(raw >= 0, raw).otherwise(F.lit(index.floor).cast("double"))
+    weights = kept(asked.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"), _bucket(F.col("term"), index.buckets).alias("in")), "bm25-terms")
+    used = [r["in"] for r in weights.select("in").distinct().collect()]  # at most the buckets
+    names = [r["term"] for r in weights.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    blocks = index.blocks.where(F.col("bucket").isin(used))
+    if len(names) <= NAMED_TERMS:
+        blocks = blocks.where(F.col("term").isin(names))
+    weights = weights.drop("in")
+    most = F.greatest(_part(index, F.col("weight"), F.col("most"), F.col("fewest")), F.lit(0.0))  # a chunk may lack a term that weighs less than nothing
+    bounds = blocks.select("term", "range", "most", "fewest").join(weights, "term").groupBy("query_id", "range").agg(F.sum(most).alias("bound"))
+    return _Asked(weights, blocks, kept(bounds, "bm25-bounds"))
+
+
+def _part(index: Index, weight: Column, tf: Column, dl: Column) -> Column:
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.avgdl)))
+
+
+def _scored(index: Index, asked: _Asked, ranges: DataFrame) -> DataFrame:
+    """(query_id, *keys, score) of all live chunks of the ranges (query_id, range) that share a term with the query."""
+    hits = asked.blocks.select("term", "range", "seq", "postings").join(asked.weights, "term").join(ranges, ["query_id", "range"])
+    rows = hits.select("query_id", "weight", "seq", F.inline("postings"))
+    if index.gone is not None:
+        rows = _not_gone(rows, index.gone)
+    return rows.groupBy("query_id", "key").agg(F.sum(_part(index, F.col("weight"), F.col("tf"), F.col("dl"))).alias("score")).select("query_id", "key.*", "score")
+
+
+def _chosen(index: Index, asked: _Asked, k: int) -> DataFrame:
+    """(query_id, range) of the ranges that may hold one of a query's k best: those whose bound comes up to the k-th score of its FIRST best ones."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
+    first = asked.bounds.withColumn("place", place).where(F.col("place") <= FIRST).select("query_id", "range")
+    best = top_k(_scored(index, asked, first).where("score > 0"), index.keys, k)
+    kth = kept(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "bm25-kth")
+    # scores are compared by six digits; what rounding can have moved stays in
+    return asked.bounds.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("kth"))).select("query_id", "range")
 
 
 def scores(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
     """(query_id, *keys, score) of every chunk that shares a term with a query; the corpus isn't read."""
-    asked = queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = asked.join(index.terms.select("term", "idf"), "term")
-    stats = F.broadcast(index.stats.select("avgdl"))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return index.postings.join(weighed, "term").crossJoin(stats).groupBy("query_id", *index.keys).agg(F.sum(part).alias("score"))
+    if not index.chunks:
+        return _nothing(index, queries)
+    asked = _ask(index, queries, query)
+    return _scored(index, asked, asked.bounds.select("query_id", "range"))
+
+
+def _nothing(index: Index, queries: DataFrame) -> DataFrame:
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.sparkSession.createDataFrame([], ", ".join([f"query_id {kind}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in index.blocks.select(F.inline("postings")).select("key.*").schema), "score double"]))
 
 
 def search(index: Index, queries: DataFrame, k: int, query: str = "query") -> DataFrame:
-    """Chunks with a positive score, best first."""
-    return top_k(scores(index, queries, query).where("score > 0"), index.keys, k)
+    """Chunks with a positive score, best first, as by scoring all: ranges that can't hold one of the k best are passed over."""
+    if not index.chunks:
+        return top_k(_nothing(index, queries), index.keys, k)
+    asked = _ask(index, queries, query)
+    return top_k(_scored(index, asked, _chosen(index, asked, k)).where("score > 0"), index.keys, k)
+
+
+def passed_over(index: Index, queries: DataFrame, k: int, query: str = "query") -> DataFrame:
+    """(query_id, ranges, read): ranges with a term of the query, and how many of them a search for ``k`` scores."""
+    asked = _ask(index, queries, query)
+    read = _chosen(index, asked, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("read"))
+    return asked.bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("ranges")).join(read, "query_id", "left").select("query_id", "ranges", F.coalesce("read", F.lit(0)).alias("read"))
 
 
 def top_k(scored: DataFrame, keys: list[str], k: int, score: str = "score", digits: int = 6) -> DataFrame:
