@@ -58,9 +58,21 @@ def complexity(query: Column) -> Column:
     return F.when(contains_any(q, COMPLEX), "complex").when(contains_any(q, SIMPLE), "simple").otherwise("normal")
 
 
-def last_match_start(text: Column, pattern: str) -> Column:
-    """0-based start of the last match; null if there is none."""
-    return F.when(text.rlike(f"(?isU){pattern}"), F.length(F.regexp_extract(text, f"(?isU)^(.*){pattern}", 1)))
+def last_places(text: Column, patterns: list[str]) -> Column:
+    """0-based start of the last match of each pattern, null where there is none, as an array.
+
+    One pass over the text: it is cut before every place where some pattern matches, whatever
+    overlaps it, and only the heads of the pieces are told apart.
+    """
+    pieces = F.split(text, "(?isU)(?=" + "|".join(f"(?:{p})" for p in patterns) + ")")
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.array(*(none for _ in patterns)).alias("last"))
+
+    def step(held: Column, piece: Column) -> Column:
+        last = F.array(*(F.when(piece.rlike(f"(?isU)^(?:{p})"), held["at"]).otherwise(held["last"][k]) for k, p in enumerate(patterns)))
+        return F.struct((held["at"] + F.length(piece)).alias("at"), last.alias("last"))
+
+    return F.when(text.isNotNull(), F.aggregate(pieces, start, step, lambda held: held["last"]))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..operators import answering, chunking, context, dense, filings, fusion, lexical
+from ..operators import ann, answering, chunking, context, dense, filings, fusion, lexical
 from ..sources import store
-from ..sources.scratch import new_folder
+from ..sources.scratch import kept, new_folder
+from ..sources.snapshots import fingerprint
 from . import pipeline
 
 KEYS = ["doc_id"]
@@ -56,8 +57,8 @@ _indexes: dict[tuple[str, str], lexical.Index] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The documents' index: built once for a session, as a user keeps one; the tables don't change."""
-    name = (spark.sparkContext.applicationId, sf_dir)
+    """The documents' index: built once for a session, as a user keeps one, and anew where the table's files have changed."""
+    name = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if name not in _indexes:
         _indexes[name] = lexical.build_index(_chunks(spark, sf_dir), KEYS, new_folder(spark, "bm25"))
     return _indexes[name]
@@ -71,6 +72,36 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.dense_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), KEYS, S.dense_top_k).select("query_id", "rank", "doc_id", "score")
 
 
+def bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that has changed: half of the documents first under other texts, then all replaced and added in two writes, a tenth dropped, and searched."""
+    folder, chunks = new_folder(spark, "bm25-updated"), _chunks(spark, sf_dir).select("doc_id", "content")
+    lexical.build_index(chunks.where("doc_id % 2 = 0").withColumn("content", F.concat(F.lit("stale words "), "content")), KEYS, folder)
+    for part in (0, 1):
+        lexical.put(spark, folder, chunks.where(F.col("doc_id") % 4 < 2 if part == 0 else F.col("doc_id") % 4 >= 2))
+    index = lexical.put(spark, folder, None, chunks.where("doc_id % 10 = 3").select("doc_id"))
+    return lexical.search(index, _queries(spark, sf_dir), S.bm25_top_k).select("query_id", "rank", "doc_id", "score")
+
+
+def _ann(spark: SparkSession, sf_dir: str) -> ann.CellIndex:
+    return ann.build(_vectors(spark, sf_dir), KEYS, new_folder(spark, "ann"), k=S.dense_top_k)
+
+
+def ann_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours, with how many of the index's vectors the query read."""
+    index, asked = _ann(spark, sf_dir), kept(_vector_queries(spark, sf_dir), "ann-queries")
+    return ann.search(index, asked, S.dense_top_k).join(ann.reads(index, asked), "query_id").select("query_id", "rank", "doc_id", "score", "read", "vectors")
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: queries, neighbours found, those of a score that isn't their cosine, and whether they have 95 % of the true ones."""
+    asked, vectors = kept(_vector_queries(spark, sf_dir), "ann-queries"), _vectors(spark, sf_dir)
+    got = kept(ann.search(_ann(spark, sf_dir), asked, S.dense_top_k), "ann-found")
+    true = dense.dense_search(vectors, asked, KEYS, S.dense_top_k).select("query_id", "doc_id", F.lit(True).alias("true"))
+    cosine = F.round(T.cosine(F.col("embedding"), F.col("q")), 6)
+    checked = got.join(vectors, "doc_id").join(asked, "query_id").withColumn("wrong", F.abs(cosine - F.col("score")) > 1.5e-6).join(true, ["query_id", "doc_id"], "left")
+    return checked.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), F.count_if("wrong").alias("wrong_scores"), (F.count("true") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(dense_topk_batch(spark, sf_dir), bm25_topk_batch(spark, sf_dir), KEYS, S).select("query_id", "rank", "doc_id", "score", "dense_score", "lexical_score")
 
@@ -101,6 +132,22 @@ def sentence_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.sentence_relevance(_reranked(spark, sf_dir)).select("query_id", F.col("rank").alias("chunk_rank"), F.col("pos").cast("long").alias("pos"), F.round("sim", 6).alias("sim"), "kept")
 
 
+def sentence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by embeddings: each different sentence and query embedded once."""
+    found = context.sentence_relevance(_reranked(spark, sf_dir), embedder=dense.hashed_embedder(64))
+    return found.select("query_id", F.col("rank").alias("chunk_rank"), F.col("pos").cast("long").alias("pos"), F.round("sim", 6).alias("sim"), "kept")
+
+
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens before and after compression, and the vectors' lengths, as observed by the jobs that write them."""
+    tokens, lengths = Observation("compression"), Observation("lengths")
+    kept(context.compress(_reranked(spark, sf_dir), 600, observed=tokens), "compressed")
+    kept(dense.observe_dimension(_vectors(spark, sf_dir), 64, lengths), "vectors")
+    names = ["tokens_before", "tokens_after", "chunks", "chunks_after", "vectors", "other_length"]
+    found = tokens.get | lengths.get
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.compress(_reranked(spark, sf_dir), 600).select("query_id", "rank", "doc_id", "content", "compressed")
 
@@ -228,7 +275,7 @@ def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        tokenize_counts, term_stats, bm25_topk_batch, dense_topk_batch, rrf_fusion, rerank_topk, route_complexity, sentence_split, sentence_relevance, budget_fold,
+        tokenize_counts, term_stats, bm25_topk_batch, bm25_updated, dense_topk_batch, ann_topk_batch, ann_recall, rrf_fusion, rerank_topk, route_complexity, sentence_split, sentence_relevance, sentence_similarity, budget_fold, observed_metrics,
         line_chunks_offsets, recursive_chunks, last_marker_slice, html_clean, filing_meta, parse_filings, word_count, strip_think, context_block, sources,
         fallback_resolution, dim_check, embed_batches, chunk_store_roundtrip, ask,
     ]
@@ -325,12 +372,27 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_counts": f"SELECT doc_id, len({_DOCS})::BIGINT AS n_tokens, len(list_distinct({_DOCS}))::BIGINT AS n_distinct FROM documents",
         "term_stats": f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "bm25_topk_batch": f"WITH {_BM25} SELECT * FROM bm",
+        "bm25_updated": f"WITH {_BM25.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 10 <> 3)')} SELECT * FROM bm",
         "dense_topk_batch": f"WITH {_DENSE} SELECT * FROM dn",
+        "ann_recall": f"WITH {_DENSE} SELECT count(DISTINCT query_id) AS queries, count(*) AS found, 0::BIGINT AS wrong_scores, true AS recall_reached FROM dn",
         "rrf_fusion": f"WITH {_FUSED} SELECT * FROM fr",
         "rerank_topk": f"WITH {_RERANKED} SELECT query_id, rank, doc_id, round(rerank_score, 6) AS rerank_score FROM rr",
         "route_complexity": f"SELECT conv_id, turn, {_TIER} AS tier FROM (SELECT *, {strip('lower(coalesce(text, chr(32)))')} AS q FROM conversations)",
         "sentence_split": f"SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(length(array_to_string(s, '')), 0)::BIGINT AS chars FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)",
         "sentence_relevance": f"WITH {_RELEVANT} SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, kept FROM rl",
+        "sentence_similarity": rf"""WITH {_RELEVANT},
+            tx AS (SELECT DISTINCT sentence AS text FROM se UNION SELECT DISTINCT query FROM se),
+            bn AS (SELECT text, ('0x' || substring(md5(word), 1, 8))::BIGINT % 64 AS bin, count(*) AS n FROM (SELECT text, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM tx) GROUP BY ALL),
+            hv AS (SELECT text, bin, (n / sqrt(sum(n * n) OVER (PARTITION BY text)))::FLOAT::DOUBLE AS v FROM bn),
+            nm AS (SELECT text, sqrt(sum(v * v)) AS norm FROM hv GROUP BY text),
+            pr AS (SELECT DISTINCT query, sentence FROM se),
+            dt AS (SELECT query, sentence, sum(a.v * b.v) AS dot FROM pr JOIN hv a ON a.text = query JOIN hv b ON b.text = sentence AND b.bin = a.bin GROUP BY ALL),
+            cn AS (SELECT query_id, chunk_rank, pos, round(coalesce(dot / (x.norm * y.norm), 0), 9) AS sim FROM se LEFT JOIN dt USING (query, sentence) LEFT JOIN nm x ON x.text = query LEFT JOIN nm y ON y.text = sentence)
+            SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, sim >= max(sim) OVER (PARTITION BY query_id, chunk_rank) * 0.6::DOUBLE AS kept FROM cn""",
+        "observed_metrics": rf"""WITH RECURSIVE {_RELEVANT}, {_folded(600)},
+            wb AS (SELECT sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens_before, count(*) AS chunks FROM rr),
+            wa AS (SELECT sum(len(regexp_extract_all(cut, '\S+')))::BIGINT AS tokens_after, count(*) AS chunks_after FROM fo)
+            SELECT tokens_before, tokens_after, chunks, chunks_after, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FILTER (coalesce(len(embedding), -1) <> 64) FROM embeddings) AS other_length FROM wb, wa""",
         "budget_fold": f"WITH RECURSIVE {_RELEVANT}, {_folded(600)} SELECT query_id, rank, doc_id, cut AS content, cut <> text AS compressed FROM fo JOIN rr USING (query_id, rank)",
         "ask": f"""WITH RECURSIVE held AS (SELECT * FROM embeddings SEMI JOIN documents ON vec_id = doc_id), {_RELEVANT.replace('embeddings v', 'held v')}, {_folded(S.context_token_budget)},
             be AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, {_LABEL} AS label FROM fo JOIN rr USING (query_id, rank)),

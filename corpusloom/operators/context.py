@@ -6,28 +6,45 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import or_none, sentences, strip_u, tokenize
-from .dense import bag_cosine
+from ..functions.text import cosine, or_none, sentences, strip_u, tokenize
+from ..sources.scratch import kept
+from .dense import Embedder, bag_cosine, embed
 
 KEEP = 0.6
 
 
-def sentence_relevance(rows: DataFrame, query: str = "query", content: str = "content", ratio: float = KEEP, similarity: Callable[[str, str], Column] = bag_cosine) -> DataFrame:
+def sentence_relevance(rows: DataFrame, query: str = "query", content: str = "content", ratio: float = KEEP, similarity: Callable[[str, str], Column] = bag_cosine,
+                       embedder: Embedder | None = None, batch: int = 64) -> DataFrame:
     """(query_id, rank, pos, sentence, sim, best, kept) for each sentence of each ranked chunk.
 
-    ``similarity`` is an expression over two columns of tokens. A sentence is kept if it comes to ``ratio`` of the chunk's best; chunks without any are dropped.
+    ``similarity`` is an expression over two columns of tokens; with an ``embedder`` it is the
+    cosine of its vectors instead, 0 where there is none. A sentence is kept if it comes to
+    ``ratio`` of the chunk's best; chunks without any are dropped.
     """
-    split = rows.select("query_id", "rank", query, F.posexplode(sentences(F.col(content))).alias("pos", "sentence"))
-    told = split.withColumns({"query_tokens": tokenize(F.col(query)), "sentence_tokens": tokenize(F.col("sentence"))})
-    scored = told.withColumn("sim", F.round(similarity("query_tokens", "sentence_tokens"), 9))
+    split = rows.select("query_id", "rank", F.col(query).alias("query"), F.posexplode(sentences(F.col(content))).alias("pos", "sentence"))
+    if embedder is None:
+        told = split.withColumns({"query_tokens": tokenize(F.col("query")), "sentence_tokens": tokenize(F.col("sentence"))})
+        scored = told.withColumn("sim", F.round(similarity("query_tokens", "sentence_tokens"), 9))
+    else:
+        scored = _embedded(split, embedder, batch)
     best = F.max("sim").over(Window.partitionBy("query_id", "rank"))
     scored = scored.withColumn("best", best)
     return scored.select("query_id", "rank", "pos", "sentence", "sim", "best", (F.col("sim") >= F.col("best") * ratio).alias("kept"))
 
 
+def _embedded(split: DataFrame, embedder: Embedder, batch: int) -> DataFrame:
+    """``split`` with ``sim``. Each different sentence and query is embedded once, in full batches, however many chunks repeat it."""
+    split = kept(split, "sentences")
+    texts = split.select(F.col("sentence").alias("content")).unionByName(split.select(F.col("query").alias("content"))).distinct()
+    vectors = kept(embed(texts, embedder, batch=batch), "sentence-vectors")
+    one = lambda text, vector: vectors.select(F.col("content").alias(text), F.col("embedding").alias(vector))
+    joined = split.join(one("sentence", "s"), "sentence", "left").join(one("query", "q"), "query", "left")
+    return joined.withColumn("sim", F.round(F.coalesce(cosine(F.col("q"), F.col("s")), F.lit(0.0)), 9)).drop("s", "q")
+
+
 def count_words(text: str) -> int:
     return len(text.split())
 
@@ -60,9 +77,13 @@ def fold(chunks: list[dict], budget: int, count: Callable[[str], int] = count_wo
 
 
 def compress(rows: DataFrame, budget: int, query: str = "query", content: str = "content", ratio: float = KEEP, count: Callable[[str], int] = count_words,
-             similarity: Callable[[str, str], Column] = bag_cosine) -> DataFrame:
-    """``rows`` with ``content`` cut to relevant sentences and ``compressed``; at most k rows a query meet."""
-    told = sentence_relevance(rows, query, content, ratio, similarity)
+             similarity: Callable[[str, str], Column] = bag_cosine, embedder: Embedder | None = None, observed: Observation | None = None) -> DataFrame:
+    """``rows`` with ``content`` cut to relevant sentences and ``compressed``; at most k rows a query meet.
+
+    ``observed`` is filled by whatever job uses the result, without another scan: the tokens of all
+    chunks before and after, the chunks, and those that are left.
+    """
+    told = sentence_relevance(rows, query, content, ratio, similarity, embedder)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "pos"])
@@ -72,7 +93,14 @@ def compress(rows: DataFrame, budget: int, query: str = "query", content: str =
 
     kind = rows.schema["query_id"].dataType.simpleString()
     cut = told.groupBy("query_id").applyInPandas(run, f"query_id {kind}, rank int, trimmed string")
-    joined = rows.join(cut, ["query_id", "rank"])
+    if observed is None:
+        joined = rows.join(cut, ["query_id", "rank"])
+    else:
+        counted = _counter(count)
+        joined = rows.join(cut, ["query_id", "rank"], "left").withColumns({"tokens_before": counted(content), "tokens_after": counted("trimmed")})
+        joined = joined.observe(observed, F.coalesce(F.sum("tokens_before"), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("tokens_after"), F.lit(0)).alias("tokens_after"),
+                                F.count(F.lit(1)).alias("chunks"), F.count("trimmed").alias("chunks_after"))
+        joined = joined.where("trimmed is not null").drop("tokens_before", "tokens_after")
     return joined.withColumn("compressed", F.col("trimmed") != F.col(content)).withColumn(content, F.col("trimmed")).drop("trimmed")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_u
@@ -55,6 +55,11 @@ def dimension_check(vectors: DataFrame, dimensions: int, vector: str = "embeddin
     return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.coalesce(F.size(vector), F.lit(-1)) != dimensions).alias("other_length"))
 
 
+def observe_dimension(vectors: DataFrame, dimensions: int, observed: Observation, vector: str = "embedding") -> DataFrame:
+    """``vectors`` as they are; ``observed`` gets what ``dimension_check`` counts from whatever job reads them."""
+    return vectors.observe(observed, F.count(F.lit(1)).alias("vectors"), F.count_if(F.coalesce(F.size(vector), F.lit(-1)) != dimensions).alias("other_length"))
+
+
 def _best_of_block(rows: pd.DataFrame, keys: list[str], vector: str, ids: list, q: np.ndarray, norms: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of one block for each query: by cosine of 6 digits, then by key, unknown ones last."""
     rows = rows.sort_values(keys, kind="stable", na_position="first").reset_index(drop=True)

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import last_match_start, strip_u
+from ..functions.text import last_places, strip_u
 
 # Section markers, metadata patterns, tags that break paragraphs.
-_GAP = r"(?:&nbsp;|\s)*"
+_GAP = r"(?:&nbsp;|\s++)*"
 SECTIONS = (
     ("Item 1A Risk Factors", rf"Item\s*1A\s*\.{_GAP}Risk Factors", rf"Item\s*1B\s*\.{_GAP}Unresolved"),
     ("Item 7 MD&A", rf"Item\s*7\s*\.{_GAP}Management", r"Item\s*7A\s*\."),
@@ -89,14 +89,23 @@ def decode_html(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else decode_bytes(x))
 
 
-def section_slice(html: Column, start: str, end: str) -> Column:
-    """Struct (raw, char_offset) from the last start marker to the last end marker; null if none.
+def section_slices(html: Column, markers: list[tuple[str, str]]) -> Column:
+    """Of each (start, end) the struct (raw, char_offset) from the last start to the last end; null if none. One pass for all.
 
     Without an end marker the slice runs to the end; one before the start leaves no section.
     """
-    a = last_match_start(html, start)
-    b = F.coalesce(last_match_start(html, end), F.length(html))
-    return F.when(b > a, F.struct(F.substring(html, a + 1, b - a).alias("raw"), a.alias("char_offset")))
+
+    def cut(places: Column, k: int) -> Column:
+        a, b = places[2 * k], F.coalesce(places[2 * k + 1], F.length(html))
+        return F.when(b > a, F.struct(F.substring(html, a + 1, b - a).alias("raw"), a.alias("char_offset")))
+
+    # through an array of one, so that the places are found once for all that use them
+    found = F.array(last_places(html, [m for pair in markers for m in pair]))
+    return F.transform(found, lambda places: F.array(*(cut(places, k) for k in range(len(markers)))))[0]
+
+
+def section_slice(html: Column, start: str, end: str) -> Column:
+    return section_slices(html, [(start, end)])[0]
 
 
 def matched(c: Column, pattern: str) -> Column:
@@ -128,8 +137,8 @@ def parse(files: DataFrame) -> DataFrame:
         "source_file", "html", F.when(own == "unknown", ticker(name)).otherwise(own).alias("ticker"),
         F.when(kind == "UNKNOWN", F.coalesce(form_of_name(name), F.lit("UNKNOWN"))).otherwise(kind).alias("filing_type"),
         fiscal_period(html).alias("fiscal_period"), filename.alias("filename"))
-    for k, (_, start, end) in enumerate(SECTIONS):
-        meta = meta.withColumn(f"s{k}", section_slice(html, start, end))
+    meta = meta.withColumn("slices", section_slices(html, [(start, end) for _, start, end in SECTIONS]))
+    meta = meta.withColumns({f"s{k}": F.col("slices")[k] for k in range(len(SECTIONS))})
     for k, _ in enumerate(SECTIONS):
         meta = meta.withColumn(f"t{k}", clean_text(F.col(f"s{k}.raw")))
     some = F.array(*(F.when(F.col(f"s{k}").isNotNull(), F.struct(F.lit(label).alias("section"), F.col(f"t{k}").alias("text"), F.col(f"s{k}.char_offset").alias("char_offset"), F.regexp_count(f"t{k}", F.lit(r"(?U)\S+")).alias("word_count"))) for k, (label, _, _) in enumerate(SECTIONS)))
