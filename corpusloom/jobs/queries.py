@@ -380,14 +380,13 @@ def oracle_sql() -> dict[str, str]:
         "route_complexity": f"SELECT conv_id, turn, {_TIER} AS tier FROM (SELECT *, {strip('lower(coalesce(text, chr(32)))')} AS q FROM conversations)",
         "sentence_split": f"SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(length(array_to_string(s, '')), 0)::BIGINT AS chars FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents)",
         "sentence_relevance": f"WITH {_RELEVANT} SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, kept FROM rl",
-        "sentence_similarity": rf"""WITH {_RELEVANT},
-            tx AS (SELECT DISTINCT sentence AS text FROM se UNION SELECT DISTINCT query FROM se),
+        "sentence_similarity": rf"""WITH {_RERANKED},
+            se AS MATERIALIZED (SELECT query_id, rank AS chunk_rank, query, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT query_id, rank, query, {_SENTENCES.format('text')} AS s FROM rr)),
+            tx AS MATERIALIZED (SELECT DISTINCT sentence AS text FROM se UNION SELECT DISTINCT query FROM se),
             bn AS (SELECT text, ('0x' || substring(md5(word), 1, 8))::BIGINT % 64 AS bin, count(*) AS n FROM (SELECT text, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM tx) GROUP BY ALL),
-            hv AS (SELECT text, bin, (n / sqrt(sum(n * n) OVER (PARTITION BY text)))::FLOAT::DOUBLE AS v FROM bn),
-            nm AS (SELECT text, sqrt(sum(v * v)) AS norm FROM hv GROUP BY text),
-            pr AS (SELECT DISTINCT query, sentence FROM se),
-            dt AS (SELECT query, sentence, sum(a.v * b.v) AS dot FROM pr JOIN hv a ON a.text = query JOIN hv b ON b.text = sentence AND b.bin = a.bin GROUP BY ALL),
-            cn AS (SELECT query_id, chunk_rank, pos, round(coalesce(dot / (x.norm * y.norm), 0), 9) AS sim FROM se LEFT JOIN dt USING (query, sentence) LEFT JOIN nm x ON x.text = query LEFT JOIN nm y ON y.text = sentence)
+            nm AS (SELECT text, sqrt(sum(n * n)) AS norm FROM bn GROUP BY text),
+            ve AS MATERIALIZED (SELECT text, list(v ORDER BY bin) AS v FROM (SELECT text, bin, max(v) AS v FROM (SELECT text, bin, (n / norm)::FLOAT::DOUBLE AS v FROM bn JOIN nm USING (text) UNION ALL SELECT text, b, 0 FROM nm, range(64) r(b)) GROUP BY ALL) GROUP BY text),
+            cn AS (SELECT query_id, chunk_rank, pos, round(list_cosine_similarity(x.v, y.v), 9) AS sim FROM se JOIN ve x ON x.text = query JOIN ve y ON y.text = sentence)
             SELECT query_id, chunk_rank, pos::BIGINT AS pos, round(sim, 6) AS sim, sim >= max(sim) OVER (PARTITION BY query_id, chunk_rank) * 0.6::DOUBLE AS kept FROM cn""",
         "observed_metrics": rf"""WITH RECURSIVE {_RELEVANT}, {_folded(600)},
             wb AS (SELECT sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens_before, count(*) AS chunks FROM rr),
