@@ -11,7 +11,7 @@ from ..config import Settings
 from ..functions.text import complexity
 from ..operators.answering import Provider, ask_providers
 from ..operators.chunking import chunk_sections
-from ..operators.context import compress, context, prompt, sources
+from ..operators.context import compress, context, count_words, prompt, sources
 from ..operators.dense import Embedder, dense_search, embed
 from ..operators.filings import parse
 from ..operators.fusion import fuse, overlap, rerank
@@ -46,16 +46,19 @@ def retrieve(chunks: DataFrame, queries: DataFrame, keys: list[str], settings: S
 
 
 def ask(chunks: DataFrame, queries: DataFrame, keys: list[str], providers: Callable[[], dict[str, Provider]], settings: Settings = Settings(), k: int | None = None,
-        scorer: Callable | None = overlap, index: Index | None = None) -> DataFrame:
+        scorer: Callable | None = overlap, index: Index | None = None, embedder: Embedder | None = None, count: Callable[[str], int] = count_words, ledger: str | None = None) -> DataFrame:
     """Answer every query: route, retrieve, rerank, compress, ask the providers, list the sources.
 
+    ``embedder`` compresses by its vectors, ``count`` is what a token is, for the budget and for
+    ``tokens_in``, and ``ledger`` keeps the answers, so that asking again asks nobody.
+
     Returns query_id, tier, answer, provider, tokens_in, failures, sources. Queries without any chunk are
     still asked, with an empty context.
     """
     routed = queries.withColumn("tier", complexity(F.col("query")))
     found = retrieve(chunks, queries, keys, settings, None, index).join(chunks.drop("embedding"), keys).join(queries.select("query_id", "query"), "query_id")
     # at most k rows a query, which several branches below use
-    best = kept(compress(kept(rerank(found, k or settings.rerank_top_k, scorer), "reranked"), settings.context_token_budget), "compressed")
+    best = kept(compress(kept(rerank(found, k or settings.rerank_top_k, scorer), "reranked"), settings.context_token_budget, count=count, embedder=embedder), "compressed")
     asked = routed.join(context(best), "query_id", "left").select("query_id", "tier", prompt(F.col("context"), F.col("query")).alias("prompt"))
-    answers = ask_providers(asked, providers, settings)
+    answers = ask_providers(asked, providers, settings, count, ledger)
     return routed.select("query_id").join(answers, "query_id").join(sources(best), "query_id", "left").select("query_id", "tier", "answer", "provider", "tokens_in", "failures", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))

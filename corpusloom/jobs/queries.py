@@ -273,11 +273,22 @@ def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "tier", "tokens_in", "answer", "provider", F.size("failures").alias("n_failures"), F.array_join("sources", ";").alias("sources"))
 
 
+def ask_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns asked through a ledger: first every other one, then all, by providers that quote the prompt's end; how often each was asked."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit("normal").alias("tier"), F.coalesce("text", F.lit("")).alias("prompt"))
+    ledger = new_folder(spark, "ledger")
+    kept(answering.ask_providers(turns.where("query_id % 2 = 0"), _echo, S, ledger=ledger), "first")
+    found = kept(answering.ask_providers(turns, _echo, S, ledger=ledger), "second")
+    times = answering.read_ledger(spark, ledger).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    said = turns.select("query_id", F.sha2("prompt", 256).alias("key")).join(times, "key", "left")
+    return found.join(said, "query_id").select("query_id", F.md5("answer").alias("answer_md5"), "provider", "tokens_in", F.coalesce("times", F.lit(0)).alias("times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         tokenize_counts, term_stats, bm25_topk_batch, bm25_updated, dense_topk_batch, ann_topk_batch, ann_recall, rrf_fusion, rerank_topk, route_complexity, sentence_split, sentence_relevance, sentence_similarity, budget_fold, observed_metrics,
         line_chunks_offsets, recursive_chunks, last_marker_slice, html_clean, filing_meta, parse_filings, word_count, strip_think, context_block, sources,
-        fallback_resolution, dim_check, embed_batches, chunk_store_roundtrip, ask,
+        fallback_resolution, dim_check, embed_batches, chunk_store_roundtrip, ask, ask_again,
     ]
     return {f.__name__: f for f in found}
 
@@ -427,6 +438,9 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT query_id, min(CASE WHEN luck = 0 AND length({strip("text")}) > 0 THEN p END) AS won, any_value(text) AS text FROM o WHERE luck <> 4 GROUP BY query_id)
             SELECT query_id, [{chain}][won + 1] AS provider, CASE WHEN won IS NOT NULL THEN md5({strip('text')}) END AS answer_md5, coalesce(won, {len(S.fallback_chain)})::INT AS n_failures,
                    CASE WHEN won IS NULL THEN 'all providers failed' END AS error FROM g""",
+        "ask_again": f"""WITH p AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') AS prompt, {strip("right(coalesce(text, ''), 200)")} AS said FROM conversations)
+            SELECT query_id, CASE WHEN said <> '' THEN md5(said) END AS answer_md5, CASE WHEN said <> '' THEN 'groq' END AS provider, len(regexp_extract_all(prompt, '\\S+'))::BIGINT AS tokens_in,
+                   CASE WHEN said <> '' THEN 1 ELSE 0 END::BIGINT AS times FROM p""",
         "dim_check": "SELECT count(*) AS vectors, count(*) FILTER (coalesce(len(embedding), -1) <> 64) AS other_length FROM embeddings",
         "embed_batches": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM documents),
             c AS (SELECT doc_id, ('0x' || substring(md5(word), 1, 8))::BIGINT % 64 + 1 AS bin, count(*) AS n FROM w GROUP BY ALL)

@@ -59,7 +59,7 @@ class Index:
 # input. Most and fewest are of those postings, so that no chunk's share of a score exceeds what
 # they give. Blocks of a term lie in one bucket, which is a folder, and in several files of it.
 RANGE, BUCKETS, SPREAD = 64, 32, 4
-#: Distinct terms of a batch that the scan is narrowed to by name; beyond, by bucket alone.
+#: Distinct terms of a batch that the scan is narrowed to, by bucket and name; a larger batch reads all.
 NAMED_TERMS = 500
 #: Ranges of the best bounds that give a query's first k-th score.
 FIRST = 4
@@ -69,15 +69,21 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """By number, since Spark puts partitions together by their bytes, and texts of few bytes are much work."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _write_segment(chunks: DataFrame, keys: list[str], folder: str, name: str, text: str, buckets: int) -> None:
     """Blocks, frequencies and keys of ``chunks``: texts are dealt by range once, and all counting is done there."""
     number = F.xxhash64(F.lit(name), F.floor(F.monotonically_increasing_id() / RANGE))
     chunks.select(F.struct(*keys).alias("key")).write.parquet(f"{folder}/{name}/keys")
-    dealt = chunks.select(F.struct(*keys).alias("key"), F.col(text).alias("text"), number.alias("range")).where("text is not null").repartition("range")
+    tasks = _tasks(chunks.sparkSession)
+    dealt = chunks.select(F.struct(*keys).alias("key"), F.col(text).alias("text"), number.alias("range")).where("text is not null").repartition(tasks, "range")
     split = dealt.select("range", "key", tokenize(F.col("text")).alias("tokens"))
     counted = split.select("range", "key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("range", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     blocks = counted.groupBy("range", "term").agg(F.max("tf").alias("most"), F.min("dl").alias("fewest"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("key", "dl", "tf")).alias("postings"))
-    placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod("range", F.lit(SPREAD)))
+    placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(tasks, "bucket", F.pmod("range", F.lit(SPREAD)))
     placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
 
 
@@ -200,7 +206,7 @@ def compact(spark: SparkSession, folder: str) -> Index:
     if len(content["segments"]) > 1:
         _live_keys(spark, folder, content).select("key").write.parquet(f"{folder}/{name}/keys")
         rows = _live(index).drop("seq")
-        rows.repartition("bucket", F.pmod("range", F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
+        rows.repartition(_tasks(spark), "bucket", F.pmod("range", F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
         _write_frequencies(index.frequencies, f"{folder}/{name}/frequencies")
         segment = {"data": name, "n": content["n"], "tokens": content["tokens"], "loses": False, "seq": content["next"] - 1}
         try:
@@ -242,11 +248,9 @@ def _ask(index: Index, queries: DataFrame, query: str) -> _Asked:
     raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     idf = F.when(raw >= 0, raw).otherwise(F.lit(index.floor).cast("double"))
     weights = kept(asked.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"), _bucket(F.col("term"), index.buckets).alias("in")), "bm25-terms")
-    used = [r["in"] for r in weights.select("in").distinct().collect()]  # at most the buckets
-    names = [r["term"] for r in weights.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
-    blocks = index.blocks.where(F.col("bucket").isin(used))
-    if len(names) <= NAMED_TERMS:
-        blocks = blocks.where(F.col("term").isin(names))
+    named, blocks = weights.select("in", "term").distinct().limit(NAMED_TERMS + 1).collect(), index.blocks
+    if len(named) <= NAMED_TERMS:  # more terms are in every bucket
+        blocks = blocks.where(F.col("bucket").isin(sorted({r["in"] for r in named})) & F.col("term").isin([r["term"] for r in named]))
     weights = weights.drop("in")
     most = F.greatest(_part(index, F.col("weight"), F.col("most"), F.col("fewest")), F.lit(0.0))  # a chunk may lack a term that weighs less than nothing
     bounds = blocks.select("term", "range", "most", "fewest").join(weights, "term").groupBy("query_id", "range").agg(F.sum(most).alias("bound"))
