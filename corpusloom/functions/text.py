@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -61,18 +62,25 @@ def complexity(query: Column) -> Column:
 def last_places(text: Column, patterns: list[str]) -> Column:
     """0-based start of the last match of each pattern, null where there is none, as an array.
 
-    One pass over the text: it is cut before every place where some pattern matches, whatever
-    overlaps it, and only the heads of the pieces are told apart.
+    One pass over the text stops wherever some pattern matches, whatever overlaps it, and tells
+    there which of them do. A regular expression of Spark's gives matches but no places.
     """
-    pieces = F.split(text, "(?isU)(?=" + "|".join(f"(?:{p})" for p in patterns) + ")")
-    none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("at"), F.array(*(none for _ in patterns)).alias("last"))
-
-    def step(held: Column, piece: Column) -> Column:
-        last = F.array(*(F.when(piece.rlike(f"(?isU)^(?:{p})"), held["at"]).otherwise(held["last"][k]) for k, p in enumerate(patterns)))
-        return F.struct((held["at"] + F.length(piece)).alias("at"), last.alias("last"))
-
-    return F.when(text.isNotNull(), F.aggregate(pieces, start, step, lambda held: held["last"]))
+    every = [re.compile(p, re.I | re.S) for p in patterns]
+    some = re.compile("(?=" + "|".join(f"(?:{p})" for p in patterns) + ")", re.I | re.S)
+
+    def places(t: str | None) -> list[int | None] | None:
+        if t is None:
+            return None
+        last: list[int | None] = [None] * len(every)
+        for hit in some.finditer(t):
+            at = hit.start()
+            for k, p in enumerate(every):
+                if p.match(t, at):
+                    last[k] = at
+        return last
+
+    found = F.pandas_udf(lambda texts: texts.map(places), "array<int>")
+    return found(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -375,6 +375,16 @@ def _cleaned(html: str) -> str:
         lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"""
 
 
+def _separator(text: str, least: int | str) -> str:
+    """Number of the first separator, from a given one on, that a text has."""
+    return "CASE " + " ".join(f"WHEN {least} <= {k} AND contains({text}, '{s}') THEN {k}" for k, s in enumerate((r"\n\n", r"\n", ". ", " "))).replace(r"'\n\n'", "chr(10) || chr(10)").replace(r"'\n'", "chr(10)") + " ELSE 4 END"
+
+
+#: The pieces of a text by its separator, which stays at the head of the next piece; the last one cuts everywhere.
+_PIECES = """list_filter(CASE WHEN sep = 4 THEN list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1))
+    ELSE list_transform(string_split(text, [chr(10) || chr(10), chr(10), '. ', ' '][sep + 1]), lambda x, i: CASE WHEN i = 1 THEN x ELSE [chr(10) || chr(10), chr(10), '. ', ' '][sep + 1] || x END) END, lambda x: x <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     think = r"'<\s*think(?:ing)?\s*>.*?<\s*/\s*think(?:ing)?\s*>', '', 'gs'"
     strip = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -413,6 +423,22 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, {strip('lower(query)')} AS q FROM pr)""",
         "line_chunks_offsets": """WITH l AS (SELECT doc_id AS source_file, unnest(s) AS c, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
             SELECT source_file, pos::INT AS chunk_index, coalesce(sum(greatest(length(c) - 150, 0)) OVER (PARTITION BY source_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset, length(c)::INT AS chars FROM l""",
+        "recursive_chunks": rf"""WITH RECURSIVE w AS (
+                SELECT doc_id, []::INT[] AS path, text, {_separator('text', 0)} AS sep FROM documents WHERE text <> ''
+                UNION ALL
+                SELECT doc_id, list_append(path, k::INT), piece, {_separator('piece', 'sep + 1')} FROM (SELECT doc_id, path, sep, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM (SELECT *, {_PIECES} AS ps FROM w)) WHERE length(piece) >= {S.chunk_size} AND sep < 4),
+            p AS (SELECT doc_id, path, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM (SELECT *, {_PIECES} AS ps FROM w)),
+            g AS (SELECT *, count(*) FILTER (length(piece) >= {S.chunk_size}) OVER (PARTITION BY doc_id, path ORDER BY k) AS run FROM p),
+            r AS MATERIALIZED (SELECT doc_id, path, run, list(piece ORDER BY k) AS ps, list(k ORDER BY k) AS ks, list(upto ORDER BY k) AS cs, [0::HUGEINT] || list(upto ORDER BY k) AS c0
+                FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, path, run ORDER BY k) AS upto FROM g WHERE length(piece) < {S.chunk_size}) GROUP BY ALL),
+            f AS (SELECT doc_id, path, run, 1::BIGINT AS a, len(list_filter(cs, lambda x: x <= {S.chunk_size}))::BIGINT AS b FROM r
+                UNION ALL
+                SELECT doc_id, path, run, a2, len(list_filter(cs, lambda x: x - c0[a2] <= {S.chunk_size}))::BIGINT FROM (
+                    SELECT r.doc_id, r.path, r.run, cs, c0, greatest(a, 1 + len(list_filter(c0[1:b], lambda x: cs[b] - x > least({S.chunk_overlap}, {S.chunk_size} - (cs[b + 1] - cs[b])))))::BIGINT AS a2
+                    FROM f JOIN r ON f.doc_id = r.doc_id AND f.path = r.path AND f.run = r.run WHERE b < len(cs))),
+            c AS (SELECT r.doc_id, list_append(r.path, ks[b]::INT) AS place, {strip("array_to_string(ps[a:b], '')")} AS content FROM f JOIN r ON f.doc_id = r.doc_id AND f.path = r.path AND f.run = r.run),
+            o AS (SELECT doc_id AS source_file, content, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i FROM c WHERE content <> '')
+            SELECT source_file, i::INT AS chunk_index, coalesce(sum(greatest(length(content) - {S.chunk_overlap}, 0)) OVER (PARTITION BY source_file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset, content FROM o""",
         "last_marker_slice": """WITH m AS (SELECT page_id, html, regexp_matches(html, '(?is)<h1') AS has, length(regexp_extract(html, '(?is)^(.*)<h1', 1)) AS a,
                 CASE WHEN regexp_matches(html, '(?is)</article>') THEN length(regexp_extract(html, '(?is)^(.*)</article>', 1)) ELSE length(html) END AS b FROM pages)
             SELECT page_id, a::BIGINT AS char_offset, (b - a)::BIGINT AS chars, md5(substring(html, a + 1, b - a)) AS digest FROM m WHERE has AND b > a""",

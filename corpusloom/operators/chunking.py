@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,39 +21,39 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     """
     at = next(k for k, s in enumerate(separators) if s in text or not s)
     sep, finer = separators[at], separators[at + 1:]
-    if not sep:
-        pieces = list(text)
-    else:
-        head, *tail = text.split(sep)
-        pieces = [p for p in (head, *(sep + t for t in tail)) if p]
+    # pieces lie side by side in the text, so places do for them, and a chunk is a slice
+    cuts: Sequence[int] = range(len(text) + 1) if not sep else sorted({0, *_places(text, sep), len(text)})
     out: list[str] = []
-    held: list[str] = []
+    first = 0  # of the pieces held
 
-    def emit() -> None:
-        chunk = "".join(held).strip()
+    def emit(end: int) -> None:
+        chunk = text[cuts[first]:cuts[end]].strip()
         if chunk:
             out.append(chunk)
 
-    length = 0
-    for piece in pieces:
-        if len(piece) >= size:
-            if held:
-                emit()
-                held.clear()
-                length = 0
+    for k in range(len(cuts) - 1):
+        if cuts[k + 1] - cuts[k] >= size:
+            if first < k:
+                emit(k)
+            piece = text[cuts[k]:cuts[k + 1]]
             out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
-            continue
-        if length + len(piece) > size and held:
-            emit()
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    if held:
-        emit()
+            first = k + 1
+        elif cuts[k + 1] - cuts[first] > size and first < k:
+            emit(k)
+            while first < k and (cuts[k] - cuts[first] > overlap or cuts[k + 1] - cuts[first] > size):
+                first += 1
+    if first < len(cuts) - 1:
+        emit(len(cuts) - 1)
     return out
 
 
+def _places(text: str, sep: str) -> Iterator[int]:
+    at = text.find(sep)
+    while at >= 0:
+        yield at
+        at = text.find(sep, at + len(sep))
+
+
 def chunk_sections(sections: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     """``sections`` (source_file, section_no, text, ...) -> a row per chunk.
 
