@@ -24,7 +24,7 @@ class Superseded(Exception):
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_file, html) of the ``*.html`` files of a folder, not of those below it."""
+    """(source_file, html) of the ``*.html`` files of a folder, not of those below it, wherever Spark can read; see ``filings_source`` for more."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "false").load(folder)
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), decode_html(F.col("content")).alias("html"))
 

@@ -9,15 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Settings
 from ..jobs.pipeline import chunk_filings
 from ..operators.dense import Embedder, embed
-from ..operators.filings import decode_html
+from ..sources import filings_source
 from ..sources.store import init_store, seed, store_rows
 
 
 def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, embedder: Embedder, settings: Settings = Settings()) -> StreamingQuery:
-    """Seed each file that appears in ``folder``; a batch that runs again replaces what it wrote."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.html").load(folder)
-    pages = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"), decode_html(F.col("content")).alias("html"))
+    """Seed each file that appears in ``folder`` or changes there; a batch that runs again replaces what it wrote."""
+    filings_source.register(spark)
+    pages = spark.readStream.format("filings").load(folder).select("source_file", "html")
 
     def put(batch, _):
         init_store(batch.sparkSession, store, settings.embedding_dimensions)
