@@ -58,18 +58,23 @@ _SCHEMA = "answer string, provider string, tier string, tokens_in long, failures
 BATCH = 16
 
 
-def _ask_chain(prompt: str, chain: list[str], clients: dict[str, Provider], breaker: Breaker) -> dict:
-    """The first answer that isn't blank, judged without its reasoning blocks; why the providers before it gave none."""
+def _ask_chain(prompt: str, chain: list[str], clients: dict[str, Provider], breaker: Breaker, models: dict[str, str] | None = None) -> dict:
+    """The first answer that isn't blank, judged without its reasoning blocks; why the providers before it gave none.
+
+    ``models``: of a provider the model to ask, whose client is called ``provider/model``.
+    """
     failures, out = [], {"answer": None, "provider": None}
     for name in chain:
-        if name not in clients:
+        model = (models or {}).get(name)
+        client = clients.get(f"{name}/{model}" if model else name)
+        if client is None:
             failures.append((name, "no_credentials"))
             continue
         if not breaker.allows(name):
             failures.append((name, "circuit_open"))
             continue
         try:
-            text = _BLOCKS.sub("", clients[name](prompt)).strip()
+            text = _BLOCKS.sub("", client(prompt)).strip()
             breaker.told(name, bool(text))
             if text:
                 out = {"answer": text, "provider": name}
@@ -83,11 +88,16 @@ def _ask_chain(prompt: str, chain: list[str], clients: dict[str, Provider], brea
     return out | {"failures": [{"provider": p, "reason": r} for p, r in failures]}
 
 
+def _models(settings: Settings, tier: str | None) -> dict[str, str]:
+    return {p: m for t, p, m in settings.tier_models if t == tier}
+
+
 def ask_providers(prompts: DataFrame, providers: Callable[[], dict[str, Provider]], settings: Settings = Settings(), count: Callable[[str], int] = count_words,
                   ledger: str | None = None, batch: int = BATCH, breaker: Callable[[], Breaker] = Breaker) -> DataFrame:
     """``prompts`` (query_id, tier, prompt) -> (query_id, answer, provider, tier, tokens_in, failures) by each row's chain.
 
-    ``providers`` builds the clients, once per task. A blank answer counts as a failure, judged
+    ``providers`` builds the clients, once per task: by provider, and by ``provider/model`` for
+    the models that ``settings`` gives a tier. A blank answer counts as a failure, judged
     without its reasoning blocks. Where all fail, answer and provider are null. With a ``ledger``,
     a folder that all executors reach, answers are kept there by prompt and provider: see ``_recorded``.
     """
@@ -99,7 +109,7 @@ def ask_providers(prompts: DataFrame, providers: Callable[[], dict[str, Provider
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clients, guard = providers(), breaker()
         for pdf in frames:
-            out = [_ask_chain(prompt, settings.chain(tier), clients, guard) for tier, prompt in zip(pdf["tier"], pdf["prompt"])]
+            out = [_ask_chain(prompt, settings.chain(tier), clients, guard, _models(settings, tier)) for tier, prompt in zip(pdf["tier"], pdf["prompt"])]
             yield pd.DataFrame({"query_id": pdf["query_id"], **{c: [x[c] for x in out] for c in ("answer", "provider")}, "tier": pdf["tier"], "tokens_in": [count(p) for p in pdf["prompt"]], "failures": [x["failures"] for x in out]})
 
     return rows.mapInPandas(run, f"query_id {kind}, {_SCHEMA}")
@@ -128,7 +138,7 @@ def _recorded(rows: DataFrame, providers: Callable, settings: Settings, count: C
     spark = rows.sparkSession
     keyed = kept(rows.withColumn("key", F.sha2(F.coalesce("prompt", F.lit("")), 256)), "prompts")
     tiers = [r["tier"] for r in keyed.select("tier").distinct().collect()]  # of three kinds
-    chains = {t: settings.chain(t) for t in tiers}
+    chains, models = {t: settings.chain(t) for t in tiers}, {t: _models(settings, t) for t in tiers}
     in_chain = reduce(lambda a, b: a | b, (F.col("tier").eqNullSafe(t) & F.col("provider").isin(c) for t, c in chains.items()), F.lit(False))
     known = read_ledger(spark, ledger).where(in_chain).groupBy("key", "tier").agg(F.min(F.struct("answer", "provider", "failures")).alias("a")).select("key", "tier", "a.*")
     known = kept(known.join(keyed.select(F.col("key").alias("k"), F.col("tier").alias("t")).distinct(), (F.col("key") == F.col("k")) & F.col("tier").eqNullSafe(F.col("t")), "left_semi"), "known-answers")
@@ -143,7 +153,7 @@ def _recorded(rows: DataFrame, providers: Callable, settings: Settings, count: C
             name = hashlib.sha256("\n".join([this_run, *(f"{k} {t}" for k, t, _ in r)]).encode()).hexdigest() + ".json"
             out = place.read(name)
             if out is None:
-                out = [{"key": key, "tier": tier} | _ask_chain(prompt, chains[tier], clients, guard) for key, tier, prompt in r]
+                out = [{"key": key, "tier": tier} | _ask_chain(prompt, chains[tier], clients, guard, models[tier]) for key, tier, prompt in r]
                 place.write(name, out)
             yield pd.DataFrame({"key": [k for k, *_ in r], "tier": [t for _, t, _ in r], **{c: [x[c] for x in out] for c in ("answer", "provider", "failures")}})
 

@@ -92,3 +92,15 @@ def test_circuit_breaker(spark, tmp_path):
     now[0] = 30.0
     b.told("openai", True)
     assert b.allows("openai")
+
+
+def test_a_tier_asks_its_model(spark):
+    settings = Settings(tier_models=(("simple", "groq", "small"), ("complex", "openai", "large")))
+    assert settings.chain("simple")[0] == "groq" and settings.chain("normal")[0] == "openai" and settings.tier_model("simple", "groq") == "small" and settings.tier_model("normal", "groq") is None
+    for bad in ((("none", "groq", "m"),), (("simple", "groq", " "),)):
+        with pytest.raises(ValueError):
+            Settings(tier_models=bad)
+    clients = lambda: {"groq": lambda p: "plain", "groq/small": lambda p: "small", "openai": lambda p: "own"}
+    df = spark.createDataFrame([(1, "simple", "p"), (2, "normal", "p"), (3, "complex", "p")], "query_id long, tier string, prompt string")
+    got = {r.query_id: (r.answer, r.provider, [f.reason for f in r.failures]) for r in answering.ask_providers(df, clients, settings).collect()}
+    assert got == {1: ("small", "groq", []), 2: ("own", "openai", []), 3: ("plain", "groq", ["no_credentials"])}
