@@ -170,7 +170,15 @@ def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _predict(shared):
+def _judged(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language with the shortest code, its score, and its bits a byte."""
+    bits = code_lengths(model, texts)
+    gap = np.minimum(bits - bits.min(1, keepdims=True), 1000)
+    # of equal ones the first language by name
+    return bits.argmin(1), 1 / np.exp2(-gap).sum(1), bits.min(1) / [len(t.encode()) for t in texts]
+
+
+def _predict(shared, fold_above: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (part for b in batches for part in slices(b, "text", _BYTES, _ROWS)):
@@ -179,12 +187,13 @@ def _predict(shared):
             lang, score, cost = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             at = np.flatnonzero(known)
             if len(at) and model.languages:
-                bits = code_lengths(model, [texts[i] for i in at])
-                best = bits.argmin(1)  # of equal ones the first language by name
-                gap = np.minimum(bits - bits.min(1, keepdims=True), 1000)
-                score[at] = 1 / np.exp2(-gap).sum(1)
+                best, score[at], cost[at] = _judged(model, [texts[i] for i in at])
+                odd = np.flatnonzero(cost[at] >= fold_above)
+                if len(odd):
+                    low, sure, bits = _judged(model, [texts[i].lower() for i in at[odd]])
+                    less = bits < cost[at[odd]]
+                    best[odd[less]], score[at[odd[less]]], cost[at[odd[less]]] = low[less], sure[less], bits[less]
                 lang[at] = np.array(model.languages, dtype=object)[best]
-                cost[at] = bits.min(1) / [len(texts[i].encode()) for i in at]
             keep = batch.drop_columns(["text", "letters"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64(), from_pandas=True)], [*keep.schema.names, "lang_pred", "score", "bits_per_byte"])
 
@@ -195,12 +204,13 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str = "text", fold_above: float = np.inf) -> DataFrame:
     """``df`` without the text, with ``lang_pred``, ``score`` and ``bits_per_byte``.
 
     The score is the winner's share when each language weighs two to the minus its code length;
     ``bits_per_byte`` is that length by the text's bytes. A text that is null or has no letter, or
-    a model without languages, gives ``und``, 0 and null. Other columns keep their names, but for
+    a model without languages, gives ``und``, 0 and null. A text of ``fold_above`` bits a byte or
+    more is judged by its lower-cased form, if that is cheaper. Other columns keep their names, but for
     those of the result, which replace columns of the same name. Rows are judged one by one, so
     repeated ones come out alike.
     """
@@ -209,7 +219,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     kept = [F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(rest)]  # so that no name clashes on the way
     ready = df.select(*kept, has_letter(F.col(text_col)).alias("letters"), text_or_empty(text_col).alias("text"))
     schema = ", ".join([*(f"kept{k} {column_type(df, c)}" for k, c in enumerate(rest)), "lang_pred string, score double, bits_per_byte double"])
-    found = ready.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model)), schema)
+    found = ready.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model), fold_above), schema)
     return found.select(*(F.col(f"kept{k}").alias(c) for k, c in enumerate(rest)), "lang_pred", "score", "bits_per_byte")
 
 

@@ -11,6 +11,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -74,6 +75,13 @@ def _each(t, pieces: list[str]) -> list[list[int]]:
     return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+def _all_bytes(lists: list[list[int]]) -> list[bytes]:
+    """Each list's ids as bytes, cut from those of all."""
+    ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) * 4
+    every = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+    return [every[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -153,7 +161,7 @@ class Encoder(_Memo):
     def values(self, words: list[str]) -> list[bytes]:
         """Ids with the space before them; b"x" marks what must not be cut off from its text."""
         good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        found = dict(zip(good, map(_bytes, _each(self.t, [" " + w for w in good]))))
+        found = dict(zip(good, _all_bytes(_each(self.t, [" " + w for w in good]))))
         return [found.get(w, b"x") for w in words]
 
     def join(self, core: bytes, tail: str) -> bytes:
@@ -208,7 +216,7 @@ class Encoder(_Memo):
                 out.append(b"")
         want = {w for w in heads if w is not None}
         bare = [w for w in want if w not in self.heads]
-        start = dict(zip(bare, map(_bytes, _each(self.t, bare))))
+        start = dict(zip(bare, _all_bytes(_each(self.t, bare))))
         for w in want.difference(start):
             start[w] = self.heads[w]
         if len(self.heads) < MEMO_ENTRIES // 8:
