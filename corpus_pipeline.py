@@ -43,14 +43,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
     if not model.languages:
         return docs.where(language_id.has_letter(F.col("text")))
-    first = language_id.predict(docs.select(F.struct("*").alias("doc"), F.col("text").alias("text")), model)
-    known = F.col("lang_pred") != language_id.UNKNOWN
-    short = F.col("bits_per_byte") < PLAIN_BITS
-    # only the few that look foreign are priced again: they may be all in capitals
-    again = first.select("doc", F.when(known & short, F.col("lang_pred")).alias("said"), F.when(known & ~short, F.lower("doc.text")).alias("text"))
-    found = language_id.predict(again, model)
-    lang = F.coalesce("said", F.when(short, F.col("lang_pred")))
-    return found.where(lang.isNotNull()).select(*(F.coalesce("doc.lang", lang).alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    found = language_id.predict(docs.select(F.struct("*").alias("doc"), F.col("text").alias("text")), model, fold_above=PLAIN_BITS)
+    good = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < PLAIN_BITS))
+    return good.select(*(F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
