@@ -11,12 +11,14 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers, at about 180 bytes each; longer ones than LONG aren't remembered.
-MEMO_ENTRIES, LONG = 400_000, 64
+#: The first FREE come in at once, others when they come again in another slice of texts.
+MEMO_ENTRIES, FREE, LONG = 500_000, 200_000, 64
+#: Words that are encoded as lines of one text.
+_AT_ONCE = 512
 #: Longer texts are encoded by parts of about so many characters, where the tokenizer allows it.
 PART_CHARS = 1 << 18
 #: Marks that never share a token with a letter before them, in either tokenizer.
@@ -75,22 +77,15 @@ def _each(t, pieces: list[str]) -> list[list[int]]:
     return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def _all_bytes(lists: list[list[int]]) -> list[bytes]:
-    """Each list's ids as bytes, cut from those of all."""
-    ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) * 4
-    every = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
-    return [every[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
 class _Memo:
-    """What comes first is remembered, and with it what comes often; the rest is encoded each time."""
+    """What comes first is remembered, and then what comes again; the rest is encoded each time."""
 
     def __init__(self, path: str):
-        self.t, self.memo = load(path), {}
+        self.t, self.memo, self.met = load(path), {}, bytearray(1 << 22)  # met: by hash, what has come before
 
     def learn(self, words: set[str]) -> dict:
         """Values of words that the memo lacks; a letter and marks after it are encoded apart."""
@@ -107,7 +102,15 @@ class _Memo:
                 new[w] = self.join(get(core) if value is None else value, tail)
         room = MEMO_ENTRIES - len(self.memo)
         if room > 0:
-            self.memo.update([(w, x) for w, x in new.items() if len(w) <= LONG][:room])
+            keep, met, last = [], self.met, len(self.met) - 1
+            free = FREE - len(self.memo)
+            for w, x in new.items():
+                if len(w) <= LONG:
+                    at = hash(w) & last
+                    if met[at] or len(keep) < free:
+                        keep.append((w, x))
+                    met[at] = 1
+            self.memo.update(keep[:room])
         return new
 
 
@@ -154,14 +157,29 @@ class Encoder(_Memo):
         super().__init__(path)
         self.by_word, self.marks = starts_words_at_spaces(path), {}
         self.newline, self.heads = self.whole("\n"), {}  # heads: first words of lines
+        self.line_end = int.from_bytes(self.newline, "little") if len(self.newline) == 4 else -1
 
     def whole(self, text: str) -> bytes:
         return _bytes(self.t.encode(text, add_special_tokens=False).ids)
 
+    def _lines(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words that neither begin nor end with white space, many at a time as lines of one text: a newline between them is a token alone."""
+        out = []
+        some = [words[a:a + _AT_ONCE] for a in range(0, len(words), _AT_ONCE)]
+        for group, e in zip(some, self.t.encode_batch_fast(["\n".join([lead + w for w in x]) for x in some], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) == len(group) - 1:
+                data, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+                out += [data[a + 4 * (k > 0):b] for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+            else:
+                out += map(_bytes, _each(self.t, [lead + w for w in group]))
+        return out
+
     def values(self, words: list[str]) -> list[bytes]:
         """Ids with the space before them; b"x" marks what must not be cut off from its text."""
         good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        found = dict(zip(good, _all_bytes(_each(self.t, [" " + w for w in good]))))
+        found = dict(zip(good, self._lines(good, " ")))
         return [found.get(w, b"x") for w in words]
 
     def join(self, core: bytes, tail: str) -> bytes:
@@ -216,7 +234,7 @@ class Encoder(_Memo):
                 out.append(b"")
         want = {w for w in heads if w is not None}
         bare = [w for w in want if w not in self.heads]
-        start = dict(zip(bare, _all_bytes(_each(self.t, bare))))
+        start = dict(zip(bare, self._lines(bare, "")))
         for w in want.difference(start):
             start[w] = self.heads[w]
         if len(self.heads) < MEMO_ENTRIES // 8:

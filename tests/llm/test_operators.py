@@ -261,3 +261,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids("near_dedup") == sorted([*range(1, 40), 100], key=str)
     assert set(ids("mix_sources")) <= set(ids("near_dedup")) and docs.columns[0] == "doc_id"
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_words_encoded_as_lines_are_the_librarys(monkeypatch):
+    r = random.Random(12)
+    monkeypatch.setattr(memo, "_AT_ONCE", 7)
+    monkeypatch.setattr(memo, "MEMO_ENTRIES", 60)
+    monkeypatch.setattr(memo, "FREE", 20)
+    own = memo.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    alphabet = ["a", "Be", "'s", "1", ".", "é", "𝔸", "<|endoftext|>", "\x1c", "\xa0", "日"]
+    for _ in range(8):
+        texts = [" ".join("".join(r.choice(alphabet) for _ in range(r.randint(1, 6))) + r.choice(("", "", ",", "\n", "\n\n")) for _ in range(r.randint(1, 40))) for _ in range(30)]
+        want = [e.ids for e in own.t.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert len(own.memo) == 60
