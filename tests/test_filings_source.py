@@ -57,3 +57,20 @@ def test_stream_agrees_with_batch_and_starts_again(spark, tmp_path):
     assert run() == want == run()
     last = {r.source_file: r.html for r in spark.read.format("filings").load(str(folder)).collect()}
     assert last == {"a.html": "changed", "b.html": "two", "c.html": "three"} and set(last.items()) <= set(want)
+
+
+def test_parsed_documents_are_written_as_files(spark, tmp_path):
+    import json
+
+    from corpusloom.operators import filings
+
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "aapl-2024.html", "<TYPE>10-K\n<FILENAME>aapl-2024.htm\n<p>Item 1A. Risk Factors</p><p>One two</p><p>Item 1B. Unresolved</p>", 100)
+    write(tmp_path / "in", "zz-10Q.html", "nothing", 100)
+    docs = filings.parse(store.read_html(spark, str(tmp_path / "in")))
+    assert store.write_json_files(docs, str(tmp_path / "parsed")) == 2
+    one, two = (json.loads((tmp_path / "parsed" / f"{n}.json").read_text()) for n in ("aapl-2024", "zz-10Q"))
+    assert list(one) == ["source_file", "ticker", "filing_type", "fiscal_period", "filename", "warnings", "sections"]
+    assert (one["ticker"], one["filing_type"], one["fiscal_period"], [s["section"] for s in one["sections"]]) == ("aapl", "10-K", None, ["Item 1A Risk Factors"])
+    assert one["sections"][0]["text"].endswith("One two") and one["sections"][0]["word_count"] == 6 and len(one["warnings"]) == 1
+    assert (two["ticker"], two["filing_type"], two["sections"], len(two["warnings"])) == ("zz", "10Q", [], 2)
