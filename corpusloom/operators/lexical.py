@@ -277,7 +277,9 @@ def _chosen(index: Index, asked: _Asked, k: int) -> DataFrame:
     best = top_k(_scored(index, asked, first).where("score > 0"), index.keys, k)
     kth = kept(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "bm25-kth")
     # scores are compared by six digits; what rounding can have moved stays in
-    return asked.bounds.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("kth"))).select("query_id", "range")
+    good = F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("kth"))
+    # written, so that Spark knows whether it is small enough to be sent to the postings
+    return kept(asked.bounds.join(kth, "query_id", "left").where(good).select("query_id", "range"), "bm25-chosen")
 
 
 def scores(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
