@@ -43,7 +43,7 @@ def term_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """An index at a snapshot: ``blocks`` of postings, ``frequencies`` of terms, ``gone`` (keys, last: what older segments have lost)."""
+    """An index at a snapshot: ``blocks`` of postings, ``frequencies`` of terms, ``gone`` (range, key: what segments have lost); ``unique``: no two chunks share their keys."""
 
     keys: list[str]
     chunks: int
@@ -53,16 +53,22 @@ class Index:
     blocks: DataFrame
     frequencies: DataFrame
     gone: DataFrame | None
+    unique: bool = False
 
 
 # A block holds the postings of one term in one range of chunks: RANGE that stand together in the
 # input. Most and fewest are of those postings, so that no chunk's share of a score exceeds what
 # they give. Blocks of a term lie in one bucket, which is a folder, and in several files of it.
-RANGE, BUCKETS, SPREAD = 64, 32, 4
+# The block of the term EVERY, which no text has, lists a range's chunks.
+RANGE, BUCKETS, SPREAD, EVERY = 64, 32, 4, ""
+#: Written in each snapshot; an index of another layout has to be built anew.
+LAYOUT = 2
 #: Distinct terms of a batch that the scan is narrowed to, by bucket and name; a larger batch reads all.
 NAMED_TERMS = 500
 #: Ranges of the best bounds that give a query's first k-th score.
 FIRST = 4
+#: Queries that are searched for at once, their weights sent to all tasks; more go in several rounds.
+QUERIES_AT_ONCE = 1_000
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -81,7 +87,7 @@ def _write_segment(chunks: DataFrame, keys: list[str], folder: str, name: str, t
     tasks = _tasks(chunks.sparkSession)
     dealt = chunks.select(F.struct(*keys).alias("key"), F.col(text).alias("text"), number.alias("range")).where("text is not null").repartition(tasks, "range")
     split = dealt.select("range", "key", tokenize(F.col("text")).alias("tokens"))
-    counted = split.select("range", "key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("range", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counted = split.select("range", "key", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("term")).groupBy("range", "term", "key", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     blocks = counted.groupBy("range", "term").agg(F.max("tf").alias("most"), F.min("dl").alias("fewest"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("key", "dl", "tf")).alias("postings"))
     placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(tasks, "bucket", F.pmod("range", F.lit(SPREAD)))
     placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
@@ -101,10 +107,10 @@ def _read(spark: SparkSession, folder: str, content: dict, name: str, segments:
     """A table of all segments, with the segment's number; what a segment has lost is in its counts already."""
     key = content["key"]
     schema = {
-        "keys": f"key {key}", "gone": f"key {key}", "frequencies": "term string, df long, tokens long",
+        "keys": f"key {key}", "gone": f"key {key}", "lost": f"range long, key {key}", "frequencies": "term string, df long, tokens long",
         "blocks": f"range long, term string, most int, fewest int, df long, tokens long, postings array<struct<key:{key},dl:int,tf:int>>, bucket int",
     }[name]
-    at = lambda s: s.get("counts", s["data"]) if name == "frequencies" else s["data"]
+    at = lambda s: s.get("counts", s["data"]) if name in ("frequencies", "lost") else s["data"]
     parts = [spark.read.schema(schema).parquet(f"{folder}/{at(s)}/{name}").withColumn("seq", F.lit(s["seq"])) for s in (content["segments"] if segments is None else segments)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -118,10 +124,12 @@ def _merged(spark: SparkSession, folder: str, content: dict) -> DataFrame:
 
 
 def _open(spark: SparkSession, folder: str, content: dict) -> Index:
+    if content.get("layout") != LAYOUT:
+        raise ValueError(f"the index in {folder} has another layout; build it anew")
     lost = [s for s in content["segments"] if s["loses"]]
-    gone = _read(spark, folder, content, "gone", lost).groupBy("key").agg(F.max("seq").alias("last")) if lost else None
+    gone = _read(spark, folder, content, "lost", lost).drop("seq") if lost else None
     avgdl = content["tokens"] / content["n"] if content["n"] else None
-    return Index(content["keys"], content["n"], avgdl, content["floor"], content["buckets"], _read(spark, folder, content, "blocks"), _merged(spark, folder, content), gone)
+    return Index(content["keys"], content["n"], avgdl, content["floor"], content["buckets"], _read(spark, folder, content, "blocks"), _merged(spark, folder, content), gone, all(s["unique"] for s in content["segments"]))
 
 
 def build_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content", buckets: int = BUCKETS) -> Index:
@@ -133,7 +141,7 @@ def build_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "co
     """
     table, key = Snapshots(chunks.sparkSession, folder), chunks.select(F.struct(*keys).alias("key")).schema["key"].dataType.simpleString()
     segment = _segment(table, chunks, keys, text, buckets)
-    content = {"keys": keys, "key": key, "buckets": buckets, "segments": [segment | {"seq": 1}], "next": 2, "n": segment["n"], "tokens": segment["tokens"]}
+    content = {"layout": LAYOUT, "keys": keys, "key": key, "buckets": buckets, "segments": [segment | {"seq": 1}], "next": 2, "n": segment["n"], "tokens": segment["tokens"]}
     content["floor"] = _floor(_merged(table.spark, table.folder, content), content["n"])
     table.update(lambda old: content)
     return _open(table.spark, table.folder, content)
@@ -143,18 +151,19 @@ def _segment(table: Snapshots, chunks: DataFrame, keys: list[str], text: str, bu
     name, spark = table.new_data(), table.spark
     at = f"{table.folder}/{name}"
     _write_segment(chunks, keys, table.folder, name, text, buckets)
-    counts = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/blocks").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+    counts = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/blocks").where(F.col("term") != EVERY).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
     _write_frequencies(counts, f"{at}/frequencies")
     tokens = spark.read.schema("tokens long").parquet(f"{at}/frequencies").agg(F.sum("tokens")).first()[0] or 0
-    return {"data": name, "n": spark.read.parquet(f"{at}/keys").count(), "tokens": tokens, "loses": False}
+    n, different = spark.read.parquet(f"{at}/keys").groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return {"data": name, "n": n, "unique": n == different, "tokens": tokens, "loses": False}
 
 
 def put(spark: SparkSession, folder: str, chunks: DataFrame | None, removed: DataFrame | None = None, text: str = "content") -> Index:
     """Add chunks to an index, in place of those with the same keys, and drop those of ``removed`` (keys); one commit.
 
     The new chunks are a segment of their own. What older segments lose is named beside it, with
-    its counts to be taken off the statistics, for which the lost chunks' postings are looked up
-    once. If another writer publishes first, they are counted again on what it left.
+    its counts to be taken off the statistics, for which the lost chunks are looked up in the lists
+    of their ranges, and their postings by range. If another writer publishes first, they are counted again on what it left.
     """
     table = Snapshots(spark, folder)
     version, content = table.read()
@@ -171,10 +180,14 @@ def put(spark: SparkSession, folder: str, chunks: DataFrame | None, removed: Dat
         lost = spark.read.schema(key).parquet(f"{at}/gone").withColumnRenamed("key", "lost")
         own = F.col("key").eqNullSafe(F.col("lost"))
         n = _live_keys(spark, folder, content).join(lost, own, "left_semi").count()
-        old = _live(_open(spark, folder, content)).select("term", F.inline("postings")).join(lost, own, "left_semi")
-        minus = old.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("tokens"))
-        fresh = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/frequencies")
         counts = table.new_data()  # of this attempt alone
+        index = _open(spark, folder, content)
+        _listed(index).join(lost, own, "left_semi").write.parquet(f"{folder}/{counts}/lost")
+        old = _by_range(spark.read.schema(f"range long, key {content['key']}").parquet(f"{folder}/{counts}/lost"), "lost")
+        tfs = F.transform(F.filter("postings", lambda p: F.array_contains("lost", p["key"])), lambda p: p["tf"])
+        taken = index.blocks.where(F.col("term") != EVERY).select("range", "term", "postings").join(old, "range").select("term", tfs.alias("tfs"))
+        minus = taken.groupBy("term").agg((-F.sum(F.size("tfs"))).alias("df"), (-F.sum(_total("tfs"))).alias("tokens"))
+        fresh = spark.read.schema("term string, df long, tokens long").parquet(f"{at}/frequencies")
         _write_frequencies(fresh.unionByName(minus).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")), f"{folder}/{counts}/frequencies")
         tokens = spark.read.schema("tokens long").parquet(f"{folder}/{counts}/frequencies").agg(F.sum("tokens")).first()[0] or 0
         added = segment | {"seq": content["next"], "loses": True, "counts": counts}
@@ -188,14 +201,30 @@ def put(spark: SparkSession, folder: str, chunks: DataFrame | None, removed: Dat
 
 
 def _live_keys(spark: SparkSession, folder: str, content: dict) -> DataFrame:
-    rows, gone = _read(spark, folder, content, "keys"), _open(spark, folder, content).gone
-    return rows if gone is None else _not_gone(rows, gone)
+    """(key, seq) of all chunks, null ones too, that no later segment has replaced or dropped."""
+    rows, lost = _read(spark, folder, content, "keys"), [s for s in content["segments"] if s["loses"]]
+    if not lost:
+        return rows
+    last = _read(spark, folder, content, "gone", lost).groupBy("key").agg(F.max("seq").alias("last")).withColumnRenamed("key", "replaced")
+    return rows.join(last, F.col("key").eqNullSafe(F.col("replaced")), "left").where(F.col("last").isNull() | (F.col("seq") >= F.col("last"))).select(*rows.columns)
 
 
-def _not_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` (key, seq, ...) that no later segment has replaced or dropped."""
-    last = gone.withColumnRenamed("key", "replaced")
-    return rows.join(last, F.col("key").eqNullSafe(F.col("replaced")), "left").where(F.col("last").isNull() | (F.col("seq") >= F.col("last"))).select(*rows.columns)
+def _listed(index: Index) -> DataFrame:
+    """(range, key) of the chunks that have a text and are not lost."""
+    rows = index.blocks.where((F.col("bucket") == _bucket(F.lit(EVERY), index.buckets)) & (F.col("term") == EVERY)).select("range", F.inline("postings")).select("range", "key")
+    if index.gone is None:
+        return rows
+    gone = index.gone.select(F.col("range").alias("of"), F.col("key").alias("lost"))
+    return rows.join(gone, (F.col("range") == F.col("of")) & F.col("key").eqNullSafe(F.col("lost")), "left_anti")
+
+
+def _by_range(lost: DataFrame, name: str) -> DataFrame:
+    """(range, its lost keys); a range has no more than RANGE."""
+    return lost.groupBy("range").agg(F.collect_set("key").alias(name))
+
+
+def _total(numbers: str) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def compact(spark: SparkSession, folder: str) -> Index:
@@ -208,7 +237,7 @@ def compact(spark: SparkSession, folder: str) -> Index:
         rows = _live(index).drop("seq")
         rows.repartition(_tasks(spark), "bucket", F.pmod("range", F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
         _write_frequencies(index.frequencies, f"{folder}/{name}/frequencies")
-        segment = {"data": name, "n": content["n"], "tokens": content["tokens"], "loses": False, "seq": content["next"] - 1}
+        segment = {"data": name, "n": content["n"], "unique": all(s["unique"] for s in content["segments"]), "tokens": content["tokens"], "loses": False, "seq": content["next"] - 1}
         try:
             table.publish(version + 1, {**content, "segments": [segment]})
         except Conflict:
@@ -227,11 +256,13 @@ def open_index(spark: SparkSession, folder: str, keys: list[str] | None = None,
 
 
 def _live(index: Index) -> DataFrame:
-    """Blocks without the postings that later segments have replaced or dropped."""
+    """Blocks without the postings that later segments have replaced or dropped; what a range has lost comes to its blocks."""
     if index.gone is None:
         return index.blocks
-    rows = index.blocks.select("seq", "range", "term", "bucket", F.inline("postings"))
-    return _not_gone(rows, index.gone).groupBy("range", "term", "bucket").agg(F.max("tf").alias("most"), F.min("dl").alias("fewest"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("key", "dl", "tf")).alias("postings"), F.max("seq").alias("seq"))
+    left = F.filter("postings", lambda p: ~F.array_contains("dead", p["key"]))
+    rows = index.blocks.join(_by_range(index.gone, "dead"), "range", "left").withColumn("postings", F.when(F.col("dead").isNull(), F.col("postings")).otherwise(left)).where(F.size("postings") > 0)
+    rows = rows.withColumns({"tfs": F.transform("postings", lambda p: p["tf"]), "dls": F.transform("postings", lambda p: p["dl"])})
+    return rows.select("range", "term", F.array_max("tfs").alias("most"), F.array_min("dls").alias("fewest"), F.size("tfs").cast("long").alias("df"), _total("tfs").alias("tokens"), "postings", "bucket", "seq")
 
 
 @dataclass(frozen=True)
@@ -241,19 +272,37 @@ class _Asked:
     bounds: DataFrame
 
 
-def _ask(index: Index, queries: DataFrame, query: str) -> _Asked:
-    """Weights of the queries' terms, the part of the index that has them, and by query and range the most that a chunk there can score."""
+def _weights(index: Index, queries: DataFrame, query: str) -> DataFrame:
+    """(query_id, term, weight, in), written: weights of the queries' terms that the index has, and their buckets."""
     asked = queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     n = F.lit(index.chunks)
     raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     idf = F.when(raw >= 0, raw).otherwise(F.lit(index.floor).cast("double"))
-    weights = kept(asked.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"), _bucket(F.col("term"), index.buckets).alias("in")), "bm25-terms")
+    return kept(asked.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"), _bucket(F.col("term"), index.buckets).alias("in")), "bm25-terms")
+
+
+def _rounds(index: Index, queries: DataFrame, query: str) -> list[_Asked]:
+    """What is asked, by rounds of about ``QUERIES_AT_ONCE`` queries."""
+    weights = _weights(index, queries, query)
+    n = -(-weights.select("query_id").distinct().count() // QUERIES_AT_ONCE)
+    return [_ask(index, weights if n <= 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == r)) for r in range(max(n, 1))]
+
+
+def _ask(index: Index, weights: DataFrame) -> _Asked:
+    """The part of the index that has the queries' terms, and by query and range the most that a chunk there can score.
+
+    Blocks come together by range, before they meet the queries: what is added up for a range and a
+    query, or a chunk and a query, is then added up where it is.
+    """
     named, blocks = weights.select("in", "term").distinct().limit(NAMED_TERMS + 1).collect(), index.blocks
     if len(named) <= NAMED_TERMS:  # more terms are in every bucket
         blocks = blocks.where(F.col("bucket").isin(sorted({r["in"] for r in named})) & F.col("term").isin([r["term"] for r in named]))
+    else:
+        blocks = blocks.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
     weights = weights.drop("in")
     most = F.greatest(_part(index, F.col("weight"), F.col("most"), F.col("fewest")), F.lit(0.0))  # a chunk may lack a term that weighs less than nothing
-    bounds = blocks.select("term", "range", "most", "fewest").join(weights, "term").groupBy("query_id", "range").agg(F.sum(most).alias("bound"))
+    dealt = blocks.select("term", "range", "most", "fewest").repartition(_tasks(weights.sparkSession), "range")
+    bounds = dealt.join(F.broadcast(weights), "term").groupBy("range", "query_id").agg(F.sum(most).alias("bound")).select("query_id", "range", "bound")
     return _Asked(weights, blocks, kept(bounds, "bm25-bounds"))
 
 
@@ -263,22 +312,33 @@ def _part(index: Index, weight: Column, tf: Column, dl: Column) -> Column:
 
 def _scored(index: Index, asked: _Asked, ranges: DataFrame) -> DataFrame:
     """(query_id, *keys, score) of all live chunks of the ranges (query_id, range) that share a term with the query."""
-    hits = asked.blocks.select("term", "range", "seq", "postings").join(asked.weights, "term").join(ranges, ["query_id", "range"])
-    rows = hits.select("query_id", "weight", "seq", F.inline("postings"))
+    tasks = _tasks(asked.weights.sparkSession)
+    wanted = ranges.groupBy("range").agg(F.collect_set("query_id").alias("asking"))  # no longer than a round
+    if index.gone is not None:
+        wanted = wanted.join(_by_range(index.gone, "dead"), "range", "left")
+    blocks = asked.blocks.select("term", "range", "postings").repartition(tasks, "range").join(wanted.repartition(tasks, "range").hint("shuffle_hash"), "range")
     if index.gone is not None:
-        rows = _not_gone(rows, index.gone)
-    return rows.groupBy("query_id", "key").agg(F.sum(_part(index, F.col("weight"), F.col("tf"), F.col("dl"))).alias("score")).select("query_id", "key.*", "score")
+        blocks = blocks.withColumn("postings", F.when(F.col("dead").isNull(), F.col("postings")).otherwise(F.filter("postings", lambda p: ~F.array_contains("dead", p["key"]))))
+    hits = blocks.join(F.broadcast(asked.weights), "term").where(F.array_contains("asking", F.col("query_id")))
+    rows = hits.select("range", "query_id", "weight", F.inline("postings"))
+    # chunks that share their keys may lie in several ranges
+    return rows.groupBy(*(["range"] if index.unique else []), "query_id", "key").agg(F.sum(_part(index, F.col("weight"), F.col("tf"), F.col("dl"))).alias("score")).select("query_id", "key.*", "score")
 
 
 def _chosen(index: Index, asked: _Asked, k: int) -> DataFrame:
-    """(query_id, range) of the ranges that may hold one of a query's k best: those whose bound comes up to the k-th score of its FIRST best ones."""
+    """(query_id, range) of the ranges that may hold one of a query's k best: those whose bound comes up to the k-th score of its FIRST best ones.
+
+    Bounds are those of one chunk, so where chunks share their keys it is every range.
+    """
+    if not index.unique:
+        return asked.bounds.select("query_id", "range")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
     first = asked.bounds.withColumn("place", place).where(F.col("place") <= FIRST).select("query_id", "range")
     best = top_k(_scored(index, asked, first).where("score > 0"), index.keys, k)
     kth = kept(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "bm25-kth")
     # scores are compared by six digits; what rounding can have moved stays in
     good = F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("kth"))
-    # written, so that Spark knows whether it is small enough to be sent to the postings
+    # written, since it is used apart from what it is made of
     return kept(asked.bounds.join(kth, "query_id", "left").where(good).select("query_id", "range"), "bm25-chosen")
 
 
@@ -286,8 +346,7 @@ def scores(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
     """(query_id, *keys, score) of every chunk that shares a term with a query; the corpus isn't read."""
     if not index.chunks:
         return _nothing(index, queries)
-    asked = _ask(index, queries, query)
-    return _scored(index, asked, asked.bounds.select("query_id", "range"))
+    return reduce(DataFrame.unionByName, (_scored(index, asked, asked.bounds.select("query_id", "range")) for asked in _rounds(index, queries, query)))
 
 
 def _nothing(index: Index, queries: DataFrame) -> DataFrame:
@@ -299,13 +358,12 @@ def search(index: Index, queries: DataFrame, k: int, query: str = "query") -> Da
     """Chunks with a positive score, best first, as by scoring all: ranges that can't hold one of the k best are passed over."""
     if not index.chunks:
         return top_k(_nothing(index, queries), index.keys, k)
-    asked = _ask(index, queries, query)
-    return top_k(_scored(index, asked, _chosen(index, asked, k)).where("score > 0"), index.keys, k)
+    return reduce(DataFrame.unionByName, (top_k(_scored(index, asked, _chosen(index, asked, k)).where("score > 0"), index.keys, k) for asked in _rounds(index, queries, query)))
 
 
 def passed_over(index: Index, queries: DataFrame, k: int, query: str = "query") -> DataFrame:
     """(query_id, ranges, read): ranges with a term of the query, and how many of them a search for ``k`` scores."""
-    asked = _ask(index, queries, query)
+    asked = _ask(index, _weights(index, queries, query))
     read = _chosen(index, asked, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("read"))
     return asked.bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("ranges")).join(read, "query_id", "left").select("query_id", "ranges", F.coalesce("read", F.lit(0)).alias("read"))
 

@@ -123,3 +123,28 @@ def test_writers_of_an_index_at_once(spark, tmp_path):
     assert not faults and index.chunks == 62
     q = spark.createDataFrame([(1, "writer")], "query_id long, query string")
     assert [x.doc_id for x in lexical.search(index, q, 5).collect()] == [5]
+
+
+def test_scores_are_added_up_where_their_ranges_are(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    docs = corpus(r, 400)
+    queries = [(k, docs[k * 50][1] + " common") for k in range(7)]
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    at = str(tmp_path / "i")
+    lexical.build_index(frame(spark, docs), ["doc_id"], at)
+    index = lexical.put(spark, at, frame(spark, docs[:100]), spark.createDataFrame([(399,)], "doc_id long"))
+    assert index.unique and index.chunks == 399
+    plan = lexical.scores(index, q)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?(?:, (\w+)#)?", plan)
+    assert dealt and {a for a, _ in dealt} == {"range"}, dealt  # neither postings nor scores go by query or chunk
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 3)
+    same(found(lexical.search(index, q, 6)), formula(docs[:399], queries, 6))
+
+
+def test_chunks_that_share_their_keys_in_several_ranges(spark, tmp_path):
+    docs = [(k % 150, f"common w{'abc'[k % 3]}a") for k in range(300)]
+    index = lexical.build_index(frame(spark, docs), ["doc_id"], str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "waa")], "query_id long, query string")
+    assert not index.unique
+    every = {x.doc_id: round(x.score, 6) for x in lexical.scores(index, q).collect()}
+    assert {i: s for i, s in found(lexical.search(index, q, 20))[1]}.items() <= every.items()
