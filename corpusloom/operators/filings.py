@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -79,14 +78,9 @@ def clean_html(fragment: str) -> str:
     return "\n\n".join(p.done)
 
 
-@F.pandas_udf(StringType())
-def clean_text(fragments: pd.Series) -> pd.Series:
-    return fragments.map(lambda x: None if x is None else clean_html(x))
-
-
-@F.pandas_udf(StringType())
-def decode_html(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: None if x is None else decode_bytes(x))
+# By plain rows, a hundred at a time: a batch of Arrow's has 10,000 pages, whole files in Python's memory.
+clean_text = F.udf(lambda x: None if x is None else clean_html(x), StringType(), useArrow=False)
+decode_html = F.udf(lambda x: None if x is None else decode_bytes(bytes(x)), StringType(), useArrow=False)
 
 
 def section_slices(html: Column, markers: list[tuple[str, str]]) -> Column:
