@@ -93,3 +93,30 @@ def test_long_sections_split_in_one_pass():
     start = time.process_time()
     assert all(len(c) <= 1000 for c in chunking.split_text("x" * 2_000_000 + " y" * 500_000, 1000, 150))
     assert time.process_time() - start < 30
+
+
+def test_texts_come_to_python_by_few(spark):
+    from pyspark.util import PythonEvalType
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("source_file"), F.lit(0).alias("section_no"), F.repeat(F.lit("<h1>é</h1> text. "), 80).alias("text"))
+    cut = chunking.chunk_sections(docs, 300, 50)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (cut, docs.select(filings.clean_text("text")))]
+    assert all("BatchEvalPython" in p and "Arrow" not in p and "MapInPandas" not in p for p in plans)
+    plan = docs.select(filings.section_slice(F.col("text"), "<h1", "</h1>"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"pythonUDF0#\d+\], {PythonEvalType.SQL_SCALAR_ARROW_UDF}\b", plan)  # no pandas strings of a whole batch
+    one = chunking.split_text(docs.first()["text"], 300, 50)
+    assert [r.content for r in cut.where("source_file = 7").orderBy("chunk_index").collect()] == one and cut.count() == 3000 * len(one)
+
+
+def test_chunk_json_is_made_once_and_words_are_numbered_once(spark):
+    from corpusloom.sources import store
+
+    chunks = spark.createDataFrame([("a", 1, 9, "two", "T", "K", None, "s"), ("a", 0, 0, "one", "T", "K", "FY1", "s")], "source_file string, chunk_index int, char_offset int, content string, ticker string, filing_type string, fiscal_period string, section string")
+    docs = store.chunk_documents(chunks)
+    assert "json" not in docs._jdf.queryExecution().optimizedPlan().toString()
+    first, second = docs.first().chunks
+    assert (first.content, second.content) == ("one", "two") and first.metadata["fiscal_period"] == "FY1"
+    assert second.metadata == {"source_file": "a", "ticker": "T", "filing_type": "K", "fiscal_period": None, "section": "s", "chunk_index": "1", "char_offset": "9"}
+    dense._number.cache_clear()
+    dense.hashed_embedder(16)(["same words", "words same", "same"])
+    assert dense._number.cache_info().misses == 2
