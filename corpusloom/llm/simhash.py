@@ -277,17 +277,19 @@ def links(nodes: DataFrame, radius: int, width: int, lanes: int = LANES, finer=N
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) -> (node, root) for every node of an edge.
 
-    Each round every node moves to the neighbour that a fresh hash orders first, if that comes
-    before itself, and edges inside a node vanish. The hash makes the number of rounds grow with
-    the logarithm of the nodes, whatever the shape.
+    Each round every node moves to the node that a fresh hash orders first among itself, its
+    neighbours and theirs, and edges inside a node vanish. The hash makes the number of rounds grow
+    with the logarithm of the nodes, whatever the shape; a star, as links of a block are, is done in
+    one, where neighbours alone would halve it.
     """
     steps: list[DataFrame] = []
     left = materialise(edges.where("a <> b").distinct(), "edges")
     while not left.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("low"))
-        to = materialise(to.select("node", F.least(F.col("low"), order("node"))["x"].alias("to")), "moves")
+        low = both.groupBy("a").agg(F.min(order("b")).alias("low")).select(F.col("a").alias("b"), F.least(F.col("low"), order("a")).alias("low"))
+        to = both.join(low, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        to = materialise(to.select("node", F.col("low")["x"].alias("to")), "moves")
         steps.append(to)
         moved = left.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         left = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
