@@ -89,17 +89,22 @@ class _Memo:
 
     def learn(self, words: set[str]) -> dict:
         """Values of words that the memo lacks; a letter and marks after it are encoded apart."""
-        cut = {}
+        get, new, bare, cut = self.memo.get, {}, set(), []
         for w in words:
             core = w.rstrip(_TAIL)
-            cut[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1].isalpha() else (w, "")
-        get = self.memo.get
-        bare = [core for core in {core for core, _ in cut.values()} if get(core) is None]
-        new = dict(zip(bare, self.values(bare)))
-        for w, (core, tail) in cut.items():
-            if tail:
-                value = new.get(core)
-                new[w] = self.join(get(core) if value is None else value, tail)
+            if len(core) < len(w) and core and core[-1].isalpha():
+                value = get(core)
+                if value is None:
+                    bare.add(core)
+                    cut.append((w, core))
+                else:
+                    new[w] = self.join(value, w[len(core):])
+            else:
+                bare.add(w)
+        bare = list(bare)
+        new.update(zip(bare, self.values(bare)))
+        for w, core in cut:
+            new[w] = self.join(new[core], w[len(core):])
         room = MEMO_ENTRIES - len(self.memo)
         if room > 0:
             keep, met, last = [], self.met, len(self.met) - 1
@@ -166,19 +171,21 @@ class Encoder(_Memo):
         """Ids of words that neither begin nor end with white space, many at a time as lines of one text: a newline between them is a token alone."""
         out = []
         some = [words[a:a + _AT_ONCE] for a in range(0, len(words), _AT_ONCE)]
-        for group, e in zip(some, self.t.encode_batch_fast(["\n".join([lead + w for w in x]) for x in some], add_special_tokens=False)):
+        for group, e in zip(some, self.t.encode_batch_fast([lead + ("\n" + lead).join(x) for x in some], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.line_end)
             if len(cuts) == len(group) - 1:
-                data, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
-                out += [data[a + 4 * (k > 0):b] for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                out += [data[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends)]
             else:
                 out += map(_bytes, _each(self.t, [lead + w for w in group]))
         return out
 
     def values(self, words: list[str]) -> list[bytes]:
         """Ids with the space before them; b"x" marks what must not be cut off from its text."""
-        good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        good = [w for w in words if w and w.strip() == w]
+        if len(good) == len(words):
+            return self._lines(words, " ")
         found = dict(zip(good, self._lines(good, " ")))
         return [found.get(w, b"x") for w in words]
 

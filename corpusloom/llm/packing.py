@@ -11,6 +11,7 @@ each its slot.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -160,7 +161,10 @@ def _pieces(path: str, end_id: int, capacity: int):
         for batch in batches:
             for part in slices(batch, "text", _BYTES, _BATCH):
                 doc, cols = [], [[], [], [], []]
-                for row, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
+                gc.disable()  # words make no cycles, and looking for them among so many takes time
+                encoded = encoder.encode(part.column("text").to_pylist())
+                gc.enable()
+                for row, ids in enumerate(encoded):
                     ids = memoryview(ids + end)
                     n = len(ids) // 4
                     first = n - capacity * (-(-n // capacity) - 1)
