@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -325,6 +329,78 @@ def _scored(index: Index, asked: _Asked, ranges: DataFrame) -> DataFrame:
     return rows.groupBy(*(["range"] if index.unique else []), "query_id", "key").agg(F.sum(_part(index, F.col("weight"), F.col("tf"), F.col("dl"))).alias("score")).select("query_id", "key.*", "score")
 
 
+def _summed(asks: Broadcast, avgdl: float, queries: int, k: int):
+    """Rows (range, term, postings), a range's rows one after another: each range's scores are added up, and those that can be among a query's k best go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((k, queries))  # of the task so far
+
+        def scored(rows: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal best
+            postings, asked = rows.column("postings"), [asks.value[t] for t in rows.column("term").to_pylist()]
+            flat, of, weights = postings.flatten(), np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])
+            key = flat.field("key")
+            tf, dl = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "dl"))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            # a chunk's number in the range, by its key's fields
+            slot = np.zeros(len(flat), np.int64)
+            for c in key.flatten():
+                code = c.dictionary_encode("encode")
+                slot = slot * len(code.dictionary) + code.indices.to_numpy()
+                slot = np.unique(slot, return_inverse=True)[1].ravel()
+            first = np.unique(slot, return_index=True)[1]
+            # every posting meets every query that asks for its term
+            size, many = postings.value_lengths().to_numpy(zero_copy_only=False), np.array([len(x[0]) for x in asked])
+            many, start = np.repeat(many, size), np.repeat(np.cumsum(many) - many, size)
+            place = np.repeat(np.arange(len(flat)), many)
+            at = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + start[place]
+            score = np.bincount(slot[place] * queries + of[at], weights[at] * part[place], len(first) * queries).reshape(-1, queries)
+            best = np.partition(np.concatenate([best, score]), len(score), axis=0)[len(score):]
+            # scores are compared by six digits
+            who, q = np.nonzero((score > 0) & (score >= best[0] - 2e-6))
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), key.take(pa.array(first[who])), pa.array(score[who, q])], ["q", "key", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            number = batch.column("range").to_numpy()
+            edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for lo, hi in zip(edges, edges[1:]):
+                if held and held[-1].column("range")[0].as_py() != number[lo]:
+                    yield scored(pa.concat_batches(held))
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield scored(pa.concat_batches(held))
+
+    return run
+
+
+def _best(index: Index, asked: _Asked, ranges: DataFrame, k: int, few: bool) -> DataFrame:
+    """(query_id, *keys, score, rank): the k best of each query in the ranges (range, ...), for chunks that don't share keys.
+
+    A range's postings come to its scores, which a task adds up range by range: rows of a posting
+    and a query are many times the index. ``few``: the ranges are few enough to be sent to all tasks.
+    """
+    spark = asked.weights.sparkSession
+    wanted = ranges.select("range").distinct()
+    ids = asked.weights.select("query_id").distinct()  # of one round
+    ids = kept(ids.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).alias("q")), "bm25-queries")
+    asks: dict[str, list] = {}
+    for r in asked.weights.join(F.broadcast(ids), "query_id").select("term", "q", "weight").collect():
+        asks.setdefault(r["term"], []).append((r["q"], r["weight"]))
+    sent = spark.sparkContext.broadcast({t: tuple(np.array(x) for x in zip(*v)) for t, v in asks.items()})
+    blocks = asked.blocks.select("term", "range", "postings").join(F.broadcast(wanted) if few else wanted, "range", "left_semi")
+    blocks = blocks.repartition(_tasks(spark), "range")
+    if index.gone is not None:
+        left = F.filter("postings", lambda p: ~F.array_contains("dead", p["key"]))
+        blocks = blocks.join(_by_range(index.gone, "dead"), "range", "left").withColumn("postings", F.when(F.col("dead").isNull(), F.col("postings")).otherwise(left)).where(F.size("postings") > 0)
+    rows = blocks.select("range", "term", "postings").sortWithinPartitions("range")
+    key = index.blocks.schema["postings"].dataType.elementType["key"].dataType.simpleString()
+    found = rows.mapInArrow(_summed(sent, index.avgdl or 0.0, max(ids.count(), 1), k), f"q int, key {key}, score double")
+    return top_k(found.join(F.broadcast(ids), "q").select("query_id", "key.*", "score"), index.keys, k)
+
+
 def _chosen(index: Index, asked: _Asked, k: int) -> DataFrame:
     """(query_id, range) of the ranges that may hold one of a query's k best: those whose bound comes up to the k-th score of its FIRST best ones.
 
@@ -334,7 +410,7 @@ def _chosen(index: Index, asked: _Asked, k: int) -> DataFrame:
         return asked.bounds.select("query_id", "range")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
     first = asked.bounds.withColumn("place", place).where(F.col("place") <= FIRST).select("query_id", "range")
-    best = top_k(_scored(index, asked, first).where("score > 0"), index.keys, k)
+    best = _best(index, asked, first, k, True)
     kth = kept(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "bm25-kth")
     # scores are compared by six digits; what rounding can have moved stays in
     good = F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("kth"))
@@ -358,6 +434,8 @@ def search(index: Index, queries: DataFrame, k: int, query: str = "query") -> Da
     """Chunks with a positive score, best first, as by scoring all: ranges that can't hold one of the k best are passed over."""
     if not index.chunks:
         return top_k(_nothing(index, queries), index.keys, k)
+    if index.unique:
+        return reduce(DataFrame.unionByName, (_best(index, asked, _chosen(index, asked, k), k, False) for asked in _rounds(index, queries, query)))
     return reduce(DataFrame.unionByName, (top_k(_scored(index, asked, _chosen(index, asked, k)).where("score > 0"), index.keys, k) for asked in _rounds(index, queries, query)))
 
 

@@ -148,3 +148,20 @@ def test_chunks_that_share_their_keys_in_several_ranges(spark, tmp_path):
     assert not index.unique
     every = {x.doc_id: round(x.score, 6) for x in lexical.scores(index, q).collect()}
     assert {i: s for i, s in found(lexical.search(index, q, 20))[1]}.items() <= every.items()
+
+
+def test_scores_are_added_up_within_tasks(spark, tmp_path):
+    """Rows of a posting and a query are many times the index: none leave their range's task."""
+    r = random.Random(9)
+    docs = [(None if i == 7 else f"d{i // 3}", i % 3, t) for i, t in corpus(r, 900)]
+    queries = [(f"q{j}", r.choice(docs)[2] or "common") for j in range(12)] + [("none", "nowhere"), ("twice", "common common waa")]
+    frame = spark.createDataFrame(docs, "doc_id string, part int, content string").coalesce(2)
+    index = lexical.build_index(frame, ["doc_id", "part"], str(tmp_path / "i"))
+    assert index.unique
+    out = lexical.search(index, spark.createDataFrame(queries, "query_id string, query string"), 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "inline(" not in plan
+    got = {}
+    for x in sorted(out.collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.query_id, []).append(((x.doc_id or "~", x.part), x.score))
+    same(got, formula([((d or "~", p), t) for d, p, t in docs], queries, 5))
