@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.jobs import queries
 from corpusloom.sources import store
 from corpusloom.sources.snapshots import Conflict, Snapshots, fingerprint
 
@@ -102,3 +103,15 @@ def test_fingerprints_follow_the_files(spark, tmp_path):
     assert one == fingerprint(spark, at)
     spark.range(3).write.mode("overwrite").parquet(at)
     assert one != fingerprint(spark, at)
+
+
+def test_the_round_trip_appends_every_chunk(spark, tmp_path, monkeypatch):
+    docs = [(1, "one\ntwo\n\nthree", "en", "web"), (2, "x", "de", None), (3, None, "en", "web"), (4, "\n", None, "web"), (5, "\n \nlate\nlater", "fr", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(queries, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted((r.source_doc, r.chunk_index) for r in queries.chunk_store_roundtrip(spark, f"{tmp_path}/in").collect())
+    assert got == [("d-1", 0), ("d-1", 1), ("d-1", 3), ("d-2", 0), ("d-5", 2), ("d-5", 3)]
+    # the first of the store's writes was the plain insert, the others took its place
+    at = f"{tmp_path}/roundtrip/store"
+    assert [len(Snapshots(spark, at).read(v)[1]["deltas"]) for v in Snapshots(spark, at).versions()] == [0, 1, 2, 3]
+    assert all(sorted((r.source_doc, r.chunk_index) for r in store.read_store(spark, at, v).collect()) == got for v in (2, 3, 4))
