@@ -115,3 +115,16 @@ def test_the_round_trip_appends_every_chunk(spark, tmp_path, monkeypatch):
     at = f"{tmp_path}/roundtrip/store"
     assert [len(Snapshots(spark, at).read(v)[1]["deltas"]) for v in Snapshots(spark, at).versions()] == [0, 1, 2, 3]
     assert all(sorted((r.source_doc, r.chunk_index) for r in store.read_store(spark, at, v).collect()) == got for v in (2, 3, 4))
+
+
+def test_what_the_last_write_brought_is_not_joined(spark, tmp_path):
+    at = str(tmp_path)
+    store.init_store(spark, at, 2)
+    store.append(rows(spark, ("f", 0, "one"), ("g", 0, "x")), at)
+    store.seed(rows(spark, ("f", 0, "two"), ("f", 1, "three")), at)
+    store.append(rows(spark, ("f", 2, "four")), at)
+    got = store.read_store(spark, at)
+    assert held(got) == [("f", "four"), ("f", "three"), ("f", "two"), ("g", "x")]
+    # a union of what is older, which meets the names of what was replaced, and the two that can't be gone
+    older, newer = (lambda u: (u.apply(0), u.apply(1)))(got._jdf.queryExecution().optimizedPlan().children())
+    assert "Join" in older.toString() and "Join" not in newer.toString()
